@@ -6,9 +6,10 @@
     stop early; one document after another drops out of the vectorised steps.
 3.  Signatures are cut into bands.  In each band bucket every member is paired with the least one (a star, not all pairs)
     and confirmed on the full sets of the whole texts.
-4.  Components of the confirmed links; then, for every bucket that still holds several components, blocks of members meet
-    blocks of members, and pairs of different components whose signatures agree enough are confirmed as well.  Pairs in
-    one component need no check, so no link between different texts is lost by the star.
+4.  Components of the confirmed links; then, for every cluster (component of the unconfirmed stars) that still holds
+    several of them, members outside its largest component meet all others in blocks.  Pairs of different components
+    whose signatures agree enough are confirmed on full sets.  Pairs in one component need no check, so no link between
+    different texts is lost by the star.
 
 With 32 bands of 4 rows a pair at similarity 0.8 fails to meet with probability 5e-8.  min_agreement (of 128 signature
 slots, 0.55 by default for a limit of 0.8) lies seven standard deviations under the limit.
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,78 +136,95 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
     return doc_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
-
-    Texts travel compressed and only those of paired documents; each joins its pairs by id, so a document of many pairs
-    is met by a join that can be split.
-    """
-    import zstandard
+def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, packed) of the documents in ids: whole texts, compressed before they travel."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(t) for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "packed"])
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialise(doc_texts(docs).mapInArrow(pack, "doc_id long, packed binary").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    return doc_texts(docs).mapInArrow(pack, "doc_id long, packed binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, known = zstandard.ZstdDecompressor(), {}
 
-        def full(i: int, packed: bytes) -> np.ndarray:
-            if i not in known:
-                if len(known) > 64:
-                    known.pop(next(iter(known)))
-                known[i] = shingles(z.decompress(packed), width)
-            return known[i]
+class FullSets:
+    """Shingle sets of packed texts; the latest few are kept."""
+
+    def __init__(self, width: int, most: int = 64):
+        self.width, self.most, self.known, self.z = width, most, {}, zstandard.ZstdDecompressor()
+
+    def get(self, i: int, packed: bytes) -> np.ndarray:
+        if i not in self.known:
+            if len(self.known) >= self.most:
+                self.known.pop(next(iter(self.known)))
+            self.known[i] = shingles(self.z.decompress(packed), self.width)
+        return self.known[i]
+
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, for sorted sets."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(small) < percent * len(large) or not len(small):
+        return False
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are alike on their full sets.  Texts join by id: joins that can be split where one is hot."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = FullSets(width)
         for batch in batches:
-            rows = batch.to_pydict()
-            good = []
-            for a, b, ta, tb in zip(rows["a"], rows["b"], rows["ta"], rows["tb"], strict=True):
-                x, y = full(a, ta), full(b, tb)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                if 100 * len(small) < percent * len(large):
-                    good.append(False)
-                    continue
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            r = batch.to_pydict()
+            good = [alike(sets.get(a, ta), sets.get(b, tb), percent) for a, b, ta, tb in zip(r["a"], r["b"], r["ta"], r["tb"], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("ta")), "a")
     return left.join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def cross_pairs(members: DataFrame, min_agreement: float, percent: int, block: int = 512) -> DataFrame:
-    """Pairs of different components in one bucket that agree in min_agreement of the sketch.
+def crossing_links(members: DataFrame, rows: DataFrame, min_agreement: float, width: int, percent: int, block: int = 128) -> DataFrame:
+    """Links between different components of one cluster.
 
-    members: bucket, id, component, n_shingles, sketch.  A bucket of one component is left out.  Larger buckets are cut
-    into blocks and blocks meet pairwise, so a row of the join is a pair of blocks and no task holds a whole bucket.
+    members: id, cluster (component over unconfirmed stars), component (over confirmed ones); rows: id, sketch, packed.
+    The members outside a cluster's largest component meet all others, in blocks: a row of the join is a pair of blocks,
+    and a block pair gives at most one link for each member and component.  Clusters of one component have no rows here.
     """
-    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    cut = members.join(size.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "bucket").withColumn("no", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    row = F.struct("id", "component", "n_shingles", "sketch")
-    blocks = materialise(cut.groupBy("bucket", "no", "blocks").agg(F.collect_list(row).alias("rows")), "blocks")
-    right = blocks.select("bucket", F.col("no").alias("no_b"), F.col("rows").alias("rows_b"))
-    met = blocks.join(right, "bucket").where("no <= no_b").select("rows", "rows_b")
+    parts = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    size = parts.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    size = size.select("cluster", F.col("top.component").alias("main"), F.ceil(F.col("top.n") / block).cast("int").alias("b_main"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("b_rest"))
+    cut = members.join(size, "cluster").withColumn("rest", F.col("component") != F.col("main"))
+    cut = cut.withColumn("no", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("b_rest")).otherwise(F.col("b_main"))).cast("int"))
+    keys = ["cluster", "rest", "no"]
+    blocks = materialise(cut.select("id", "component", *keys).join(rows, "id").groupBy(*keys).agg(F.collect_list(F.struct("id", "component", "sketch", "packed")).alias("rows")), "blocks")
+    names = blocks.select(*keys)
+    one = names.where("rest").select("cluster", F.col("no").alias("no_a"))
+    pairs = one.join(names.select("cluster", F.col("rest").alias("rest_b"), F.col("no").alias("no_b")), "cluster").where("NOT rest_b OR no_a <= no_b")
+    left = blocks.where("rest").select("cluster", F.col("no").alias("no_a"), F.col("rows").alias("rows_a"))
+    right = blocks.select("cluster", F.col("rest").alias("rest_b"), F.col("no").alias("no_b"), F.col("rows").alias("rows_b"))
+    met = pairs.join(left, ["cluster", "no_a"]).join(right, ["cluster", "rest_b", "no_b"]).select("rows_a", "rows_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = FullSets(width, 2 * block)
         for b in batches:
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, comp, n, sk = ([[r[k] for r in side] for side in (x, y)] for k in ("id", "component", "n_shingles", "sketch"))
-                i, c, m = (([np.array(side, np.int64) for side in v]) for v in (ids, comp, n))
-                s = [np.frombuffer(b"".join(side), np.uint8).reshape(len(side), -1) for side in sk]
-                fit = (c[0][:, None] != c[1][None, :]) & (100 * np.minimum(m[0][:, None], m[1][None, :]) >= percent * np.maximum(m[0][:, None], m[1][None, :]))
-                p, q = np.nonzero(fit)
-                for k in range(0, len(p), 50_000):
-                    pk, qk = p[k : k + 50_000], q[k : k + 50_000]
-                    near = (s[0][pk] == s[1][qk]).mean(1) >= min_agreement
-                    u, v = i[0][pk[near]], i[1][qk[near]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
-
-    return met.mapInArrow(run, "a long, b long").distinct()
+            for r in range(b.num_rows):
+                x, y = b.column(0)[r].as_py(), b.column(1)[r].as_py()
+                p, q = (np.frombuffer(b"".join(m["sketch"] for m in side), np.uint8).reshape(len(side), -1) for side in (x, y))
+                out: list[tuple[int, int]] = []
+                for i, m in enumerate(x):
+                    near = (q == p[i]).mean(1)
+                    linked = {m["component"]}
+                    for j in np.argsort(-near, kind="stable").tolist():
+                        if near[j] < min_agreement:
+                            break
+                        if y[j]["component"] not in linked and alike(sets.get(m["id"], m["packed"]), sets.get(y[j]["id"], y[j]["packed"]), percent):
+                            linked.add(y[j]["component"])
+                            out.append((m["id"], y[j]["id"]))
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, min_agreement: float = 0.55) -> DataFrame:
@@ -218,20 +237,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, min_agre
     rows = heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stars = materialise(rows.join(buckets.select("bucket", "b"), "bucket").where("id != b").select(F.col("id").alias("a"), "b").distinct(), "stars")
-    links = materialise(confirm(stars, docs, width, percent), "links")
-    first = components(links)
-    # buckets that the first round left in several components
-    crowd = rows.join(buckets.select("bucket"), "bucket").join(first.withColumnRenamed("component", "c"), "id", "left")
-    crowd = crowd.select("bucket", "id", F.coalesce("c", "id").alias("component"))
-    split = crowd.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    members = crowd.join(split, "bucket").join(heads.select(F.col("doc_id").alias("id"), "n_shingles", "sketch"), "id")
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialise(cross_pairs(members, min_agreement, percent).join(tested, ["a", "b"], "left_anti"), "crossing")
-    second = materialise(confirm(more, docs, width, percent), "links")
-    joined = components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a != b").union(second.select("a", "b")))
+    clusters = components(stars).withColumnRenamed("component", "cluster")
+    texts = materialise(packed_texts(docs, clusters.select(F.col("id").alias("doc_id"))), "texts")
+    first = components(confirm(stars, texts, width, percent))
+    members = materialise(clusters.join(first, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("component")), "members")
+    full = heads.select(F.col("doc_id").alias("id"), "sketch").join(texts.select(F.col("doc_id").alias("id"), "packed"), "id")
+    second = crossing_links(members, full, min_agreement, width, percent)
+    joined = first.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a != b").union(second)
     # rows of one id are one document
     same = stood.where("doc_id != rep")
-    whole = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a != b").union(same.select("doc_id", "rep")))
+    whole = components(joined.union(same.select("doc_id", "rep")))
     out = found.select("doc_id", "n_shingles").join(whole.select(F.col("id").alias("doc_id"), "component").dropDuplicates(["doc_id"]), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
