@@ -34,7 +34,7 @@ from sphaera.llm.common import doc_texts, materialise, shared_dir, spread
 BLOCK = 1024
 PERCENTILE = 0.9
 MAGIC = b"SPHPFOR1"
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 200_000
 
 
 def _pack(rows: np.ndarray, width: int) -> np.ndarray:
@@ -63,7 +63,12 @@ def _bit_length(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode_section(values: np.ndarray) -> bytes:
+#: Blocks that are packed at once; bounds the working memory of a section of any length.
+SLICE = 512
+
+
+def _encode_blocks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minima, widths, patches per block, patch places, patch values, packed bytes) of up to SLICE blocks."""
     n = len(values)
     blocks = -(-n // BLOCK)
     rows = np.zeros(blocks * BLOCK, np.uint64)
@@ -71,25 +76,29 @@ def encode_section(values: np.ndarray) -> bytes:
     rows = rows.reshape(blocks, BLOCK)
     if n % BLOCK:
         rows[-1, n % BLOCK :] = rows[-1, 0]
-    low = rows.min(1) if blocks else np.zeros(0, np.uint64)
+    low = rows.min(1)
     rest = rows - low[:, None]
     rank = int(np.ceil(PERCENTILE * BLOCK)) - 1
-    width = _bit_length(np.partition(rest, rank, axis=1)[:, rank]) if blocks else np.zeros(0, np.int64)
+    width = _bit_length(np.partition(rest, rank, axis=1)[:, rank])
     limit = np.where(width >= 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(width, 63).astype(np.uint64)) - np.uint64(1))
     odd = rest > limit[:, None]
     block_of, place = np.nonzero(odd)
-    patches = np.bincount(block_of, minlength=blocks).astype("<u2")
-    size = BLOCK // 8 * width
-    start = np.concatenate([[0], np.cumsum(size)]).astype("<u8")
+    start = np.concatenate([[0], np.cumsum(BLOCK // 8 * width)])
     body = np.zeros(int(start[-1]), np.uint8)
     masked = rest & limit[:, None]
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
-        packed = _pack(masked[at], int(w))
-        for k, row in zip(at, packed, strict=True):
+        for k, row in zip(at, _pack(masked[at], int(w)), strict=True):
             body[int(start[k]) : int(start[k + 1])] = row
-    head = np.array([n, blocks, len(place)], "<u8").tobytes()
-    return b"".join([head, start.tobytes(), low.astype("<u8").tobytes(), width.astype("u1").tobytes(), patches.tobytes(), place.astype("<u2").tobytes(), rest[odd].astype("<u8").tobytes(), body.tobytes()])
+    return low, width, np.bincount(block_of, minlength=blocks), place, rest[odd], body
+
+
+def encode_section(values: np.ndarray) -> bytes:
+    parts = [_encode_blocks(values[k : k + SLICE * BLOCK]) for k in range(0, len(values), SLICE * BLOCK)]
+    low, width, patches, place, value, body = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(6))
+    start = np.concatenate([[0], np.cumsum(BLOCK // 8 * width)])
+    head = np.array([len(values), len(low), len(place)], "<u8").tobytes()
+    return b"".join([head, start.astype("<u8").tobytes(), low.astype("<u8").tobytes(), width.astype("u1").tobytes(), patches.astype("<u2").tobytes(), place.astype("<u2").tobytes(), value.astype("<u8").tobytes(), body.astype("u1").tobytes()])
 
 
 class Section:
@@ -111,6 +120,8 @@ class Section:
         self.end = at
 
     def read_blocks(self, lo: int, hi: int) -> np.ndarray:
+        if hi - lo > SLICE:
+            return np.concatenate([self.read_blocks(k, min(hi, k + SLICE)) for k in range(lo, hi, SLICE)])
         out = np.zeros((hi - lo, BLOCK), np.uint64)
         width = self.width[lo:hi]
         for w in np.unique(width):
@@ -168,7 +179,11 @@ class ChunkEncoder:
         self.uncut = regex.compile(r"\s ")
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str], at_once: int = 64) -> Iterator[np.ndarray]:
+        for k in range(0, len(texts), at_once):
+            yield from self._encode(texts[k : k + at_once])
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [[t] if not t or t[0] == " " or self.uncut.search(t) else t.split(" ") for t in texts]
         chunks = [[c[0], *[" " + x for x in c[1:]]] for c in cut]
         known, new = self.known, set()
@@ -207,9 +222,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None, name:
         for b in batches:
             doc_ids += b.column(0).to_pylist()
             for ids in encoder.encode(b.column(1).to_pylist()):
-                parts += [ids.astype("<u4"), end]
+                parts += [ids.tobytes(), end.tobytes()]
                 lengths.append(len(ids) + len(end))
-            parts = [np.concatenate(parts)]
+            parts = [b"".join(parts)]
         if not doc_ids:
             return
         no = TaskContext.get().partitionId()
@@ -217,7 +232,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None, name:
         fs.create_dir(root, recursive=True)
         path = f"part-{no:06d}-{uuid.uuid4().hex}.pfor"
         with fs.open_output_stream(f"{root}/{path}.open") as out:
-            out.write(encode_file(doc_ids, np.array(lengths, np.int64), parts[0]))
+            out.write(encode_file(doc_ids, np.array(lengths, np.int64), np.frombuffer(parts[0], "<u4")))
         fs.move(f"{root}/{path}.open", f"{root}/{path}")
         yield pa.RecordBatch.from_pylist([{"file_no": no, "path": f"{folder}/{path}", "n_docs": len(doc_ids), "n_ids": int(sum(lengths))}], pa.schema([("file_no", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
@@ -239,7 +254,7 @@ def read_tokens(manifest: DataFrame, digests: bool = False) -> DataFrame:
                 fs, inner = _open(path)
                 with fs.open_input_file(inner) as f:
                     doc_ids, lengths, section = decode_file(f.read())
-                ids = section.read().astype("<u4")
+                ids = np.concatenate([section.read_blocks(k, min(section.blocks, k + SLICE)).astype("<u4") for k in range(0, section.blocks, SLICE)] or [np.zeros(0, "<u4")])
                 stop = np.cumsum(lengths)
                 start = stop - lengths
                 for lo in range(0, len(doc_ids), 5000):

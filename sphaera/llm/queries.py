@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sphaera.llm import bpe, decontaminate, hpylm, neardup, pfor, pii, quality, toxicity
+from sphaera.llm import bpe, decontaminate, hpylm, neardup, pfor, pii, quality, substrings, toxicity
 from sphaera.llm.common import read_table, remainder
 
 
@@ -33,6 +33,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read_table(spark, sf_dir, "documents"), ("kept_sha256",))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(read_table(spark, sf_dir, "documents")))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_token_files": op6_token_files,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
