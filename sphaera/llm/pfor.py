@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +35,7 @@ from sphaera.llm.common import doc_texts, materialise, shared_dir, spread
 BLOCK = 1024
 PERCENTILE = 0.9
 MAGIC = b"SPHPFOR1"
-CACHED_CHUNKS = 200_000
+CACHED_CHUNKS = 450_000
 
 
 def _pack(rows: np.ndarray, width: int) -> np.ndarray:
@@ -97,8 +98,9 @@ def encode_section(values: np.ndarray) -> bytes:
     parts = [_encode_blocks(values[k : k + SLICE * BLOCK]) for k in range(0, len(values), SLICE * BLOCK)]
     low, width, patches, place, value, body = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(6))
     start = np.concatenate([[0], np.cumsum(BLOCK // 8 * width)])
-    head = np.array([len(values), len(low), len(place)], "<u8").tobytes()
-    return b"".join([head, start.astype("<u8").tobytes(), low.astype("<u8").tobytes(), width.astype("u1").tobytes(), patches.astype("<u2").tobytes(), place.astype("<u2").tobytes(), value.astype("<u8").tobytes(), body.astype("u1").tobytes()])
+    size = next(k for k in (1, 2, 4, 8) if not len(value) or k == 8 or int(value.max()) < 1 << (8 * k))  # bytes of a patch value
+    head = np.array([len(values), len(low), len(place), size], "<u8").tobytes()
+    return b"".join([head, start.astype("<u8").tobytes(), low.astype("<u8").tobytes(), width.astype("u1").tobytes(), patches.astype("<u2").tobytes(), place.astype("<u2").tobytes(), value.astype(f"<u{size}").tobytes(), body.astype("u1").tobytes()])
 
 
 class Section:
@@ -111,11 +113,11 @@ class Section:
             at += out.nbytes
             return out
 
-        self.n, self.blocks, odd = (int(x) for x in take("<u8", 3))
+        self.n, self.blocks, odd, size = (int(x) for x in take("<u8", 4))
         self.start, self.low = take("<u8", self.blocks + 1).astype(np.int64), take("<u8", self.blocks)
         self.width, patches = take("u1", self.blocks).astype(int), take("<u2", self.blocks).astype(np.int64)
         self.patch_start = np.concatenate([[0], np.cumsum(patches)])
-        self.place, self.value = take("<u2", odd), take("<u8", odd)
+        self.place, self.value = take("<u2", odd), take(f"<u{size}", odd).astype(np.uint64)
         self.body = take("u1", int(self.start[-1]))
         self.end = at
 
@@ -165,50 +167,70 @@ def decode_file(raw: bytes) -> tuple[list[int | None], np.ndarray, Section]:
 
 
 class ChunkEncoder:
-    """The tokenizers library over chunks that the tokenizer's pattern never joins, each distinct chunk encoded once.
+    """The tokenizers library's model over the pieces of a text, each distinct piece tokenized once.
 
-    A single space that follows a character other than white space always starts a new match, so a text cut before such
-    spaces gives the same ids in pieces.  Texts with white space before a space are encoded whole.
+    A single space that follows a character other than white space always starts a new match of the pattern, so a text
+    cut before such spaces gives the same ids in chunks; texts with white space before a space are one chunk.  A new
+    chunk is split by the pattern, and the model (its byte alphabet applied first) tokenizes the pieces that are new.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.uncut = regex.compile(r"\s ")
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str], at_once: int = 64) -> Iterator[np.ndarray]:
-        for k in range(0, len(texts), at_once):
-            yield from self._encode(texts[k : k + at_once])
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [[t] if not t or t[0] == " " or self.uncut.search(t) else t.split(" ") for t in texts]
-        chunks = [[c[0], *[" " + x for x in c[1:]]] for c in cut]
-        known, new = self.known, set()
-        for c in chunks:
-            new.update(c)
-        if len(known) > CACHED_CHUNKS:
-            known.clear()
-        missing = [c for c in new if c not in known]
-        for k in range(0, len(missing), 20_000):
-            part = missing[k : k + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[x] for x in c]), "<u4") for c in chunks]
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.model = Tokenizer.from_file(path).model
+        self.pattern, self.uncut = regex.compile(pattern), regex.compile(r"\s ")
+        alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letter = {b: alphabet.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
+        # the alphabet of the other bytes follows from characters that hold them
+        for lead in range(0xC2, 0xF5):
+            tail = [0x90 if lead == 0xF0 else 0xA0 if lead == 0xE0 else 0x80] + [0x80] * (0 if lead < 0xE0 else 1 if lead < 0xF0 else 2)
+            self._learn(alphabet, bytes([lead, *tail]))
+        for tail in range(0x80, 0xC0):
+            self._learn(alphabet, bytes([0xC2, tail]))
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _learn(self, alphabet, raw: bytes) -> None:
+        for b, c in zip(raw, alphabet.pre_tokenize_str(raw.decode())[0][0], strict=True):
+            self.letter[b] = c
+
+    def _piece(self, piece: str) -> bytes:
+        known = self.pieces.get(piece)
+        if known is None:
+            if len(self.pieces) > CACHED_CHUNKS:
+                self.pieces.clear()
+            mapped = piece.encode().decode("latin-1").translate(self.letter)
+            known = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return known
+
+    def _chunk(self, chunk: str) -> bytes:
+        ids = b"".join([self._piece(p) for p in self.pattern.findall(chunk)])
+        if len(chunk) <= 64:
+            if len(self.chunks) > CACHED_CHUNKS:
+                self.chunks.clear()
+            self.chunks[chunk] = ids
+        return ids
+
+    def encode(self, text: str) -> np.ndarray:
+        if not text or self.uncut.search(text) or text[0] == " ":
+            return np.frombuffer(self._chunk(text), "<u4")
+        head, *rest = text.split(" ")
+        get = self.chunks.get
+        parts = [get(c) or self._chunk(c) for c in [" " + c for c in rest]]
+        return np.frombuffer(b"".join([self._chunk(head), *parts]), "<u4")
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def _encoder(path: str, pattern: str) -> ChunkEncoder:
+    return ChunkEncoder(path, pattern)
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None, name: str = "tokens") -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int | None, name: str = "tokens") -> DataFrame:
     """Encode every text, write the files in ascending id order, return the manifest: file_no, path, n_docs, n_ids.
 
     A manifest row is as small as its path, so the manifest has a few bytes per file, whatever the files hold.
@@ -217,11 +239,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None, name:
     folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, doc_ids, lengths, parts = _encoder(tokenizer_path), [], [], []
+        encoder, doc_ids, lengths, parts = _encoder(tokenizer_path, pattern), [], [], []
         end = np.array([] if end_id is None else [end_id], "<u4")
         for b in batches:
             doc_ids += b.column(0).to_pylist()
-            for ids in encoder.encode(b.column(1).to_pylist()):
+            for ids in map(encoder.encode, b.column(1).to_pylist()):
                 parts += [ids.tobytes(), end.tobytes()]
                 lengths.append(len(ids) + len(end))
             parts = [b"".join(parts)]
@@ -267,5 +289,5 @@ def read_tokens(manifest: DataFrame, digests: bool = False) -> DataFrame:
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digests else "ids array<long>"))
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    return read_tokens(write_tokens(docs, tokenizer_path, end_id), digests=True).select("doc_id", "start", "n_tokens", F.col("ids_crc32"))
+def round_trip(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int) -> DataFrame:
+    return read_tokens(write_tokens(docs, tokenizer_path, pattern, end_id), digests=True).select("doc_id", "start", "n_tokens", F.col("ids_crc32"))
