@@ -111,19 +111,22 @@ def _judged(kind: str, rank: int, spans: Column) -> Column:
     return F.transform(spans, judge)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, base (array of kind rank, start, stop) and wide (the same with the votes and a length class) per row."""
+def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, base (array of kind rank, start, stop) and wide (the same with the votes and a length class) per row.
+
+    docs: doc_id, text and the columns in keep, which are passed on.
+    """
     text = F.col("text")
-    out = doc_texts(docs)
+    out = docs
     gate = {"email": text.contains("@"), "card": text.rlike("[0-9]"), "ip": text.rlike(r"[0-9]\.[0-9]"), "phone": text.rlike(r"\+[0-9]"), "email/spelled": text.rlike(r"[\[(]\x20?at\x20?[\])]"), "name/titled": text.rlike(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20[A-Z][a-z]{2}"), "iban/plain": text.rlike(r"[A-Z]{2}[0-9]{2}[\x20A-Z0-9]{8}"), "ip/colons": text.rlike(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"), "phone/local": text.rlike(r"[0-9][\x20.-][0-9]{3}[\x20.-][0-9]{4}"), "ssn/dashed": text.rlike("[0-9]-[0-9]{2}-[0-9]{4}")}
     patterns = BASE_PATTERNS | WIDE_PATTERNS
     name = {k: k.replace("/", "_") for k in patterns}
     empty = F.array().cast("array<string>")
     out = out.withColumns({f"m_{name[k]}": F.when(gate[k], matches(text, p)).otherwise(empty) for k, p in patterns.items()} | {f"g_{name[k]}": F.when(gate[k], gaps(text, p)).otherwise(empty) for k, p in patterns.items()})
-    out = out.select("doc_id", *(located(F.col(f"m_{n}"), F.col(f"g_{n}")).alias(f"s_{n}") for n in name.values()))
+    out = out.select("doc_id", *keep, *(located(F.col(f"m_{n}"), F.col(f"g_{n}")).alias(f"s_{n}") for n in name.values()))
     base = [_judged(k, r, F.filter(F.col(f"s_{k}"), _passes(k))) for r, k in enumerate(KINDS)]
     wide = [_judged(k, r, F.col(f"s_{name[k]}")) for r, k in enumerate(WIDE_PATTERNS, len(KINDS))]
-    out = out.select("doc_id", F.array_sort(F.concat(*base)).alias("base"), F.concat(*wide).alias("wide"))
+    out = out.select("doc_id", *keep, F.array_sort(F.concat(*base)).alias("base"), F.concat(*wide).alias("wide"))
     # a wider candidate that touches a base span adds nothing
     return out.withColumn("wide", F.filter("wide", lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"]))))
 
@@ -173,9 +176,8 @@ def _features(kind: str, v: tuple[int, ...], size: int) -> dict[str, float]:
     return {f"kind={kind}": 1.0, f"size={size}": 1.0} | {f"{n}={x}": 1.0 for n, x in zip(VOTES, v, strict=True) if x}
 
 
-def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, base and spans (arrays of kind, start, stop, in order) for every row of docs."""
-    found = candidates(docs).persist(KEEP)
+def _learned(found: DataFrame) -> dict[str, float]:
+    """The span classifier of the votes in found."""
     seen = found.select(F.explode(F.concat("base", "wide")).alias("c")).select("c.*")
     counted = seen.groupBy("kind", *VOTES, "size").count().collect()  # at most kinds x 3^6 x 10 rows
     by_votes: dict[tuple[str, tuple[int, ...]], int] = {}
@@ -183,7 +185,11 @@ def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         key = (r["kind"], tuple(int(r[n]) for n in VOTES))
         by_votes[key] = by_votes.get(key, 0) + r["count"]
     post, _ = estimate([(k, v, c) for (k, v), c in by_votes.items()])
-    theta = fit_classifier([(_features(r["kind"], v := tuple(int(r[n]) for n in VOTES), r["size"]), post[r["kind"], v], math.log1p(r["count"])) for r in counted])
+    return fit_classifier([(_features(r["kind"], v := tuple(int(r[n]) for n in VOTES), r["size"]), post[r["kind"], v], math.log1p(r["count"])) for r in counted])
+
+
+def _accepted(theta: dict[str, float], threshold: float) -> Column:
+    """All spans of a row in order: the base ones and the wide ones that the classifier takes."""
 
     def margin(c: Column) -> Column:
         z = F.lit(theta["bias"])
@@ -194,9 +200,39 @@ def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         return z
 
     limit = math.log(threshold / (1 - threshold))
-    kept = F.filter("wide", lambda c: margin(c) >= limit)
-    slim = lambda a: F.transform(a, lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["stop"].alias("stop"), F.split_part(c["kind"], F.lit("/"), F.lit(1)).alias("kind")))
-    return found.select("doc_id", slim(F.col("base")).alias("base"), F.array_sort(slim(F.concat("base", kept))).alias("spans"))
+    return F.array_sort(_slim(F.concat("base", F.filter("wide", lambda c: margin(c) >= limit))))
+
+
+def _slim(spans: Column) -> Column:
+    return F.transform(spans, lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["stop"].alias("stop"), F.split_part(c["kind"], F.lit("/"), F.lit(1)).alias("kind")))
+
+
+def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id, base and spans (arrays of start, rank, stop, kind, in order) for every row of docs."""
+    found = candidates(doc_texts(docs)).persist(KEEP)
+    return found.select("doc_id", _slim(F.col("base")).alias("base"), _accepted(_learned(found), threshold).alias("spans"))
+
+
+def mask(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs with every span in text replaced by its kind in brackets; all columns kept, nulls stay null.
+
+    Overlapping spans are replaced together, under the kind of the first.  The classifier is learned in one scan and
+    applied in a second, to spans found and cut in the same row: nothing is joined and no text is stored.
+    """
+    theta = _learned(candidates(doc_texts(docs)))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), row)
+    found = candidates(src, ("text", "_row")).select("text", "_row", _accepted(theta, threshold).alias("spans"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        piece = F.concat(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]"))
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    masked = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    clean = F.when(F.col("_row.text").isNull(), None).when(F.size("spans") == 0, F.col("_row.text")).otherwise(masked)
+    return found.select(*((clean.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c)) for c in docs.columns))
 
 
 def listed(spans: Column) -> Column:
@@ -209,3 +245,4 @@ def digest(detected: DataFrame) -> DataFrame:
         return F.size(F.filter("base", lambda c: c["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return detected.select("doc_id", *(n(k) for k in KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+

@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sphaera.llm import bpe, decontaminate, hpylm, neardup, pfor, pii, quality, substrings, toxicity
+from sphaera.llm import bpe, decontaminate, hpylm, neardup, pfor, pii, quality, secrets, substrings, toxicity
 from sphaera.llm.common import read_table, remainder
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -52,6 +56,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
