@@ -9,7 +9,7 @@ whose class prior is the toxic share among the labelled rows of the training sid
 a logistic curve fitted on those labelled rows.
 
 Features of a document are summed over its distinct lower-cased words: the word itself and its character n-grams with
-marked borders.  Selection keeps the features with the largest lift in the positives.  The training sample is bounded
+marked borders.  Selection keeps the features that are significantly more frequent in the positives.  The training sample is bounded
 (max_positive, max_unlabelled, chosen by a hash of the id); scoring covers every document and whole texts.
 
 Null texts are empty; texts without a word get the score of an empty margin.  Without any usable label the score is the
@@ -20,7 +20,7 @@ of contradicting labels the toxic one counts.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +32,8 @@ from sphaera.llm.common import doc_texts, remainder
 
 NGRAMS = (4, 5, 6)
 CACHED_WORDS = 400_000
+#: Words of a document that count for one feature.
+MOST_HITS = 3
 
 
 def word_features(word: bytes) -> list[bytes]:
@@ -58,16 +60,32 @@ class ToxicityModel:
     offset: float
     prior: float
 
-    def word_weight(self, word: bytes) -> float:
-        get = self.weights.get
-        return sum([get(f, 0.0) for f in word_features(word)])
+    def scorer(self) -> Callable[[bytes], float]:
+        """A function from a text's bytes to its margin; it remembers the features of the words it has met."""
+        place = {f: i for i, f in enumerate(self.weights)}
+        weight = np.array(list(self.weights.values()))
+        known: dict[bytes, tuple[int, ...]] = {}
+
+        def margin(raw: bytes) -> float:
+            if len(known) > CACHED_WORDS:
+                known.clear()
+            hits: list[int] = []
+            for w in distinct_words(raw):
+                found = known.get(w)
+                if found is None:
+                    found = known[w] = tuple(place[f] for f in word_features(w) if f in place)
+                if found:
+                    hits += found
+            return self.bias + (float(np.minimum(np.bincount(hits, minlength=len(weight)), MOST_HITS) @ weight) if hits else 0.0)
+
+        return margin
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -40, 40)))
 
 
-def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 2e-3) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the non-negative risk with the sigmoid loss; p and u are feature matrices.
+def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on the non-negative risk with the logistic loss; p and u are feature matrices.
 
     Equal rows and equal columns are fitted once, with their number as weight: most rows have no feature at all.
     """
@@ -77,19 +95,18 @@ def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 300, rate:
     (p, np_), (u, nu) = (np.unique(x, axis=0, return_counts=True) for x in (p, u))
     wp, wu = (np_ / np_.sum()).astype(np.float32), (nu / nu.sum()).astype(np.float32)
     theta = np.zeros(p.shape[1] + 1)
-    theta[-1] = -1.0
+    theta[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    p1, u1 = (np.hstack([x, np.ones((len(x), 1))]).astype(np.float32) for x in (p, u))
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    p1, u1 = (np.hstack([np.minimum(x, MOST_HITS), np.ones((len(x), 1))]).astype(np.float32) for x in (p, u))
+    softplus = lambda z: np.logaddexp(0, z)
     for t in range(1, steps + 1):
         zp, zu = p1 @ theta, u1 @ theta
-        lp, lu = sigmoid(zp), sigmoid(zu)  # loss of calling it negative; 1 - lp that of positive
-        dp, du = lp * (1 - lp), lu * (1 - lu)
-        negative = lu @ wu - prior * (lp @ wp)
-        g_pos = -prior * ((dp * wp) @ p1)
-        g_neg = (du * wu) @ u1 + g_pos
+        sp, su = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zp, zu))
+        negative = softplus(zu) @ wu - prior * (softplus(zp) @ wp)
+        g_pos = -prior * ((wp * (1 - sp)) @ p1)
+        g_neg = (wu * su) @ u1 - prior * ((wp * sp) @ p1)
         g = g_pos + g_neg if negative >= 0 else -g_neg
-        g = g + decay * np.append(theta[:-1], 0) / len(theta)
+        g = g + decay * np.append(theta[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return (theta[:-1] / np.bincount(place, minlength=len(columns)))[place], float(theta[-1])
@@ -124,7 +141,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_u
     return doc_texts(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 8000, n_features: int = 1500, min_positive: int = 4) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 8000, n_features: int = 1500, min_evidence: float = 30.0) -> ToxicityModel:
     sample = training_sample(docs, labels, max_positive, max_unlabelled)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,12 +164,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
     if not size["p"] or size["all"] == size["p"]:
         sample.unpersist()
         return ToxicityModel({}, 0.0, 1.0, -40.0, 0.0)
-    lift = F.log((F.col("n_pos") + 0.5) / F.lit(size["p"] + 1.0)) - F.log((F.col("n_other") + 0.5) / F.lit(size["all"] - size["p"] + 1.0))
+    # twice the log-likelihood ratio of the feature's share of positives against that of the sample
+    base = size["p"] / size["all"]
+    n, hit = F.col("n_pos") + F.col("n_other"), F.col("n_pos") / (F.col("n_pos") + F.col("n_other"))
+    part = lambda q, b: F.when(q > 0, q * F.log(q / F.lit(b))).otherwise(0.0)
+    evidence = 2 * n * (part(hit, base) + part(1 - hit, 1 - base))
     best = (
         sample.mapInArrow(features, "feature binary, n_pos long, n_other long").groupBy("feature").agg(n_pos, F.sum("n_other").alias("n_other"))
-        .where(F.col("n_pos") >= min_positive).withColumn("gain", lift * F.sqrt("n_pos")).orderBy(F.desc("gain"), "feature").limit(n_features).collect()
+        .where(hit > base).withColumn("evidence", evidence).where(F.col("evidence") >= min_evidence).orderBy(F.desc("evidence"), "feature").limit(n_features).collect()
     )
     names = [bytes(r["feature"]) for r in best]
+    if not names:
+        sample.unpersist()
+        return ToxicityModel({}, float(np.log(base / (1 - base))), 1.0, 0.0, base)
     place = {f: i for i, f in enumerate(names)}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
     u = np.vstack([x[unlabelled], x[toxic == 1][:share]])
     w, bias = fit_nnpu(x[toxic == 1], u, prior)
     labelled = toxic >= 0
-    z = x[labelled] @ w + bias
+    z = np.minimum(x[labelled], MOST_HITS) @ w + bias
     slope, offset = fit_logistic(z.astype(float), toxic[labelled].astype(float)) if (toxic == 0).any() else (1.0, 0.0)
     if slope <= 0:
         slope, offset = 1.0, 0.0
@@ -191,20 +215,11 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value, {}
+        m = shared.value
+        margin = m.scorer()
         for b in batches:
-            margin = np.empty(b.num_rows)
-            for i, raw in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
-                total, words = 0.0, distinct_words(raw)
-                for w in words:
-                    x = known.get(w)
-                    if x is None:
-                        x = known[w] = m.word_weight(w)
-                    total += x
-                margin[i] = total + m.bias
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.score(margin))], names=["doc_id", "score"])
+            z = np.array([margin(raw) for raw in b.column(1).cast(pa.binary()).to_pylist()], float)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.score(z))], names=["doc_id", "score"])
 
     return doc_texts(docs, text_col=text_col).mapInArrow(run, "doc_id long, score double")
 
@@ -216,19 +231,10 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bounds:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value, {}
+        m = shared.value
+        margin = m.scorer()
         for b in batches:
-            keep = []
-            for raw in b.column(at).cast(pa.binary()).to_pylist():
-                total = m.bias
-                for w in distinct_words(raw or b""):
-                    x = known.get(w)
-                    if x is None:
-                        x = known[w] = m.word_weight(w)
-                    total += x
-                keep.append(bool(m.score(np.array([total]))[0] < threshold))
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-            yield b.filter(pa.array(keep, pa.bool_()))
+            z = np.array([margin(raw or b"") for raw in b.column(at).cast(pa.binary()).to_pylist()], float)
+            yield b.filter(pa.array(m.score(z) < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
