@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from sphaera.plans import orientation
+
+_PARTS = (orientation,)
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLE_SQL = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}
