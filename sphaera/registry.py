@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sphaera.plans import orientation
+from sphaera.plans import manifold, orientation
 
-_PARTS = (orientation,)
+_PARTS = (orientation, manifold)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE_SQL = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}
