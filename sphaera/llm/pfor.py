@@ -35,26 +35,35 @@ from sphaera.llm.common import doc_texts, materialise, shared_dir, spread
 BLOCK = 1024
 PERCENTILE = 0.9
 MAGIC = b"SPHPFOR1"
-CACHED_CHUNKS = 450_000
+CACHED_CHUNKS = 250_000
+
+
+def _container(width: int) -> int:
+    """Bytes of the smallest integer that holds width bits."""
+    return next(k for k in (1, 2, 4, 8) if width <= 8 * k)
 
 
 def _pack(rows: np.ndarray, width: int) -> np.ndarray:
-    """rows (blocks x BLOCK) of values below 2**width as (blocks x BLOCK * width / 8) bytes."""
+    """rows (blocks x BLOCK) of values below 2**width as (blocks x BLOCK * width / 8) bytes, high bits first."""
     if width == 0:
         return np.zeros((len(rows), 0), np.uint8)
-    if width in (8, 16, 32):
-        return np.ascontiguousarray(rows.astype(f"<u{width // 8}")).view(np.uint8).reshape(len(rows), -1)
-    bits = ((rows[:, :, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+    size = _container(width)
+    raw = np.ascontiguousarray(rows.astype(f">u{size}")).view(np.uint8).reshape(len(rows), -1)
+    if width == 8 * size:
+        return raw
+    bits = np.unpackbits(raw, axis=1).reshape(len(rows), BLOCK, 8 * size)[:, :, 8 * size - width :]
+    return np.packbits(bits.reshape(len(rows), -1), axis=1)
 
 
 def _unpack(raw: np.ndarray, width: int) -> np.ndarray:
     if width == 0:
         return np.zeros((len(raw), BLOCK), np.uint64)
-    if width in (8, 16, 32):
-        return np.ascontiguousarray(raw).view(f"<u{width // 8}").astype(np.uint64)
-    bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(raw), BLOCK, width).astype(np.uint64)
-    return (bits << np.arange(width, dtype=np.uint64)).sum(2, dtype=np.uint64)
+    size = _container(width)
+    if width < 8 * size:
+        bits = np.zeros((len(raw), BLOCK, 8 * size), np.uint8)
+        bits[:, :, 8 * size - width :] = np.unpackbits(raw, axis=1).reshape(len(raw), BLOCK, width)
+        raw = np.packbits(bits.reshape(len(raw), -1), axis=1)
+    return np.ascontiguousarray(raw).view(f">u{size}").astype(np.uint64)
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -188,8 +197,11 @@ class ChunkEncoder:
             self._learn(alphabet, bytes([lead, *tail]))
         for tail in range(0x80, 0xC0):
             self._learn(alphabet, bytes([0xC2, tail]))
+        # two generations each: what has been used since the last turn survives the next one
         self.chunks: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def _learn(self, alphabet, raw: bytes) -> None:
         for b, c in zip(raw, alphabet.pre_tokenize_str(raw.decode())[0][0], strict=True):
@@ -198,17 +210,31 @@ class ChunkEncoder:
     def _piece(self, piece: str) -> bytes:
         known = self.pieces.get(piece)
         if known is None:
+            known = self.old_pieces.get(piece)
+            if known is None:
+                if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":
+                    mapped = self.letter[32] + piece[1:]
+                else:
+                    mapped = piece.encode().decode("latin-1").translate(self.letter)
+                known = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
             if len(self.pieces) > CACHED_CHUNKS:
-                self.pieces.clear()
-            mapped = piece.encode().decode("latin-1").translate(self.letter)
-            known = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+                self.old_pieces, self.pieces = self.pieces, {}
+            self.pieces[piece] = known
         return known
 
     def _chunk(self, chunk: str) -> bytes:
-        ids = b"".join([self._piece(p) for p in self.pattern.findall(chunk)])
+        """The ids of a chunk that is not among the latest ones."""
+        ids = self.old_chunks.get(chunk)
+        if ids is None:
+            if chunk[1:].isalpha() and chunk[0] == " ":
+                ids = self._piece(chunk)
+            elif chunk[1:-1].isalpha() and chunk[-1] in ".,;:!?" and chunk[0] == " ":
+                ids = self._piece(chunk[:-1]) + self._piece(chunk[-1])
+            else:
+                ids = b"".join([self._piece(p) for p in self.pattern.findall(chunk)])
         if len(chunk) <= 64:
             if len(self.chunks) > CACHED_CHUNKS:
-                self.chunks.clear()
+                self.old_chunks, self.chunks = self.chunks, {}
             self.chunks[chunk] = ids
         return ids
 
