@@ -85,7 +85,7 @@ class ToxicityModel:
 
 
 def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the non-negative risk with the logistic loss; p and u are feature matrices.
+    """Full-batch Adam on the non-negative risk with the logistic loss; p and u are matrices of small counts.
 
     Equal rows and equal columns are fitted once, with their number as weight: most rows have no feature at all.
     """
@@ -97,10 +97,11 @@ def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 300, rate:
     theta = np.zeros(p.shape[1] + 1)
     theta[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    p1, u1 = (np.hstack([np.minimum(x, MOST_HITS), np.ones((len(x), 1))]).astype(np.float32) for x in (p, u))
+    p1, u1 = (np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32) for x in (p, u))
     softplus = lambda z: np.logaddexp(0, z)
     for t in range(1, steps + 1):
-        zp, zu = p1 @ theta, u1 @ theta
+        now = theta.astype(np.float32)
+        zp, zu = p1 @ now, u1 @ now
         sp, su = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zp, zu))
         negative = softplus(zu) @ wu - prior * (softplus(zp) @ wp)
         g_pos = -prior * ((wp * (1 - sp)) @ p1)
@@ -187,14 +188,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
                 found.append([x for kv in hits.items() for x in kv])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "hits"])
 
-    table = sample.mapInArrow(rows, "doc_id long, toxic int, hits array<int>").orderBy("doc_id").collect()
+    table = sample.mapInArrow(rows, "doc_id long, toxic int, hits array<int>").orderBy("doc_id").toArrow()  # bounded by the sample
     sample.unpersist()
-    x = np.zeros((len(table), len(names)), np.float32)
-    for i, r in enumerate(table):
-        x[i, r["hits"][::2]] = r["hits"][1::2]
-    toxic = np.array([-1 if r["toxic"] is None else r["toxic"] for r in table])
+    x = np.zeros((table.num_rows, len(names)), np.uint8)
+    at = 0
+    for chunk in table["hits"].chunks:
+        pairs, ends = chunk.flatten().to_numpy(), np.diff(chunk.offsets.to_numpy())
+        of = at + np.repeat(np.arange(len(chunk)), ends // 2)
+        x[of, pairs[::2]] = np.minimum(pairs[1::2], MOST_HITS)
+        at += len(chunk)
+    labels_of = table["toxic"].to_pylist()
+    del table
+    toxic = np.array([-1 if y is None else y for y in labels_of])
     # the prior is that of labelled rows drawn like the unlabelled sample
-    drawn = np.array([r["toxic"] is not None for r in table])
+    drawn = toxic >= 0
     known = labels.where(remainder(F.col("doc_id").cast("long"), 3) != 1).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     prior = float(np.clip(known if known is not None else toxic[drawn].clip(0).mean(), 0.005, 0.9))
     # the unlabelled side stands for all text: positives beyond their natural share are left out of it
@@ -203,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
     u = np.vstack([x[unlabelled], x[toxic == 1][:share]])
     w, bias = fit_nnpu(x[toxic == 1], u, prior)
     labelled = toxic >= 0
-    z = np.minimum(x[labelled], MOST_HITS) @ w + bias
+    z = np.concatenate([part @ w for part in np.array_split(x[labelled], 16)]) + bias
     slope, offset = fit_logistic(z.astype(float), toxic[labelled].astype(float)) if (toxic == 0).any() else (1.0, 0.0)
     if slope <= 0:
         slope, offset = 1.0, 0.0
