@@ -35,7 +35,7 @@ from sphaera.llm.common import doc_texts, materialise, shared_dir, spread
 BLOCK = 1024
 PERCENTILE = 0.9
 MAGIC = b"SPHPFOR1"
-CACHED_CHUNKS = 250_000
+CACHED_PIECES = 400_000
 
 
 def _container(width: int) -> int:
@@ -175,20 +175,75 @@ def decode_file(raw: bytes) -> tuple[list[int | None], np.ndarray, Section]:
     return doc_ids, lengths.read().astype(np.int64), ids
 
 
-class ChunkEncoder:
-    """The tokenizers library's model over the pieces of a text, each distinct piece tokenized once.
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Class of every code point: 0 the space, 1 other white space, 2 letters, 3 numbers, 4 all else."""
+    out = np.full(0x110000, 4, np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    back = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
+    for k, pattern in ((1, r"\s+"), (2, r"\p{L}+"), (3, r"\p{N}+")):
+        for m in regex.finditer(pattern, every):
+            out[back[m.start() : m.end()]] = k
+    out[32] = 0
+    return out
+
+
+#: The pattern that PieceEncoder's rules below stand for.
+GPT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    A single space that follows a character other than white space always starts a new match of the pattern, so a text
-    cut before such spaces gives the same ids in chunks; texts with white space before a space are one chunk.  A new
-    chunk is split by the pattern, and the model (its byte alphabet applied first) tokenizes the pieces that are new.
+
+def split_run(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all texts in one string, first and last + 1 character and text number of every match, code points).
+
+    The matches of GPT_PATTERN follow from runs of one class: a single space goes with the run after it; of longer white
+    space before a word the last character stands alone (or goes with the word, if it is a space); white space that ends
+    the text is one match; an apostrophe that starts a match takes a following s, t, m, d, re, ve or ll.
+    """
+    big = "\n".join([*texts, ""])
+    cps = np.frombuffer(big.encode("utf-32-le"), "<u4")
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    mark = np.cumsum(size) - 1  # the line feed after each text is no part of it
+    kind = _classes()[cps]
+    kind[mark] = 9
+    space = kind <= 1
+    run = np.where(space, 1, kind)
+    begins = np.append(True, run[1:] != run[:-1])
+    begins[mark] = True
+    begins[mark[:-1] + 1] = True
+    at = np.flatnonzero(begins)
+    stop = np.append(at[1:], len(cps))
+    gap = np.flatnonzero(space[at] & (kind[np.minimum(stop, len(cps) - 1)] != 9))
+    last = stop[gap] - 1
+    begins[last] = True
+    begins[last[cps[last] == 32] + 1] = False
+    quote = np.flatnonzero((cps == 39) & begins)
+    one, two = cps[np.minimum(quote + 1, len(cps) - 1)], cps[np.minimum(quote + 2, len(cps) - 1)]
+    single = np.isin(one, [ord(c) for c in "stmd"])
+    double = ((two == ord("e")) & ((one == ord("r")) | (one == ord("v")))) | ((one == ord("l")) & (two == ord("l")))
+    begins[quote[single | double] + 1] = False
+    begins[quote[single] + 2] = True
+    begins[quote[double] + 3] = True
+    at = np.flatnonzero(begins)
+    stop = np.append(at[1:], len(cps))
+    real = kind[at] != 9
+    at, stop = at[real], stop[real]
+    return big, at, stop, np.searchsorted(mark, at), cps
+
+
+class PieceEncoder:
+    """The tokenizers library's model over the pieces of texts, each distinct piece of a run of texts looked up once.
+
+    A run of texts is split in numpy and equal pieces are found by hash (two hashes of 64 bits, the second as a check).
+    The model, its byte alphabet applied first, tokenizes the pieces that no earlier run had.
     """
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        if pattern != GPT_PATTERN:
+            raise ValueError("the split rules stand for another pattern")
         self.model = Tokenizer.from_file(path).model
-        self.pattern, self.uncut = regex.compile(pattern), regex.compile(r"\s ")
         alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letter = {b: alphabet.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
         # the alphabet of the other bytes follows from characters that hold them
@@ -197,9 +252,7 @@ class ChunkEncoder:
             self._learn(alphabet, bytes([lead, *tail]))
         for tail in range(0x80, 0xC0):
             self._learn(alphabet, bytes([0xC2, tail]))
-        # two generations each: what has been used since the last turn survives the next one
-        self.chunks: dict[str, bytes] = {}
-        self.old_chunks: dict[str, bytes] = {}
+        # two generations: what has been used since the last turn survives the next one
         self.pieces: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
 
@@ -207,49 +260,83 @@ class ChunkEncoder:
         for b, c in zip(raw, alphabet.pre_tokenize_str(raw.decode())[0][0], strict=True):
             self.letter[b] = c
 
-    def _piece(self, piece: str) -> bytes:
-        known = self.pieces.get(piece)
+    def _new(self, piece: str) -> bytes:
+        known = self.old_pieces.get(piece)
         if known is None:
-            known = self.old_pieces.get(piece)
-            if known is None:
-                if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":
-                    mapped = self.letter[32] + piece[1:]
-                else:
-                    mapped = piece.encode().decode("latin-1").translate(self.letter)
-                known = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-            if len(self.pieces) > CACHED_CHUNKS:
+            if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":
+                mapped = self.letter[32] + piece[1:]
+            else:
+                mapped = piece.encode().decode("latin-1").translate(self.letter)
+            known = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        if len(piece) <= 64:
+            if len(self.pieces) > CACHED_PIECES:
                 self.old_pieces, self.pieces = self.pieces, {}
             self.pieces[piece] = known
         return known
 
-    def _chunk(self, chunk: str) -> bytes:
-        """The ids of a chunk that is not among the latest ones."""
-        ids = self.old_chunks.get(chunk)
-        if ids is None:
-            if chunk[1:].isalpha() and chunk[0] == " ":
-                ids = self._piece(chunk)
-            elif chunk[1:-1].isalpha() and chunk[-1] in ".,;:!?" and chunk[0] == " ":
-                ids = self._piece(chunk[:-1]) + self._piece(chunk[-1])
-            else:
-                ids = b"".join([self._piece(p) for p in self.pattern.findall(chunk)])
-        if len(chunk) <= 64:
-            if len(self.chunks) > CACHED_CHUNKS:
-                self.old_chunks, self.chunks = self.chunks, {}
-            self.chunks[chunk] = ids
-        return ids
-
     def encode(self, text: str) -> np.ndarray:
-        if not text or self.uncut.search(text) or text[0] == " ":
-            return np.frombuffer(self._chunk(text), "<u4")
-        head, *rest = text.split(" ")
-        get = self.chunks.get
-        parts = [get(c) or self._chunk(c) for c in [" " + c for c in rest]]
-        return np.frombuffer(b"".join([self._chunk(head), *parts]), "<u4")
+        return self.encode_run([text])[0]
+
+    def encode_run(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of every text.  texts: about RUN_BYTES together, or a single longer one."""
+        big, at, stop, owner, cps = split_run(texts)
+        if not len(at):
+            return [np.zeros(0, "<u4") for _ in texts]
+        length = stop - at
+        # pieces lie apart only by the marks between texts, whose places count for nothing
+        place = np.arange(len(cps)) - np.repeat(at, np.append(at[1:], len(cps)) - at) if at[0] == 0 else None
+        if place is None:
+            place = np.arange(len(cps) - at[0]) - np.repeat(at - at[0], np.append(at[1:], len(cps)) - at)
+        value = cps[at[0] :].astype(np.uint64) + np.uint64(1)
+        inside = place < np.repeat(length, np.append(at[1:], len(cps)) - at)
+        value[~inside] = 0
+        longest = int(place.max()) + 1
+        with np.errstate(over="ignore"):
+            name = [np.add.reduceat(value * _step(k, longest)[place], at - at[0]) for k in (0, 1)]
+        _, rep, of = np.unique(name[0], return_index=True, return_inverse=True)
+        if not (np.array_equal(name[1][rep][of], name[1]) and np.array_equal(length[rep][of], length)):
+            rep, of = np.arange(len(at)), np.arange(len(at))
+        get = self.pieces.get
+        words = [big[i:j] for i, j in zip(at[rep].tolist(), stop[rep].tolist(), strict=True)]
+        ids = [get(w) or self._new(w) for w in words]
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table = np.frombuffer(b"".join(ids), "<u4")
+        each = n[of]
+        total = np.cumsum(each)
+        out = table[np.repeat((np.cumsum(n) - n)[of] - (total - each), each) + np.arange(int(total[-1]))]
+        ends = np.cumsum(np.bincount(owner, each, len(texts)).astype(np.int64))
+        return np.split(out, ends[:-1])
+
+
+RUN_BYTES = 1 << 20
+_STEPS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _step(k: int, n: int) -> np.ndarray:
+    """Powers of an odd number, one for each place in a piece; of a number of its own for each of the two hashes."""
+    if len(_STEPS[k]) < n:
+        base = np.full(max(n, 1024), np.uint64((0xD1342543DE82EF95, 0x9FB21C651E98DF25)[k]))
+        base[0] = 1
+        with np.errstate(over="ignore"):
+            _STEPS[k] = np.cumprod(base)
+    return _STEPS[k]
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> ChunkEncoder:
-    return ChunkEncoder(path, pattern)
+def _encoder(path: str, pattern: str) -> PieceEncoder:
+    return PieceEncoder(path, pattern)
+
+
+def _runs(texts: list[str]) -> Iterator[list[str]]:
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= RUN_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -269,10 +356,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int
         end = np.array([] if end_id is None else [end_id], "<u4")
         for b in batches:
             doc_ids += b.column(0).to_pylist()
-            for ids in map(encoder.encode, b.column(1).to_pylist()):
-                parts += [ids.tobytes(), end.tobytes()]
-                lengths.append(len(ids) + len(end))
-            parts = [b"".join(parts)]
+            for texts in _runs(b.column(1).to_pylist()):
+                for ids in encoder.encode_run(texts):
+                    parts += [ids.tobytes(), end.tobytes()]
+                    lengths.append(len(ids) + len(end))
         if not doc_ids:
             return
         no = TaskContext.get().partitionId()
@@ -280,7 +367,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int
         fs.create_dir(root, recursive=True)
         path = f"part-{no:06d}-{uuid.uuid4().hex}.pfor"
         with fs.open_output_stream(f"{root}/{path}.open") as out:
-            out.write(encode_file(doc_ids, np.array(lengths, np.int64), np.frombuffer(parts[0], "<u4")))
+            out.write(encode_file(doc_ids, np.array(lengths, np.int64), np.frombuffer(b"".join(parts), "<u4")))
         fs.move(f"{root}/{path}.open", f"{root}/{path}")
         yield pa.RecordBatch.from_pylist([{"file_no": no, "path": f"{folder}/{path}", "n_docs": len(doc_ids), "n_ids": int(sum(lengths))}], pa.schema([("file_no", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 

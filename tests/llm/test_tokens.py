@@ -83,10 +83,12 @@ def test_files_round_trip(spark, docs, odd, empty):
         assert sorted(out, key=key) == sorted(expected, key=key)
 
 
-def test_chunks_equal_whole_texts():
-    lib, ours = Tokenizer.from_file(JSON), pfor.ChunkEncoder(JSON, P.PATTERN)
+def test_pieces_equal_whole_texts():
+    lib, ours = Tokenizer.from_file(JSON), pfor.PieceEncoder(JSON, P.PATTERN)
     lib.encode_special_tokens = True
     random.seed(2)
     for _ in range(1500):
         t = "".join(random.choice("ab  \n\t'sé .1 ß漢😀\x00") for _ in range(random.randint(0, 40)))
         assert lib.encode(t, add_special_tokens=False).ids == ours.encode(t).tolist(), repr(t)
+    run = ["", "a b", "", " \n", "it's", ""]
+    assert [x.tolist() for x in ours.encode_run(run)] == [lib.encode(t, add_special_tokens=False).ids for t in run]
