@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sphaera.plans import graph, landscape, manifold, orientation, stages
+from sphaera.plans import extras, graph, landscape, manifold, orientation, stages
 
-_PARTS = (orientation, manifold, landscape, graph, stages)
+_PARTS = (orientation, manifold, landscape, graph, stages, extras)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE_SQL = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}

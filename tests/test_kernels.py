@@ -100,3 +100,17 @@ def test_anchor_spreads_over_a_loop():
     belief, _, rounds = mrf.propagate(node, edges, pot, damping=0.8)
     psi, sense = mrf.decode(belief, 2)
     assert (psi == 1).all() and (sense == -1).all() and rounds < 300 and np.allclose(belief.sum(1), 1)
+
+
+def test_mixture_thresholds():
+    from sphaera.kernels import mixtures as mx
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(0, 1, 300), rng.normal(10, 1, 300)])
+    for f in (mx.gaussian_threshold, mx.two_class_threshold, mx.valley_threshold):
+        assert 2 < f(x) < 8
+    y = np.concatenate([rng.exponential(0.5, 500), rng.normal(6, 0.7, 300)])
+    assert 1 < mx.decay_threshold(y) < 6
+    w, mu, sd = mx.two_gaussians(x)
+    assert np.allclose(w, 0.5, atol=0.05) and np.allclose(mu, [0, 10], atol=0.3) and np.allclose(sd, 1, atol=0.2)
+    assert mx.two_class_threshold(np.array([1.0])) == 1.0
