@@ -73,10 +73,11 @@ def written_path(df: DataFrame) -> list[str]:
     return [p for p in _WRITTEN if any(p.rsplit("/", 1)[-1] in f for f in files)]
 
 
-def spread(df: DataFrame, per_core: int = 4) -> int:
-    """How many partitions a repartition of df should use: the session's shuffle setting, or a few for every core."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism)
+def spread(docs: DataFrame, per_core: int = 4) -> int:
+    """Partitions for an explicit repartition of docs, a table as read: the session's shuffle setting, a few for every
+    core, or as many as the table's own splits, whichever is most."""
+    spark = docs.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
 
 
 KEEP = StorageLevel.MEMORY_AND_DISK

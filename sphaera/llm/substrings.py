@@ -35,6 +35,8 @@ from sphaera.llm.suffix import Pieces, first_of_equal
 SHARD_CONTEXTS = 16_384
 #: Contexts of small grams share a shard up to about so many bytes.
 SHARD_BYTES = 2_000_000
+#: Anchors that a task remembers at once; what it forgets is sent to the exchange like new ones.
+REMEMBERED = 2_000_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -75,6 +77,8 @@ def find_anchors(keyed: DataFrame) -> DataFrame:
                     continue
                 last = (doc, th)
                 gram, ctx, lo, hi = anchors(np.frombuffer(raw, np.uint8))
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 name = (gram ^ (ctx * np.uint64(0x9E3779B97F4A7C15))).tolist()
                 old = np.zeros(len(name), bool)
                 for i, k in enumerate(name):
@@ -98,7 +102,7 @@ _MARK = [("doc_id", pa.int64()), ("th", pa.int64()), ("lo", pa.int64()), ("hi",
 _MARK_SQL = "doc_id long, th long, lo long, hi long, gram long, shard int"
 
 
-def judge_anchors(found: DataFrame) -> DataFrame:
+def judge_anchors(found: DataFrame, n: int) -> DataFrame:
     """Marks: repeats (shard null), and open anchors with the shard of their gram (-1: the gram has one shard)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +164,6 @@ def judge_anchors(found: DataFrame) -> DataFrame:
                         yield from flush(False)
         yield from flush(True)
 
-    n = spread(found)
     return found.repartition(n, "gram").sortWithinPartitions("gram", "known", "ctx", "doc_id", "th", "lo").mapInArrow(run, _MARK_SQL)
 
 
@@ -230,7 +233,7 @@ def judge_shard(grams: list[int], shards: list[int], docs: np.ndarray, ths: np.n
         yield _batch(_FOUND, doc_id=docs[t.piece[part]], th=ths[t.piece[part]], lo=where[part], hi=where[part], w1=w[:, 0], w2=w[:, 1])
 
 
-def judge_contexts(contexts: DataFrame) -> DataFrame:
+def judge_contexts(contexts: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -249,7 +252,7 @@ def judge_contexts(contexts: DataFrame) -> DataFrame:
         if held:
             yield from close()
 
-    return contexts.repartition(spread(contexts), "gram", "shard").sortWithinPartitions("gram", "shard").mapInArrow(run, _FOUND_SQL)
+    return contexts.repartition(n, "gram", "shard").sortWithinPartitions("gram", "shard").mapInArrow(run, _FOUND_SQL)
 
 
 class Run:
@@ -289,7 +292,7 @@ class Run:
         return out, lost
 
 
-def merge_shards(found: DataFrame) -> DataFrame:
+def merge_shards(found: DataFrame, n: int) -> DataFrame:
     """Repeats among the earliest windows that different shards gave out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,16 +319,16 @@ def merge_shards(found: DataFrame) -> DataFrame:
         yield _batch(_FOUND[:4], doc_id=rows[0], th=rows[1], lo=rows[2], hi=rows[2])
 
     cut = found.where("w1 IS NOT NULL")
-    return cut.repartitionByRange(spread(found), "w1").mapInArrow(run, "doc_id long, th long, lo long, hi long")
+    return cut.repartitionByRange(n, "w1").mapInArrow(run, "doc_id long, th long, lo long, hi long")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, th and the windows lo..hi (first bytes) that also start earlier; null ids as the least long."""
-    keyed = _keyed(docs)
-    marks = materialise(judge_anchors(find_anchors(keyed)), "marks")
-    found = materialise(judge_contexts(open_contexts(keyed, marks)), "windows")
+    keyed, n = _keyed(docs), spread(docs)
+    marks = materialise(judge_anchors(find_anchors(keyed), n), "marks")
+    found = materialise(judge_contexts(open_contexts(keyed, marks), n), "windows")
     names = ["doc_id", "th", "lo", "hi"]
-    return marks.where("shard IS NULL").select(names).union(found.where("w1 IS NULL").select(names)).union(merge_shards(found))
+    return marks.where("shard IS NULL").select(names).union(found.where("w1 IS NULL").select(names)).union(merge_shards(found, n))
 
 
 def remove_repeats(docs: DataFrame, outputs: tuple[str, ...] = ("kept",)) -> DataFrame:

@@ -129,15 +129,26 @@ def fit_logistic(z: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float,
     return float(b[0]), float(b[1])
 
 
+def hashed_sample(ids: DataFrame, most: int) -> DataFrame:
+    """The rows of least hash of doc_id, `most` at most.
+
+    A share of the hashes that holds about twice as many rows is cut out first, so the sort sees few rows of each task.
+    """
+    n = ids.count()
+    key = F.xxhash64(F.col("doc_id"), F.lit(17))
+    if n > 4 * most:
+        ids = ids.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(18)), F.lit(1 << 30)) < int(2 * most / n * (1 << 30)))
+    return ids.orderBy(key, "doc_id").limit(most)
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int) -> DataFrame:
     """(doc_id, text, toxic 1/0/null): the bounded sample of the training side."""
     on_side = remainder("doc_id", 3) != 1
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & on_side)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64(F.col("doc_id"), F.lit(17)), F.col("doc_id")]
-    positive = known.where("toxic = 1").orderBy(*order).limit(max_positive)
+    positive = hashed_sample(known.where("toxic = 1"), max_positive)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & on_side)
-    unlabelled = ids.orderBy(*order).limit(max_unlabelled).distinct().join(known, "doc_id", "left")
+    unlabelled = hashed_sample(ids, max_unlabelled).distinct().join(known, "doc_id", "left")
     chosen = positive.union(unlabelled.select("doc_id", "toxic")).distinct()
     return doc_texts(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
