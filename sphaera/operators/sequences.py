@@ -55,18 +55,24 @@ def ecdf(rows: DataFrame, value: str, key: list[str]) -> DataFrame:
     return n.select(*key, value, (F.sum("n").over(run) / F.sum("n").over(Window.partitionBy(*key))).alias("q"))
 
 
-def match_histograms(source: DataFrame, template: DataFrame) -> DataFrame:
+def match_histograms(source: DataFrame, template: DataFrame, slices: int = 256) -> DataFrame:
     """value, matched: each source quantile's value in the template, linear between its steps, clamped at its ends.
 
-    source and template: value, q (see ecdf).  The bracket of every quantile comes from one window over both tables
-    together, so nothing is joined by inequality; the window runs in ranges of the quantile.
+    source and template: value, q (see ecdf).  The bracket of every quantile comes from a window over both tables in one
+    slice of the quantile, or, where the slice ends first, from the nearest slices' ends (a row per slice).  So nothing is
+    joined by inequality and no task sees more than a slice.
     """
-    s = source.select("q", F.col("value").alias("sv"), F.lit(None).cast("double").alias("tq"), F.lit(None).cast("double").alias("tv"))
-    t = template.select("q", F.lit(None).cast("double").alias("sv"), F.col("q").alias("tq"), F.col("value").alias("tv"))
-    both = s.unionByName(t)
-    upto = Window.partitionBy(F.lit(0)).orderBy("q").rangeBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(F.lit(0)).orderBy("q").rangeBetween(0, Window.unboundedFollowing)
-    b = both.select("q", "sv", F.max(F.struct("tq", "tv")).over(upto).alias("lo"), F.min(F.when(F.col("tq").isNotNull(), F.struct("tq", "tv"))).over(after).alias("hi")).where("sv IS NOT NULL")
+    at = F.least(F.floor(F.col("q") * slices), F.lit(slices - 1)).cast("int").alias("slice")
+    none = F.lit(None).cast("double")
+    s = source.select("q", at, F.col("value").alias("sv"), none.alias("tq"), none.alias("tv"))
+    t = template.select("q", at, none.alias("sv"), F.col("q").alias("tq"), F.col("value").alias("tv"))
+    step = F.when(F.col("tq").isNotNull(), F.struct("tq", "tv"))
+    ends = source.sparkSession.range(slices).select(F.col("id").cast("int").alias("slice")).join(t.groupBy("slice").agg(F.max(step).alias("top"), F.min(step).alias("low")), "slice", "left")
+    over = Window.orderBy("slice")
+    carry = ends.select("slice", F.max("top").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.min("low").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("behind"))
+    own = Window.partitionBy("slice").orderBy("q")
+    b = s.unionByName(t).select("slice", "q", "sv", F.max(step).over(own.rangeBetween(Window.unboundedPreceding, 0)).alias("lo"), F.min(step).over(own.rangeBetween(0, Window.unboundedFollowing)).alias("hi")).where("sv IS NOT NULL")
+    b = b.join(F.broadcast(carry), "slice").select("q", "sv", F.coalesce("lo", "before").alias("lo"), F.coalesce("hi", "behind").alias("hi"))  # a row per slice
     lo, hi = F.col("lo"), F.col("hi")
     part = lo["tv"] + (hi["tv"] - lo["tv"]) * (F.col("q") - lo["tq"]) / (hi["tq"] - lo["tq"])
-    return b.select(F.col("sv").alias("value"), F.when(lo["tq"].isNull(), hi["tv"]).when(hi.isNull() | (hi["tq"] == lo["tq"]), lo["tv"]).otherwise(part).alias("matched"))
+    return b.select(F.col("sv").alias("value"), F.when(lo.isNull(), hi["tv"]).when(hi.isNull() | (hi["tq"] == lo["tq"]), lo["tv"]).otherwise(part).alias("matched"))
