@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sphaera.llm.anchors import WINDOW, anchors
 from sphaera.llm.common import doc_texts, materialise, spread
-from sphaera.llm.suffix import Pieces, first_of_equal
+from sphaera.llm.suffix import Pieces, least_of_equal
 
 SHARD_CONTEXTS = 16_384
 #: Contexts of small grams share a shard up to about so many bytes.
@@ -214,8 +214,8 @@ def judge_shard(grams: list[int], shards: list[int], docs: np.ndarray, ths: np.n
     doc_rank = doc_rank.ravel()
     where = los[t.piece] + t.offset
     key = doc_rank[t.piece].astype(np.int64) * (int(where.max()) + 1) + where
-    at, first = first_of_equal(t, WINDOW, key)
-    repeat = key[at] != key[first]
+    at, least = least_of_equal(t, WINDOW, key)
+    repeat = key[at] != least
     rows = at[repeat]
     rows.sort()
     p, s = t.piece[rows], where[rows]
@@ -225,7 +225,7 @@ def judge_shard(grams: list[int], shards: list[int], docs: np.ndarray, ths: np.n
         z = np.append(a[1:], len(rows)) - 1
         yield _batch(_FOUND, doc_id=docs[p[a]], th=ths[p[a]], lo=s[a], hi=s[z], w1=pa.nulls(len(a), pa.int64()), w2=pa.nulls(len(a), pa.int64()))
     cut = np.array(shards)[t.piece[at]] >= 0
-    lead = np.unique(first[cut & (at == first)])
+    lead = np.unique(at[cut & ~repeat])
     for k in range(0, len(lead), 50_000):
         part = lead[k : k + 50_000]
         digests = [xxhash.xxh3_128_digest(texts[i][o : o + WINDOW]) for i, o in zip(t.piece[part].tolist(), t.offset[part].tolist(), strict=True)]

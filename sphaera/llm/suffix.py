@@ -31,7 +31,7 @@ def suffix_ranks(t: Pieces) -> np.ndarray:
         ahead = np.zeros(n, np.uint64)
         ahead[: max(n - k, 0)] = t.sym[k:]
         key |= np.where(t.rest > k, ahead, 0).astype(np.uint64) << np.uint64(9 * (_FIRST - 1 - k))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # order among equals does not matter before the last step
     new = np.diff(key[order], prepend=key[order[0]] ^ np.uint64(1)) != 0
     rank = np.empty(n, np.int64)
     head = np.flatnonzero(new)
@@ -44,7 +44,7 @@ def suffix_ranks(t: Pieces) -> np.ndarray:
         inside = t.rest[todo] >= h
         ahead[inside] = rank[todo[inside] + h] + 1
         pair = rank[todo].astype(np.uint64) * np.uint64(n + 1) + ahead.astype(np.uint64)
-        place = np.argsort(pair, kind="stable")
+        place = np.argsort(pair)
         todo, pair = todo[place], pair[place]
         old = rank[todo]
         group = np.flatnonzero(np.diff(old, prepend=-1))
@@ -55,7 +55,7 @@ def suffix_ranks(t: Pieces) -> np.ndarray:
         rank[todo] = old + lead - first_in_old
         todo = todo[np.repeat(size > 1, size)]
         h *= 2
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank * n + np.arange(n))
     rank[order] = np.arange(n)
     return rank
 
@@ -99,14 +99,13 @@ def kasai(t: Pieces, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sa, lcp
 
 
-def first_of_equal(t: Pieces, width: int, order_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every position with width bytes ahead: (positions, the position of least order_key with the same width bytes)."""
+def least_of_equal(t: Pieces, width: int, order_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions with width bytes ahead, the least order_key among the positions with the same width bytes)."""
     sa, lcp = kasai(t, suffix_ranks(t))
     keep = t.rest[sa] >= width
     # a suffix too short to count never shares width bytes, so runs of lcp >= width hold only full windows
-    group = np.cumsum(lcp < width)[keep]
-    at = sa[keep]
-    by = np.lexsort((order_key[at], group))
-    group, at = group[by], at[by]
+    group, at = np.cumsum(lcp < width)[keep], sa[keep]
     head = np.flatnonzero(np.diff(group, prepend=-1))
-    return at, np.repeat(at[head], np.diff(np.append(head, len(at))))
+    if not len(head):
+        return at, np.zeros(0, np.int64)
+    return at, np.repeat(np.minimum.reduceat(order_key[at], head), np.diff(np.append(head, len(at))))
