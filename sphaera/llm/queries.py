@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sphaera.llm import bpe, decontaminate, hpylm, neardup, pfor, pii, quality, secrets, substrings, toxicity
 from sphaera.llm.common import read_table, remainder
+from sphaera.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,5 +68,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {}
