@@ -151,7 +151,7 @@ def word_shares(docs: DataFrame, vocabulary: set[bytes]) -> tuple[dict[bytes, fl
     return {names[i]: c / total for i, c in n.items()}, total
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.5, max_chance: float = 1e-7, block_bytes: int = 16_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.4, max_chance: float = 1e-7, block_bytes: int = 16_000_000) -> DataFrame:
     """doc_id, item_id, score of every pair that reaches min_score."""
     src = doc_texts(docs)
     spark = docs.sparkSession
