@@ -189,13 +189,13 @@ def _classes() -> np.ndarray:
 
 
 #: The pattern that PieceEncoder's rules below stand for.
-GPT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def split_run(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(all texts in one string, first and last + 1 character and text number of every match, code points).
 
-    The matches of GPT_PATTERN follow from runs of one class: a single space goes with the run after it; of longer white
+    The matches of SPLIT_PATTERN follow from runs of one class: a single space goes with the run after it; of longer white
     space before a word the last character stands alone (or goes with the word, if it is a space); white space that ends
     the text is one match; an apostrophe that starts a match takes a following s, t, m, d, re, ve or ll.
     """
@@ -241,7 +241,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        if pattern != GPT_PATTERN:
+        if pattern != SPLIT_PATTERN:
             raise ValueError("the split rules stand for another pattern")
         self.model = Tokenizer.from_file(path).model
         alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
