@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find places, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find places, Smith-Waterman alignment scores them.
 
 Words are runs of letters, digits and bytes above 127, with A-Z lower-cased.  Every three neighbouring words of a test
-item are a seed if they are rare: the product of the words' shares of all words in the corpus is at most max_chance.
-(Shares of single words, not of the n-gram: a passage that leaked into a third of all documents stays rare.)  Items of
-one or two words are a seed as a whole, under the same rule.  A seed found in a document opens a window around the place
-where the item would lie, and the item is aligned locally to the window: +1 for equal words, -1 for others, -1 a gap.
-The score is the best alignment divided by the item's number of words; 1.0 is a full copy.
+item are a seed, however common they are; items of one or two words are a seed as a whole.  So every item that has a
+word is searched, in corpora of every size and skew.  A seed found in a document opens a window around the place where
+the item would lie.  Windows with too few of the item's words to reach the least score are left out, and the item is
+aligned locally to the others: +1 for equal words, -1 for others, -1 a gap.  The score is the best alignment divided by
+the item's number of words; 1.0 is a full copy.
 
 The test set goes to the workers in blocks of at most block_bytes of text, one scan of the documents per block, so its
 size is no limit.  Null texts and items are empty and match nothing; rows with a null id are matched like others.
@@ -47,7 +47,7 @@ def align(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int | None, bytes]], share: dict[bytes, float], max_chance: float, unseen: float):
+    def __init__(self, items: list[tuple[int | None, bytes]]):
         self.number: dict[bytes, int] = {}
         self.items: list[tuple[int | None, np.ndarray]] = []
         seeds: list[tuple[int, int, int]] = []
@@ -56,19 +56,15 @@ class Matcher:
             ids = np.array([self.number.setdefault(w, len(self.number)) for w in ws], np.int64)
             self.items.append((item_id, ids))
         self.base = len(self.number) + 1
-        chance = np.ones(self.base)
-        for w, i in self.number.items():
-            chance[i] = share.get(w, unseen)
         for k, (_, ids) in enumerate(self.items):
             n = min(SEED_WORDS, len(ids))
-            for q in range(len(ids) - n + 1 if n else 0):
-                if chance[ids[q : q + n]].prod() <= max_chance:
-                    seeds.append((self._key(ids[q : q + n]), k, q))
+            seeds += [(self._key(ids[q : q + n]), k, q) for q in range(len(ids) - n + 1 if n else 0)]
         seeds.sort()
         table = np.array(seeds, np.int64).reshape(-1, 3)
         self.keys, first = np.unique(table[:, 0], return_index=True)
         self.bounds = np.append(first, len(table))
         self.of, self.at = table[:, 1], table[:, 2]
+        self.margin = np.array([max(4, len(ids) // 4) for _, ids in self.items], np.int64)
         self.short = sorted({min(SEED_WORDS, len(ids)) for _, ids in self.items if len(ids)})
 
     def _key(self, ids: np.ndarray) -> int:
@@ -96,24 +92,22 @@ class Matcher:
                 continue
             slot = np.minimum(np.searchsorted(self.keys, key[pos]), len(self.keys) - 1)
             hit = self.keys[slot] == key[pos]
-            for p, s in zip(pos[hit].tolist(), slot[hit].tolist(), strict=True):
-                for r in range(self.bounds[s], self.bounds[s + 1]):
-                    k = int(self.of[r])
-                    step = self._margin(k)
-                    out.add((k, (p - int(self.at[r])) // step * step))
+            pos, slot = pos[hit], slot[hit]
+            each = self.bounds[slot + 1] - self.bounds[slot]
+            row = np.arange(int(each.sum())) + np.repeat(self.bounds[slot] - (np.cumsum(each) - each), each)
+            k = self.of[row]
+            step = self.margin[k]
+            out.update(zip(k.tolist(), ((np.repeat(pos, each) - self.at[row]) // step * step).tolist(), strict=True))
         return sorted(out)
 
-    def _margin(self, k: int) -> int:
-        return max(4, len(self.items[k][1]) // 4)
-
-    def scores(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, float]]:
-        """(document number, item number, score) of every document and item that share a seed."""
+    def scores(self, docs: list[np.ndarray], min_score: float = 0.0) -> Iterator[tuple[int, int, float]]:
+        """(document number, item number, score) of every document and item that share a seed and can reach min_score."""
         by_item: dict[int, list[tuple[int, int]]] = {}
         for d, ids in enumerate(docs):
             for k, p in self.places(ids):
                 by_item.setdefault(k, []).append((d, p))
         for k, found in by_item.items():
-            item, m = self.items[k][1], self._margin(k)
+            item, m = self.items[k][1], int(self.margin[k])
             width = len(item) + 3 * m
             best: dict[int, int] = {}
             step = max(1, 2_000_000 // width)
@@ -123,36 +117,16 @@ class Matcher:
                 for i, (d, p) in enumerate(part):
                     cut = docs[d][max(0, p - m) : max(0, p - m + width)]
                     win[i, : len(cut)] = cut
-                for (d, _), s in zip(part, align(item, win).tolist(), strict=True):
+                may = np.flatnonzero(np.isin(win, item).sum(1) / len(item) >= min_score)  # a score is at most the equal words
+                for i, s in zip(may.tolist(), align(item, win[may]).tolist(), strict=True):
+                    d = part[i][0]
                     best[d] = max(best.get(d, 0), s)
             for d, s in best.items():
                 yield d, k, s / len(item)
 
 
-def word_shares(docs: DataFrame, vocabulary: set[bytes]) -> tuple[dict[bytes, float], int]:
-    """Share of each word of the vocabulary among all words of docs, and the number of these."""
-    names = sorted(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: i for i, w in enumerate(names)}
-        counts, total = np.zeros(len(names) + 1, np.int64), 0
-        for b in batches:
-            for raw in b.column(1).cast(pa.binary()).to_pylist():
-                ws = words(raw)
-                total += len(ws)
-                counts[:-1] += np.bincount([i for w in ws if (i := place.get(w)) is not None], minlength=len(names))[: len(names)] if len(names) else 0
-        counts[-1] = total
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["word", "n"])
-
-    rows = docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row per word of the test set
-    n = {r["word"]: r["n"] for r in rows}
-    total = n.pop(len(names), 0)
-    return {names[i]: c / total for i, c in n.items()}, total
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.4, max_chance: float = 1e-7, block_bytes: int = 16_000_000) -> DataFrame:
-    """doc_id, item_id, score of every pair that reaches min_score."""
+    """doc_id, item_id, score of every pair that reaches min_score.  max_chance is still taken but cuts nothing."""
     src = doc_texts(docs)
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -162,15 +136,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.4,
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).distinct().collect()
         texts = [(r["item_id"], r["text"].encode("utf-8", "surrogatepass")) for r in rows]
-        share, total = word_shares(src, {w for _, t in texts for w in words(t)})
-        matcher = spark.sparkContext.broadcast(Matcher(texts, share, max_chance, 1 / max(total, 1)))
+        matcher = spark.sparkContext.broadcast(Matcher(texts))
 
         def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
             m = matcher.value
             get = m.number.get
             for b in batches:
                 numbered = [np.array([get(w, -1) for w in words(raw)], np.int64) for raw in b.column(1).cast(pa.binary()).to_pylist()]
-                found = [(d, m.items[k][0], s) for d, k, s in m.scores(numbered) if s >= min_score]
+                found = [(d, m.items[k][0], s) for d, k, s in m.scores(numbered, min_score) if s >= min_score]
                 ids = b.column(0).take(pa.array([d for d, _, _ in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([i for _, i, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.float64())], names=["doc_id", "item_id", "score"])
 

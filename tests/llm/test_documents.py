@@ -264,6 +264,17 @@ def test_leaks_are_found_in_blocks_too(spark, docs, odd, empty):
     assert left.count() == table.count() - 2 and left.columns == table.columns
 
 
+def test_every_item_is_searched_at_every_size(spark):
+    common = "it is one of the many that we have in the end"
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "zyzzyva"), (3, common), (4, "omega psi")], "item_id long, text string")
+    small = [(1, "alpha beta gamma delta epsilon zeta"), (2, "a Zyzzyva here"), (3, "so " + common), (4, "an omega psi")]
+    leaked = small + [(k, small[0][1]) for k in range(5, 40)] + [(k, "it is one of many in the end that we have the " * 20) for k in range(40, 60)]
+    for rows in (small, leaked):
+        out = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).where("score = 1").collect()
+        found = {(r["doc_id"], r["item_id"]) for r in out}
+        assert {(k, k) for k in (1, 2, 3, 4)} | {(i, 1) for i, t in rows if t == small[0][1]} == found
+
+
 # toxicity
 
 
