@@ -4,6 +4,7 @@ Every document gets two histograms, one of character classes and one of common w
 bin).  References per language are the mean histograms of the corpus itself: every document that passes the base rules
 and is long enough adds its histograms, weighted alike, to its language.  The verdict takes the Jensen-Shannon distance
 (square root of the divergence, base 2) to the nearest language reference, so a wrong language label costs nothing.
+Every language label has a reference; they are a table that the workers visit in blocks of LANGUAGES.
 
 Words are runs of bytes other than space, tab, \\n, \\v, \\f, \\r.  Null texts are empty: all counts 0, base_failed.
 Documents below min_words get no divergence verdict (the base rules decide).  Repeated rows are judged one by one.
@@ -17,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sphaera.llm.common import KEEP
+from sphaera.llm.common import KEEP, materialise
 
 # Frequent function words of four languages.
 COMMON_WORDS = (
@@ -53,6 +56,7 @@ def _class_of_byte() -> np.ndarray:
 
 
 BYTE_CLASS = _class_of_byte()
+LANGUAGES = 64
 N_CLASSES, N_WORDS = len(CHAR_CLASSES), len(COMMON_WORDS) + 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,8 +135,8 @@ def _shares(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return c / np.maximum(c.sum(1, keepdims=True), 1), w / np.maximum(w.sum(1, keepdims=True), 1)
 
 
-def references(profiled: DataFrame, min_words: int, max_languages: int = 64) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Mean histograms per language; the max_languages languages with most documents, so the result has a fixed size."""
+def references(profiled: DataFrame, min_words: int) -> DataFrame:
+    """lang, n, means (both histograms in a row) of every language, those with most documents first; written to files."""
     bins = N_CLASSES + N_WORDS
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,9 +149,17 @@ def references(profiled: DataFrame, min_words: int, max_languages: int = 64) ->
 
     fit = profiled.where(~base_failed() & (F.col("n_words") >= min_words)).select("lang", "histograms")
     parts = fit.mapInArrow(partial, "lang string, n long, sums array<double>")
-    rows = parts.groupBy("lang").agg(F.sum("n").alias("n"), *(F.sum(F.element_at("sums", i + 1)).alias(f"s{i}") for i in range(bins))).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    means = {r["lang"]: np.array(r[2:], float) / r["n"] for r in rows}
-    return {k: (v[:N_CLASSES], v[N_CLASSES:]) for k, v in means.items()}
+    rows = parts.groupBy("lang").agg(F.sum("n").alias("n"), *(F.sum(F.element_at("sums", i + 1)).alias(f"s{i}") for i in range(bins)))
+    means = rows.select("lang", "n", F.array(*(F.col(f"s{i}") / F.col("n") for i in range(bins))).alias("means"))
+    return materialise(means.orderBy(F.desc("n"), "lang"), "references")
+
+
+def _reference_blocks(files: list[str]) -> Iterator[np.ndarray]:
+    for path in files:
+        fs, inner = pafs.FileSystem.from_uri(path)
+        with fs.open_input_file(inner) as f:
+            for b in pq.ParquetFile(f).iter_batches(LANGUAGES, columns=["means"]):
+                yield b.column(0).flatten().to_numpy().reshape(b.num_rows, N_CLASSES + N_WORDS)
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -168,19 +180,19 @@ def score(docs: DataFrame, lang_col: str | None = "lang", min_words: int = 20, m
     a text that mixes languages has few words of any one list, but usual characters.
     """
     profiled = profiles(docs, lang_col).persist(KEEP)
-    refs = references(profiled, min_words)
-    ref_c, ref_w = (np.array([r[k] for r in refs.values()]) for k in (0, 1))
+    files = sorted(references(profiled, min_words).inputFiles())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
             c, w = _shares(b)
-            if len(refs):
-                dc, dw = (np.stack([js_distance(x, r) for r in ref]) for x, ref in ((c, ref_c), (w, ref_w)))
-                near = np.argmin(dc + dw, 0)
-                dc, dw = dc[near, np.arange(n)], dw[near, np.arange(n)]
-            else:
-                dc = dw = np.zeros(n)
+            dc, dw = np.full(n, np.inf), np.full(n, np.inf)
+            for block in _reference_blocks(files):
+                for ref in block:
+                    rc, rw = js_distance(c, ref[:N_CLASSES]), js_distance(w, ref[N_CLASSES:])
+                    near = rc + rw < dc + dw
+                    dc, dw = np.where(near, rc, dc), np.where(near, rw, dw)
+            dc, dw = np.where(np.isinf(dc), 0, dc), np.where(np.isinf(dw), 0, dw)  # no reference at all
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("doc_id", *BASE)), pa.array(dc), pa.array(dw)], names=["doc_id", *BASE, "char_distance", "word_distance"])
 
     judged = profiled.mapInArrow(run, COUNTS + ", char_distance double, word_distance double")

@@ -46,6 +46,13 @@ def test_quality_verdicts_follow_labels(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.1
 
 
+def test_every_language_has_its_reference(spark):
+    prose = [(100 * k + r, " ".join(f"word{chr(97 + (i * 7 + k + r) % 26)}{chr(97 + i)} of" for i in range(24)), f"l{k}") for k in range(66) for r in range(3)]
+    rare = [(90_000 + r, " ".join(f"#{1000 + 37 * i + r}#" for i in range(40)), "zz") for r in range(2)]
+    out = {r["doc_id"]: r for r in quality.score(spark.createDataFrame(prose + rare, "doc_id long, text string, lang string")).collect()}
+    assert len(out) == len(prose) + 2 and all(r["kept"] for r in out.values()) and out[90_000]["char_distance"] < 0.01
+
+
 def test_js_distance():
     p = np.array([[1.0, 0.0], [0.5, 0.5]])
     assert np.allclose(quality.js_distance(p, np.array([0.0, 1.0]))[0], 1) and quality.js_distance(p, np.array([0.5, 0.5]))[1] == 0
