@@ -1,7 +1,7 @@
 """Secret scanning in DataFrame operations: wide candidate patterns, then a random forest that removes false findings.
 
-Candidates are opaque tokens (16 or more of A-Z a-z 0-9 + / _ - with a digit) and values assigned to a telling name.  A
-random forest (Spark's own) judges each by its length, its character transitions, how much of it dictionary words cover,
+Candidates are opaque tokens (16 or more of A-Z a-z 0-9 + / _ -, or fewer after a known prefix) and values assigned to a
+telling name, up to their delimiter; of a candidate within another the wider one stays.  A random forest (Spark's own) judges each by its length, its character transitions, how much of it dictionary words cover,
 whether it stands in a path, and the words next to it.  It is trained from labelled findings, a table (text, secret):
 labelled_findings() makes one of built texts of both kinds, and a caller may pass another.  Everything on the way is a
 column expression or a JVM-side Spark ML stage.
@@ -22,15 +22,17 @@ from sphaera.llm.common import doc_texts
 from sphaera.llm.spans import gaps, located, matches
 
 TOKEN = "A-Za-z0-9+/_-"
-OPAQUE = rf"(?<![{TOKEN}])(?=[{TOKEN}]{{0,256}}?[0-9])[{TOKEN}]{{16,}}+={{0,2}}+"
+PREFIX = "(?:AKIA|ASIA|gh[pousr]_|xox[abp]-|sk_live_|rk_live_|AIza|eyJ|glpat-|npm_)"
+OPAQUE = rf"(?<![{TOKEN}])(?:[{TOKEN}]{{16,}}+|{PREFIX}[{TOKEN}]{{6,}}+)={{0,2}}+"
 #: The name is in the context; lookbehinds must be bounded, so up to three characters may part it from the value.
-ASSIGNED = r"(?<=(?:(?:[Pp]ass(?:word|wd|phrase)|PASSWORD|[Pp]wd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa][Pp][Ii][_-]?[Kk][Ee][Yy]|[Aa]ccess[_-]?[Kk]ey|[Pp]rivate[_-]?[Kk]ey)[\"']?\x20{0,2}[=:]\x20{0,2}[\"']?))[^\s\"',;]{6,256}+"
+ASSIGNED = r"(?<=(?:(?:[Pp]ass(?:word|wd|phrase)|PASSWORD|[Pp]wd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa][Pp][Ii][_-]?[Kk][Ee][Yy]|[Aa]ccess[_-]?[Kk]ey|[Pp]rivate[_-]?[Kk]ey)[\"']?\x20{0,2}[=:]\x20{0,2}[\"']?))[^\s\"',;]{6,}+"
 
 # Word lists.
 DICTIONARY = (
     "about above after again all also and any are back because been before being between both but call can come could day did each even find first for from get give good great had has have help her here him his home house how into its just keep know large last life like line little live long look made make man many may more most much name need new next not now number off old one only other our out over own page part people place point right said same school see set should show small some state still such take than that the their them then there these they thing think this those three time two under use very want was water way well went were what when where which while who will with word work world would year you your"
     " data file user test value index model server client string table query node item list code date path info main core util base type config default version build release"
 ).split()
+SYLLABLES = "ver schaft ung tion ment keit heit lich gesell arbeit unter nehm wirt inter nat isa comp able ist mente dad eur pro gram krank haus ent wick lung respon sab ili contra dict trans form micro elec tro ander über auf gab zeit raum kraft werk".replace("ü", "ue").split()
 BIGRAMS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch be ll ma si om ur".split()
 CUE = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|login)[^\n]{0,12}$"
 COUNTER = r"(?i)(?:sha-?(?:1|256|512)?|md5|crc|checksum|digest|commit|revision|hash|uuid|guid|etag|isbn|doi|order|invoice|card|visa|account|phone|tel|example|sample|dummy|test|integrity|image|file|path|href|src)[^\n]{0,12}$"
@@ -55,7 +57,7 @@ def features(s: Column, kind: str) -> dict[str, Column]:
         "length": F.least(n, F.lit(256)).cast("double"), "digits": _share(hit, "[0-9]"), "upper": _share(hit, "[A-Z]"), "lower": _share(hit, "[a-z]"), "marks": _share(hit, "[^A-Za-z0-9]"),
         "switches": switches / n, "bigrams": _share(low, "(?:" + "|".join(BIGRAMS) + ")"), "distinct": F.size(F.array_distinct(F.split(F.substring(low, 1, 256), ""))) / F.least(n, F.lit(36)),
         "coverage": _share(low, "(?:" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")"), "hex": yes(hit.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), "numeric": yes(hit.rlike("^[0-9-]+$")),
-        "uuid": yes(low.rlike("^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")), "known_prefix": yes(hit.rlike("^(?:AKIA|ASIA|gh[pousr]_|xox[abp]-|sk_live_|rk_live_|AIza|eyJ|glpat-|npm_)")),
+        "uuid": yes(low.rlike("^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")), "known_prefix": yes(hit.rlike("^" + PREFIX)),
         "in_path": yes(hit.rlike("[^/]/[^/]") | before.rlike(r"(?:https?:|www\.|[./\\]|~)[^\s]{0,30}$") | after.rlike(r"^[./\\][A-Za-z]")), "quoted": yes(before.rlike("[\"']$") & after.rlike("^[\"']")), "assigned": yes(before.rlike(r"[=:]\x20?[\"']?$")) if kind != "assigned" else F.lit(1.0),
         "cue": yes(before.rlike(CUE)), "counter": yes(before.rlike(COUNTER)), "after_counter": yes(after.rlike(AFTER_COUNTER)), "words_around": yes(before.rlike(r"[a-z]{2,}[.,]?\x20$")) + yes(after.rlike(r"^\x20[A-Za-z]{2,}")),
     }
@@ -64,12 +66,16 @@ def features(s: Column, kind: str) -> dict[str, Column]:
 def candidates(texts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per candidate: doc_id, the columns in keep, start, stop, kind and the features.  texts: doc_id, text, keep."""
     text, none = F.col("text"), F.array().cast("array<string>")
-    may = {"opaque": text.rlike("[0-9]"), "assigned": text.rlike(r"(?i)(?:pass|pwd|secret|token|key)[a-z]{0,6}[\"']?\x20{0,2}[=:]")}
+    may = {"opaque": text.rlike(OPAQUE), "assigned": text.rlike(r"(?i)(?:pass|pwd|secret|token|key)[a-z]{0,6}[\"']?\x20{0,2}[=:]")}
     pattern = {"opaque": OPAQUE, "assigned": ASSIGNED}
     out = texts.withColumns({f"m_{k}": F.when(may[k], matches(text, p)).otherwise(none) for k, p in pattern.items()} | {f"g_{k}": F.when(may[k], gaps(text, p)).otherwise(none) for k, p in pattern.items()})
     out = out.select("doc_id", *keep, *(located(F.col(f"m_{k}"), F.col(f"g_{k}"), 48).alias(f"s_{k}") for k in pattern))
-    # a value that an opaque token overlaps is the same finding
-    out = out.withColumn("s_assigned", F.filter("s_assigned", lambda a: ~F.exists("s_opaque", lambda o: (o["start"] < a["stop"]) & (a["start"] < o["stop"]))))
+    # of a value and an opaque token one of which holds the other, the wider is the finding
+    within = lambda x, y: (y["start"] <= x["start"]) & (x["stop"] <= y["stop"])
+    out = out.select(
+        "doc_id", *keep, F.filter("s_opaque", lambda o: ~F.exists("s_assigned", lambda a: within(o, a) & ~within(a, o))).alias("s_opaque"),
+        F.filter("s_assigned", lambda a: ~F.exists("s_opaque", lambda o: within(a, o))).alias("s_assigned"),
+    )
 
     def judged(kind: str) -> Column:
         return F.transform(F.col(f"s_{kind}"), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["text"].alias("text"), s["before"].alias("before"), s["after"].alias("after")))
@@ -91,14 +97,21 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     name = pick(["password", "token", "secret", "api_key", "access_key", "passwd", "auth_token", "private_key"], "name")
     gap, quote = pick(["=", ": ", " = ", "="], "gap"), pick(["", '"', "'"], "quote")
     digits = F.regexp_replace(F.conv(F.substring(h("d"), 1, 15), 16, 10), "^0+", "1")
+    letters = F.translate(b64, "0123456789", "qKzWxJvHpY")
+    syllable = lambda salt: pick(SYLLABLES, salt)
     secret = [
         F.concat(name, gap, quote, F.substring(h("x"), F.lit(1), size + 16), quote), F.concat(name, gap, quote, F.substring(b64, F.lit(1), size + 16), quote), F.concat(F.lit("AKIA"), F.upper(F.substring(F.translate(b64, "0189", "2345"), 1, 16))),
         F.concat(pick(["ghp_", "sk_live_", "xoxb-", "AIza", "glpat-"], "prefix"), F.substring(b64, 1, 36)), F.concat(F.lit("Bearer "), b64), F.concat(name, gap, F.substring(b64, F.lit(1), F.lit(8) + size % 6)),
+        F.concat(F.lit("AKIA"), F.upper(F.substring(letters, 1, 16))), F.substring(letters, F.lit(1), size + 16), F.substring(b64, F.lit(1), size + 16), F.concat(name, gap, quote, F.substring(b64, 1, 4), F.lit("!$"), F.substring(b64, F.lit(5), size + 16), quote),
     ]
     plain = [
         F.concat(F.lit("4"), F.substring(F.rpad(digits, 15, "7"), 1, 15)), F.concat(pick(["sha256: ", "md5 ", "commit ", "checksum=", "digest: "], "sum"), h("c")), F.concat_ws("-", F.substring(h("u"), 1, 8), F.substring(h("u"), 9, 4), F.substring(h("u"), 13, 4), F.substring(h("u"), 17, 4), F.substring(h("u"), 21, 12)),
         F.concat_ws("/", F.lit(""), word("p1"), word("p2"), word("p3"), F.concat(word("p4"), size)), F.concat_ws("_", word("w1"), word("w2"), word("w3"), size.cast("string")), F.concat(F.lit("https://"), word("h1"), F.lit(".example.com/"), word("h2"), F.lit("/"), F.substring(h("l"), 1, 20)),
         F.concat_ws("-", word("d1"), F.lit("2024-05-17"), word("d2"), word("d3")), F.concat(name, gap, word("v1"), F.lit("_"), word("v2")),
+        F.concat(*(syllable(f"y{k}") for k in range(5)), F.lit("schaft")), F.initcap(F.concat(*(syllable(f"z{k}") for k in range(6)), F.lit("ation"))), F.concat(*(F.initcap(syllable(f"c{k}")) for k in range(5)), F.initcap(word("c5"))),
+        F.replace(F.concat_ws("-", word("k1"), syllable("k2"), word("k3"), F.concat(syllable("k4"), syllable("k5")), word("k6")), F.lit("-"), pick(["-", "_", "/"], "mark")), F.upper(F.concat_ws("_", word("u1"), syllable("u2"), word("u3"), F.concat(syllable("u4"), syllable("u5")))),
+        F.upper(F.concat(*(syllable(f"v{k}") for k in range(4)), word("v4"), F.lit("ation"))), F.upper(F.concat_ws("_", word("u6"), F.concat(syllable("u7"), syllable("u8"), F.lit("ion")), F.concat(syllable("u9"), F.lit("ies")))),
+        F.repeat(pick(["-", "_", "a", "/", "+-", "x", "ha"], "rule"), size * 3 + 16),
     ]
     one = lambda options, salt: F.element_at(F.array(*options), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
     yes = i % 2 == 0
