@@ -253,6 +253,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, min_agre
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stand first in their group (and one row of each id), all columns kept."""
+    """The rows of docs whose id stands first in its group, all columns kept: all rows of that id, and all rows of null id.
+
+    Of several texts under one id only one is compared with other texts on its full set.
+    """
     out = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(out, docs["doc_id"].cast("long") == out["_gone"], "left_anti")
