@@ -10,8 +10,12 @@ block, their positions and full values go to an exception list.  An index of blo
 alone.  A manifest (one row per file, in order) makes the files one sequence; a file counts only once it is in the
 manifest, so a lost executor or a second attempt leaves at most an unlisted file.
 
+The tokenizer's added tokens are taken out of a text before it is split, as the tokenizers library does as loaded
+(add_special_tokens=False governs only what is put around a text).  With plain_text=True their strings are ordinary text,
+the library's encode_special_tokens, so that no text can forge a control id.
+
 Null texts are empty: such a document is its end id alone.  Null ids sort first.  Rows of equal id are kept in the order
-of their texts.  An empty table gives no files and no rows.
+of their texts.  An empty table gives no files and no rows.  A text of any length is encoded whole, in memory.
 """
 
 from __future__ import annotations
@@ -237,13 +241,20 @@ class PieceEncoder:
     The model, its byte alphabet applied first, tokenizes the pieces that no earlier run had.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, plain_text: bool = False):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         if pattern != SPLIT_PATTERN:
             raise ValueError("the split rules stand for another pattern")
-        self.model = Tokenizer.from_file(path).model
+        library = Tokenizer.from_file(path)
+        self.model = library.model
+        added = {} if plain_text else library.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("an added token takes in what stands around it")
+        self.added = {t.content: np.array([i], "<u4") for i, t in added.items()}
+        # the longest token counts where several start
+        self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letter = {b: alphabet.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
         # the alphabet of the other bytes follows from characters that hold them
@@ -279,6 +290,13 @@ class PieceEncoder:
 
     def encode_run(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text.  texts: about RUN_BYTES together, or a single longer one."""
+        if not any(t in x for t in self.added for x in texts):
+            return self._encode_parts(texts)
+        cut = [self.marks.split(x) for x in texts]  # every second part is an added token
+        ids = iter(self._encode_parts([p for parts in cut for p in parts[::2]]))
+        return [np.concatenate([self.added[p] if k % 2 else next(ids) for k, p in enumerate(parts)]) for parts in cut]
+
+    def _encode_parts(self, texts: list[str]) -> list[np.ndarray]:
         big, at, stop, owner, cps = split_run(texts)
         if not len(at):
             return [np.zeros(0, "<u4") for _ in texts]
@@ -323,8 +341,8 @@ def _step(k: int, n: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> PieceEncoder:
-    return PieceEncoder(path, pattern)
+def _encoder(path: str, pattern: str, plain_text: bool) -> PieceEncoder:
+    return PieceEncoder(path, pattern, plain_text)
 
 
 def _runs(texts: list[str]) -> Iterator[list[str]]:
@@ -343,7 +361,7 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int | None, name: str = "tokens") -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int | None, name: str = "tokens", plain_text: bool = False) -> DataFrame:
     """Encode every text, write the files in ascending id order, return the manifest: file_no, path, n_docs, n_ids.
 
     A manifest row is as small as its path, so the manifest has a few bytes per file, whatever the files hold.
@@ -352,7 +370,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int
     folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, doc_ids, lengths, parts = _encoder(tokenizer_path, pattern), [], [], []
+        encoder, doc_ids, lengths, parts = _encoder(tokenizer_path, pattern, plain_text), [], [], []
         end = np.array([] if end_id is None else [end_id], "<u4")
         for b in batches:
             doc_ids += b.column(0).to_pylist()

@@ -11,7 +11,7 @@ def docs(spark):
 
 
 #: Cases that every operator must take: nulls, nothing, long runs, repeated rows, odd characters.
-ODD = [(1, None), (2, ""), (3, "a" * 30_000), (4, "same text of a few words here"), (4, "same text of a few words here"), (5, "same text of a few words here"), (None, "no id but some words in it"), (6, " \n\t \x0b"), (7, "1" * 20_000), (8, "naïve 漢字 😀 \x00   end"), (9, "word " * 5_000)]
+ODD = [(1, None), (2, ""), (3, "a" * 30_000), (4, "same text of a few words here"), (4, "same text of a few words here"), (5, "same text of a few words here"), (None, "no id but some words in it"), (6, " \n\t \x0b"), (7, "1" * 20_000), (8, "naïve 漢字 😀 \x00   end"), (9, "word " * 5_000), (10, "a <|endoftext|> in it<|endoftext|>")]
 
 
 @pytest.fixture(scope="session")

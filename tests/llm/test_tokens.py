@@ -70,7 +70,6 @@ def test_sections_round_trip():
 
 def test_files_round_trip(spark, docs, odd, empty):
     lib = Tokenizer.from_file(JSON)
-    lib.encode_special_tokens = True
     for table in (docs, odd, empty):
         out = [tuple(r) for r in pfor.round_trip(table, JSON, P.PATTERN, 2).collect()]
         rows = sorted(((r["doc_id"], r["text"] or "") for r in table.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
@@ -85,10 +84,21 @@ def test_files_round_trip(spark, docs, odd, empty):
 
 def test_pieces_equal_whole_texts():
     lib, ours = Tokenizer.from_file(JSON), pfor.PieceEncoder(JSON, P.PATTERN)
-    lib.encode_special_tokens = True
     random.seed(2)
     for _ in range(1500):
         t = "".join(random.choice("ab  \n\t'sé .1 ß漢😀\x00") for _ in range(random.randint(0, 40)))
         assert lib.encode(t, add_special_tokens=False).ids == ours.encode(t).tolist(), repr(t)
     run = ["", "a b", "", " \n", "it's", ""]
     assert [x.tolist() for x in ours.encode_run(run)] == [lib.encode(t, add_special_tokens=False).ids for t in run]
+
+
+def test_added_tokens_as_the_library_takes_them():
+    end = "<|endoftext|>"
+    rng = random.Random(5)
+    texts = ["".join(rng.choice([end, end[:6], " ", "a", "  \n", "it's", "|>", "é"]) for _ in range(rng.randint(0, 12))) for _ in range(400)] + [end, end * 3, f"a  {end}  b", f"a {end} b"]
+    for plain in (False, True):
+        lib, ours = Tokenizer.from_file(JSON), pfor.PieceEncoder(JSON, P.PATTERN, plain)
+        if plain:
+            lib.encode_special_tokens = True
+        assert [x.tolist() for x in ours.encode_run(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert pfor.PieceEncoder(JSON, P.PATTERN).encode(f"x{end}y").tolist() == [87, 50256, 88]
