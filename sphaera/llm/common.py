@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
 
+import pyarrow.fs as pafs
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = os.path.join(tempfile.gettempdir(), "sphaera-shared")
         os.makedirs(at, exist_ok=True)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -54,11 +57,28 @@ def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     return out
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, for files that tasks write themselves; drop_written() removes it too."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def open_uri(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a place in the shared folder."""
+    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
 _WRITTEN: list[str] = []
 
 
+def written() -> list[str]:
+    """What materialise() and new_folder() have made so far in this process."""
+    return list(_WRITTEN)
+
+
 def drop_written(spark: SparkSession, keep: Iterable[str] = ()) -> None:
-    """Remove what materialise() wrote in this process, save the paths in keep."""
+    """Remove what materialise() and new_folder() made in this process, save the paths in keep."""
     hold = set(keep)
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()

@@ -28,13 +28,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sphaera.llm.common import doc_texts, materialise, shared_dir, spread
+from sphaera.llm.common import doc_texts, materialise, new_folder, open_uri, spread
 
 BLOCK = 1024
 PERCENTILE = 0.9
@@ -357,17 +356,13 @@ def _runs(texts: list[str]) -> Iterator[list[str]]:
         yield held
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def write_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int | None, name: str = "tokens", plain_text: bool = False) -> DataFrame:
     """Encode every text, write the files in ascending id order, return the manifest: file_no, path, n_docs, n_ids.
 
     A manifest row is as small as its path, so the manifest has a few bytes per file, whatever the files hold.
     """
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = new_folder(spark, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, doc_ids, lengths, parts = _encoder(tokenizer_path, pattern, plain_text), [], [], []
@@ -381,7 +376,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int
         if not doc_ids:
             return
         no = TaskContext.get().partitionId()
-        fs, root = _open(folder)
+        fs, root = open_uri(folder)
         fs.create_dir(root, recursive=True)
         path = f"part-{no:06d}-{uuid.uuid4().hex}.pfor"
         with fs.open_output_stream(f"{root}/{path}.open") as out:
@@ -404,7 +399,7 @@ def read_tokens(manifest: DataFrame, digests: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                fs, inner = _open(path)
+                fs, inner = open_uri(path)
                 with fs.open_input_file(inner) as f:
                     doc_ids, lengths, section = decode_file(f.read())
                 ids = np.concatenate([section.read_blocks(k, min(section.blocks, k + SLICE)).astype("<u4") for k in range(0, section.blocks, SLICE)] or [np.zeros(0, "<u4")])

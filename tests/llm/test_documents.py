@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -7,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from sphaera.llm import decontaminate, hpylm, neardup, pii, quality, secrets, substrings, suffix, toxicity
+from sphaera.llm import decontaminate, hpylm, neardup, pii, quality, seating, secrets, substrings, suffix, toxicity
 
 SEP = r"[^\x20\x09-\x0D]+"
 
@@ -80,11 +81,108 @@ def test_lm_beats_smoothed_counts_on_held_out_text(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_lm_probabilities_sum_to_one(spark, docs):
-    m = hpylm.fit(docs.select("doc_id", "text"))
-    assert m.words.selectExpr("sum(p)").first()[0] + m.p_unknown == pytest.approx(1, abs=1e-6)
-    keys = np.arange(257, dtype=np.int64) + hpylm.START * (hpylm.SYMBOLS + hpylm.SYMBOLS**2 + hpylm.SYMBOLS**3 + hpylm.SYMBOLS**4)
-    assert np.allclose(m.spelling.predict(keys).sum(1), 1)
+def lm_by_hand(training, queries, strength, root_strength, sweeps=60, burn_in=20, seed=1):
+    """Mean log10 probabilities of the queries by one-customer-at-a-time Gibbs over a context level and a root."""
+    rng = np.random.default_rng(seed)
+    pairs = [(u, w) for t in training for u, w in zip([None, *t[:-1]], t, strict=True)]
+    kinds, times = collections.Counter(pairs), collections.Counter(collections.Counter(pairs).values())
+    d = hpylm.discount_of(times[1], times[2])
+    houses = {}  # context -> dish -> table sizes
+    for u, w in pairs:
+        sizes = houses.setdefault(u, {}).setdefault(w, [])
+        sizes[:] = [sizes[0] + 1] if sizes else [1]
+    root = collections.Counter(w for dishes in houses.values() for w, sizes in dishes.items() for _ in sizes)
+
+    def predict(w):
+        ones = collections.Counter(root.values())
+        d0, n = hpylm.discount_of(ones[1], ones[2]), sum(root.values())
+        return (root[w] - d0 if root[w] > 0 else root_strength + d0 * len([x for x in root.values() if x])) / (root_strength + n)
+
+    logs = np.zeros(len(queries))
+    total = {u: sum(map(len, dishes.values())) for u, dishes in houses.items()}
+    movable = [p for p, c in kinds.items() if c > 1]
+    for sweep in range(sweeps):
+        for u, w in movable:
+            for _ in range(kinds[u, w]):
+                sizes = houses[u][w]
+                k = rng.choice(len(sizes), p=np.array(sizes) / sum(sizes))
+                sizes[k] -= 1
+                if not sizes[k]:
+                    sizes.pop(k)
+                    total[u] -= 1
+                    root[w] -= 1
+                fresh = (strength + d * total[u]) * (predict(w) if root[w] else root_strength / (root_strength + sum(root.values())))
+                weights = np.array([x - d for x in sizes] + [fresh])
+                k = rng.choice(len(weights), p=weights / weights.sum())
+                if k == len(sizes):
+                    sizes.append(1)
+                    total[u] += 1
+                    root[w] += 1
+                else:
+                    sizes[k] += 1
+        if sweep >= burn_in:
+            for i, t in enumerate(queries):
+                for u, w in zip([None, *t[:-1]], t, strict=True):
+                    dishes = houses.get(u, {})
+                    n = sum(sum(x) for x in dishes.values())
+                    own = sum(dishes.get(w, ())) - d * len(dishes.get(w, ()))
+                    logs[i] += math.log10((own + (strength + d * total.get(u, 0)) * predict(w)) / (strength + n)) / (sweeps - burn_in)
+    return logs
+
+
+def test_lm_tables_equal_enumeration():
+    c, p, strength, d = [5, 3, 1, 2], [0.3, 0.05, 0.2, 0.4], 1.0, 0.6
+    ways = np.zeros((6, 6))  # seatings of c customers at t tables, weighted by the discount
+    ways[0, 0] = 1
+    for n in range(5):
+        for t in range(1, n + 2):
+            ways[n + 1, t] = ways[n, t - 1] + (n - d * t) * ways[n, t]
+    mean, whole = np.zeros(4), 0.0
+    for t in itertools.product(*(range(1, x + 1) for x in c)):
+        weight = math.prod(strength + d * k for k in range(sum(t))) * math.prod(ways[x, y] * q**y for x, y, q in zip(c, t, p, strict=True))
+        mean, whole = mean + weight * np.array(t), whole + weight
+    many = 20_000
+    seed = neardup.mix(np.arange(4 * many, dtype=np.uint64))
+    out = seating.sample_tables(np.tile(c, many), np.repeat(np.arange(many), 4), np.tile(p, many), np.zeros(many, np.int64), seed, strength, d, 4, 3, 3) / 3
+    assert np.abs(out.reshape(many, 4).mean(0) - mean / whole).max() < 0.02
+
+
+def test_lm_equals_sequential_sampler(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(40)]
+    chain = rng.dirichlet(np.full(40, 0.05), 40)
+    rows = []
+    for i in range(120):
+        at, text = int(rng.integers(40)), []
+        for _ in range(int(rng.integers(5, 40))):
+            text.append(words[at])
+            at = int(rng.choice(40, p=chain[at]))
+        rows.append((i, " ".join(text + (["odd" + str(i)] if i % 9 == 0 else []))))
+    out = {r["doc_id"]: r for r in hpylm.held_out_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2]
+    tok = lambda t: [*t.split(), "\n"]
+    by_hand = lm_by_hand([tok(t) for i, t in rows if i not in held], [tok(rows[i][1]) for i in held], hpylm.STRENGTH, hpylm.ROOT_STRENGTH)
+    assert np.abs(np.array([out[i]["score"] for i in held]) / by_hand - 1).max() < 0.02
+    assert all(out[i]["perplexity"] == pytest.approx(10 ** (-out[i]["score"] / out[i]["n_tokens"])) for i in held)
+
+
+def test_lm_scores_follow_words_in_order_and_no_layout(spark, docs):
+    table = docs.select("doc_id", "text")
+    get = lambda t, **o: {r["doc_id"]: r["score"] for r in hpylm.held_out_scores(t, **o).collect()}
+    whole = get(table, bucket_tokens=5_000)
+    assert whole == get(table.repartition(7), bucket_tokens=5_000, chunk_tokens=4_000)
+    # restaurants that are dealt over several buckets score like whole ones
+    one = get(table)
+    assert np.mean([abs(whole[i] / one[i] - 1) for i in one]) < 0.005
+    sorted_words = table.selectExpr("doc_id", "array_join(array_sort(split(text, '[\\\\x20\\\\x09-\\\\x0D]+')), ' ') AS text")
+    assert np.mean([abs(x / one[i] - 1) for i, x in get(sorted_words).items()]) > 0.05
+
+
+def test_lm_root_sums_to_one():
+    c = np.array([3, 6, 9, 30, 3])  # over three samples
+    for scale in (1, 3):
+        p, rest = hpylm.root_of(c, (int(c.sum()), 5, int((c == scale).sum()), int((c == 2 * scale).sum())), scale)
+        assert p.sum() + rest == pytest.approx(1) and hpylm.root_of(np.zeros(1, int), (int(c.sum()), 5, 2, 1), scale)[0][0] > 0
 
 
 # repeated strings
