@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sphaera.llm.common import KEEP, doc_texts
-from sphaera.llm.spans import gaps, located, matches
+from sphaera.llm.spans import cut_out, gaps, let, located, matches, running_max
 
 LOCAL = "A-Za-z0-9._%+-"
 #: Anchors keep the leftmost start of each run, or the end of the match before it, and skip all hopeless later starts.
@@ -33,20 +33,32 @@ BASE_PATTERNS = {
 KINDS = tuple(BASE_PATTERNS)
 #: Wider candidates; a kind of its own per writing, reported under the name after the slash's left side.
 WIDE_PATTERNS = {
-    "email/spelled": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]{1,64}+\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:[\[(]\x20?dot\x20?[\])]|\.)\x20?[A-Za-z0-9-]{1,63}+)++",
+    "email/spelled": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:[\[(]\x20?dot\x20?[\])]|\.)\x20?[A-Za-z0-9-]++)++",
     "phone/local": r"(?<![0-9+A-Za-z.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
     "ssn/dashed": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban/plain": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip/colons": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "name/titled": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20[A-Z][a-z]{2,20}(?:\x20[A-Z][a-z]{2,20})?",
+    "name/titled": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20[A-Z][a-z]{2,}+(?:\x20[A-Z][a-z]{2,}+)?",
 }
 VOTES = ("shape", "checksum", "gazetteer", "cue_before", "cue_after", "counter")
 
 # Word lists of the labelers.
 CUES = r"(?i)(?:e-?mail|mail|contact|phone|tel|call|mobile|fax|card|visa|account|iban|ssn|social|server|host|login|address|reach|kontakt|telefon|correo|courriel|adresse|name)"
 COUNTERS = r"(?i)(?:version|release|order|invoice|isbn|chapter|figure|table|section|page|error|build|v)[\x20.:#]*$"
-MAIL_GAZETTEER = r"(?i)(?:\.|dot[\])]?\x20?)(?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info|co)\b"
-FIRST_NAMES = r"\b(?:Anna|Maria|John|James|Mary|Peter|Paul|Hans|Jean|Marie|Pierre|Jose|Juan|Carmen|Thomas|Michael|Robert|David|Laura|Lisa)\b"
+DOMAINS = (
+    "com org net edu gov mil int info biz name pro dev app io ai co me tv cc xyz online site shop blog cloud"
+    " de fr es uk eu it nl be at ch pl pt se no dk fi ie cz sk hu ro bg gr tr ru ua rs hr si lt lv ee lu is"
+    " us ca mx br ar cl pe ve uy au nz jp cn kr in id my sg th vn ph tw hk za eg ma ng ke il ae sa ir pk"
+).split()
+MAIL_GAZETTEER = r"(?i)(?:\.|dot[\])]?\x20?)(?:" + "|".join(DOMAINS) + r")\b"
+NAMES = (
+    "Anna Maria Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Emily Laura Emma Olivia Sophia Amelia Charlotte Alice Julia Kate Helen Ruth Grace Jane"
+    " James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew George Peter Henry Edward Oliver Jack Harry Samuel Benjamin Adam Simon Martin Alexander"
+    " Hans Klaus Wolfgang Jürgen Dieter Stefan Andreas Markus Tobias Lukas Felix Jonas Karl Heinrich Ursula Monika Petra Sabine Birgit Heike Katrin Claudia Greta Lena Hannah"
+    " Jean Pierre Michel Philippe Alain Nicolas Jacques François Luc Antoine Marie Nathalie Isabelle Sylvie Catherine Françoise Monique Camille Chloé Sophie Claire Élise Manon Juliette Louise"
+    " José Jose Juan Antonio Manuel Francisco Luis Carlos Javier Miguel Pedro Pablo Alejandro Fernando Diego Carmen Josefa Isabel Ana Dolores Pilar Teresa Rosa Lucía Elena Marta Paula Sofía"
+).split()
+FIRST_NAMES = r"\b(?:" + "|".join(dict.fromkeys(NAMES)) + r")\b"
 RESERVED_IP = r"^(?:0|127|255)\."
 
 
@@ -64,6 +76,18 @@ def luhn(number: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + worth(i)) % 10 == 0
 
 
+def iban_check(hit: Column) -> Column:
+    """Digits of the number with its first four characters last, letters as 10 to 35, leave 1 by 97."""
+    plain = F.regexp_replace(hit, " ", "")
+    turned = F.split(F.concat(F.substring(plain, 5, 40), F.left(plain, F.lit(4))), "")
+
+    def step(acc: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code >= 65, (acc * 100 + code - 55) % 97).otherwise((acc * 10 + code - 48) % 97)
+
+    return F.aggregate(turned, F.lit(0), step) == 1
+
+
 def base_rule(kind: str, hit: Column) -> Column:
     octet = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
     number = digits(hit)
@@ -91,7 +115,7 @@ def votes(kind: str, s: Column) -> list[Column]:
     }[kind]
     checksum = {
         "email": (F.length(hit) <= 254, F.length(hit) > 254), "ip": (~hit.rlike(RESERVED_IP), hit.rlike(RESERVED_IP)), "card": (hit.rlike(r"^[3456]"), hit.rlike(r"^[0179]")), "phone": (F.length(number).between(11, 13), F.length(number) > 14),
-        "phone/local": (hit.rlike(r"^\(?[2-9]"), hit.rlike(r"^\(?[01]")), "ssn/dashed": (~hit.rlike(r"-00-|-0000$"), hit.rlike(r"-00-|-0000$")), "iban/plain": (F.length(F.regexp_replace(hit, " ", "")).between(15, 34), F.lit(False)),
+        "phone/local": (hit.rlike(r"^\(?[2-9]"), hit.rlike(r"^\(?[01]")), "ssn/dashed": (~hit.rlike(r"-00-|-0000$"), hit.rlike(r"-00-|-0000$")), "iban/plain": (iban_check(hit), ~iban_check(hit)),
     }.get(kind, (F.lit(False), F.lit(False)))
     gazetteer = {"email": hit.rlike(MAIL_GAZETTEER), "email/spelled": hit.rlike(MAIL_GAZETTEER), "name/titled": hit.rlike(FIRST_NAMES), "iban/plain": hit.rlike(r"^(?:DE|FR|ES|GB|IT|NL|BE|AT|CH|PL|PT)"), "card": hit.rlike(r"^(?:4|5[1-5]|34|37|6011)")}.get(kind, F.lit(False))
     return [_vote(shape, ~shape), _vote(*checksum), _vote(gazetteer), _vote(before.rlike(CUES + r"[^\n]{0,12}$")), _vote(after.rlike(r"^[^\n]{0,12}" + CUES)), _vote(F.lit(False), glued | before.rlike(COUNTERS))]
@@ -128,7 +152,23 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     wide = [_judged(k, r, F.col(f"s_{name[k]}")) for r, k in enumerate(WIDE_PATTERNS, len(KINDS))]
     out = out.select("doc_id", *keep, F.array_sort(F.concat(*base)).alias("base"), F.concat(*wide).alias("wide"))
     # a wider candidate that touches a base span adds nothing
-    return out.withColumn("wide", F.filter("wide", lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"]))))
+    return out.withColumn("wide", F.when((F.size("wide") == 0) | (F.size("base") == 0), F.col("wide")).otherwise(_apart(F.col("base"), F.col("wide"))))
+
+
+def _apart(base: Column, wide: Column) -> Column:
+    """The wide spans that touch no base span, in order; both are met in one sorted array."""
+    is_base = lambda s: s["rank"] < len(KINDS)
+    far = F.lit(2**62)
+
+    def keep(v: Column) -> Column:
+        n = F.size(v)
+        ends = F.transform(v, lambda s: F.when(is_base(s), s["stop"]).otherwise(0))
+        # the same from the other end: the least start of the base spans behind is the largest of what is left of `far`
+        starts = F.reverse(F.transform(v, lambda s: F.when(is_base(s), far - s["start"]).otherwise(0)))
+        apart = lambda stop, start: F.filter(v, lambda s, i: ~is_base(s) & (stop(i) <= s["start"]) & (far - start(n - 1 - i) >= s["stop"]))
+        return running_max(ends, lambda stop: running_max(starts, lambda start: apart(stop, start)))
+
+    return let(F.array_sort(F.concat(base, wide)), keep)
 
 
 def estimate(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> tuple[dict[tuple[str, tuple[int, ...]], float], dict[str, dict[int, tuple[float, float]]]]:
@@ -224,13 +264,7 @@ def mask(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), row)
     found = candidates(src, ("text", "_row")).select("text", "_row", _accepted(theta, threshold).alias("spans"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    masked = cut_out(F.col("text"), F.col("spans"), lambda s: F.concat(F.lit("["), s["kind"], F.lit("]")))
     clean = F.when(F.col("_row.text").isNull(), None).when(F.size("spans") == 0, F.col("_row.text")).otherwise(masked)
     return found.select(*((clean.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c)) for c in docs.columns))
 

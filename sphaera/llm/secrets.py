@@ -1,13 +1,15 @@
 """Secret scanning in DataFrame operations: wide candidate patterns, then a random forest that removes false findings.
 
 Candidates are opaque tokens (16 or more of A-Z a-z 0-9 + / _ -, or fewer after a known prefix) and values assigned to a
-telling name, up to their delimiter; of a candidate within another the wider one stays.  A random forest (Spark's own) judges each by its length, its character transitions, how much of it dictionary words cover,
-whether it stands in a path, and the words next to it.  It is trained from labelled findings, a table (text, secret):
+telling name, up to their delimiter; of a candidate within another the wider one stays.  A random forest (Spark's own)
+judges each by its length, its character transitions, how much of it dictionary words cover, whether it stands in a path,
+and the words next to it.  It is trained from labelled findings, a table (text, secret):
 labelled_findings() makes one of built texts of both kinds, and a caller may pass another.  Everything on the way is a
 column expression or a JVM-side Spark ML stage.
 
-Null texts are empty and have no findings.  Repeated rows give their findings once each.  Long runs of one character
-take linear time: patterns are possessive and start only at the border of a run.
+Null texts are empty and have no findings; an empty table gives none.  Repeated rows give their findings once each, rows
+with a null id findings with a null id; columns other than doc_id and text are not read.  Long runs of one character
+take linear time: patterns are possessive and start only at the border of a run; so do texts of many candidates.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sphaera.llm.common import doc_texts
-from sphaera.llm.spans import gaps, located, matches
+from sphaera.llm.spans import gaps, let, located, matches, running_max
 
 TOKEN = "A-Za-z0-9+/_-"
 PREFIX = "(?:AKIA|ASIA|gh[pousr]_|xox[abp]-|sk_live_|rk_live_|AIza|eyJ|glpat-|npm_)"
@@ -29,8 +31,11 @@ ASSIGNED = r"(?<=(?:(?:[Pp]ass(?:word|wd|phrase)|PASSWORD|[Pp]wd|[Ss]ecret|SECRE
 
 # Word lists.
 DICTIONARY = (
-    "about above after again all also and any are back because been before being between both but call can come could day did each even find first for from get give good great had has have help her here him his home house how into its just keep know large last life like line little live long look made make man many may more most much name need new next not now number off old one only other our out over own page part people place point right said same school see set should show small some state still such take than that the their them then there these they thing think this those three time two under use very want was water way well went were what when where which while who will with word work world would year you your"
-    " data file user test value index model server client string table query node item list code date path info main core util base type config default version build release"
+    "about above after again also because before being between both could down each even find first from give good great have help here house into just know large last life like line little long look made make many more most much name need next number only open order other over part people place point right same school should show small some state still such take than that their them then there these they thing think this those three time under very want water well what when where which while will with word work world would year your"
+    " aber alle auch beim dass dein durch eine einer gegen haben jahr kann kein land leben mehr muss nach nicht noch oder ohne schon sein seine sich sind stadt teil unter viel wenn werden wieder wird zeit zwischen"
+    " alors aussi autre avec bien cette comme dans depuis deux donc elle encore entre faire jour leur mais monde nous pour sans sont sous tout vous"
+    " antes cada como cuando desde donde ella entre este hasta hombre lugar mundo nada nuevo otro para pero porque sobre tiempo todo vida"
+    " data file user test value index model server client string table query node code date path info main core config default version build release"
 ).split()
 SYLLABLES = "ver schaft ung tion ment keit heit lich gesell arbeit unter nehm wirt inter nat isa comp able ist mente dad eur pro gram krank haus ent wick lung respon sab ili contra dict trans form micro elec tro ander über auf gab zeit raum kraft werk".replace("ü", "ue").split()
 BIGRAMS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch be ll ma si om ur".split()
@@ -70,17 +75,18 @@ def candidates(texts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     pattern = {"opaque": OPAQUE, "assigned": ASSIGNED}
     out = texts.withColumns({f"m_{k}": F.when(may[k], matches(text, p)).otherwise(none) for k, p in pattern.items()} | {f"g_{k}": F.when(may[k], gaps(text, p)).otherwise(none) for k, p in pattern.items()})
     out = out.select("doc_id", *keep, *(located(F.col(f"m_{k}"), F.col(f"g_{k}"), 48).alias(f"s_{k}") for k in pattern))
-    # of a value and an opaque token one of which holds the other, the wider is the finding
-    within = lambda x, y: (y["start"] <= x["start"]) & (x["stop"] <= y["stop"])
-    out = out.select(
-        "doc_id", *keep, F.filter("s_opaque", lambda o: ~F.exists("s_assigned", lambda a: within(o, a) & ~within(a, o))).alias("s_opaque"),
-        F.filter("s_assigned", lambda a: ~F.exists("s_opaque", lambda o: within(a, o))).alias("s_assigned"),
-    )
 
     def judged(kind: str) -> Column:
-        return F.transform(F.col(f"s_{kind}"), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["text"].alias("text"), s["before"].alias("before"), s["after"].alias("after")))
+        return F.transform(F.col(f"s_{kind}"), lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), F.lit(kind != "opaque").alias("second"), F.lit(kind).alias("kind"), s["stop"].alias("stop"), s["text"].alias("text"), s["before"].alias("before"), s["after"].alias("after")))
 
-    rows = out.select("doc_id", *keep, F.explode(F.concat(judged("opaque"), judged("assigned"))).alias("s"))
+    # of a value and an opaque token one of which holds the other, the wider is the finding: it comes first in this order
+    def widest(v: Column) -> Column:
+        stops = lambda second: F.transform(v, lambda s: F.when(s["second"] == F.lit(second), s["stop"]).otherwise(0))
+        return running_max(stops(False), lambda opaque: running_max(stops(True), lambda value: F.filter(v, lambda s, i: s["stop"] > F.when(s["second"], opaque(i)).otherwise(value(i)))))
+
+    both = F.array_sort(F.concat(judged("opaque"), judged("assigned")))
+    one = (F.size("s_opaque") == 0) | (F.size("s_assigned") == 0)
+    rows = out.select("doc_id", *keep, F.explode(F.when(one, both).otherwise(let(both, widest))).alias("s"))
     f = features(F.col("s"), "opaque")
     f["assigned"] = F.greatest(f["assigned"], (F.col("s.kind") == "assigned").cast("double"))
     return rows.select("doc_id", *keep, F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), F.col("s.kind").alias("kind"), *(f[n].cast("double").alias(n) for n in FEATURES))
