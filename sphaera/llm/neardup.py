@@ -7,9 +7,10 @@
 3.  Signatures are cut into bands.  In each band bucket every member is paired with the least one (a star, not all pairs)
     and confirmed on the full sets of the whole texts.
 4.  Components of the confirmed links; then, for every cluster (component of the unconfirmed stars) that still holds
-    several of them, members outside its largest component meet all others in blocks.  Pairs of different components
-    whose signatures agree enough are confirmed on full sets.  Pairs in one component need no check, so no link between
-    different texts is lost by the star.
+    several of them, members outside its largest component meet all others in blocks of sketches, and their best partners
+    are confirmed.  After a few rounds, block pairs in which signatures of different components still agree enough meet
+    with their texts, and all such pairs are confirmed on full sets.  Pairs in one component need no check, so no link
+    between different texts is lost by the star.
 
 With 32 bands of 4 rows a pair at similarity 0.8 fails to meet with probability 5e-8.  min_agreement (of 128 signature
 slots, 0.55 by default for a limit of 0.8) lies seven standard deviations under the limit.
@@ -185,12 +186,11 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return left.join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def crossing_links(members: DataFrame, rows: DataFrame, min_agreement: float, width: int, percent: int, block: int = 128) -> DataFrame:
-    """Links between different components of one cluster.
+def _blocks(members: DataFrame, rows: DataFrame, columns: tuple[str, ...], block: int) -> DataFrame:
+    """cluster, rest, no, rows: the members of clusters of several components, in blocks.
 
-    members: id, cluster (component over unconfirmed stars), component (over confirmed ones); rows: id, sketch, packed.
-    The members outside a cluster's largest component meet all others, in blocks: a row of the join is a pair of blocks,
-    and a block pair gives at most one link for each member and component.  Clusters of one component have no rows here.
+    members: id, cluster (component over unconfirmed stars), component (over confirmed links); rows: id and the columns.
+    rest holds for members outside the cluster's largest component.  Clusters of one component have no rows here.
     """
     parts = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
     size = parts.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -198,20 +198,82 @@ def crossing_links(members: DataFrame, rows: DataFrame, min_agreement: float, wi
     cut = members.join(size, "cluster").withColumn("rest", F.col("component") != F.col("main"))
     cut = cut.withColumn("no", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("b_rest")).otherwise(F.col("b_main"))).cast("int"))
     keys = ["cluster", "rest", "no"]
-    blocks = materialise(cut.select("id", "component", *keys).join(rows, "id").groupBy(*keys).agg(F.collect_list(F.struct("id", "component", "sketch", "packed")).alias("rows")), "blocks")
-    names = blocks.select(*keys)
-    one = names.where("rest").select("cluster", F.col("no").alias("no_a"))
-    pairs = one.join(names.select("cluster", F.col("rest").alias("rest_b"), F.col("no").alias("no_b")), "cluster").where("NOT rest_b OR no_a <= no_b")
+    return cut.select("id", "component", *keys).join(rows, "id").groupBy(*keys).agg(F.collect_list(F.struct("id", "component", *columns)).alias("rows"))
+
+
+def _met(blocks: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Blocks of the rest beside all blocks of their cluster, each two once; or the pairs of blocks given."""
+    if pairs is None:
+        names = blocks.select("cluster", "rest", "no")
+        one = names.where("rest").select("cluster", F.col("no").alias("no_a"))
+        pairs = one.join(names.select("cluster", F.col("rest").alias("rest_b"), F.col("no").alias("no_b")), "cluster").where("NOT rest_b OR no_a <= no_b")
     left = blocks.where("rest").select("cluster", F.col("no").alias("no_a"), F.col("rows").alias("rows_a"))
     right = blocks.select("cluster", F.col("rest").alias("rest_b"), F.col("no").alias("no_b"), F.col("rows").alias("rows_b"))
-    met = pairs.join(left, ["cluster", "no_a"]).join(right, ["cluster", "rest_b", "no_b"]).select("rows_a", "rows_b")
+    return pairs.join(left, ["cluster", "no_a"]).join(right, ["cluster", "rest_b", "no_b"]).select("cluster", "no_a", "rest_b", "no_b", "rows_a", "rows_b")
+
+
+def _sketches(side: list[dict]) -> np.ndarray:
+    return np.frombuffer(b"".join(m["sketch"] for m in side), np.uint8).reshape(len(side), -1)
+
+
+def nearest_outside(members: DataFrame, sketches: DataFrame, min_agreement: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """By sketches alone: (a, b) of every member outside its cluster's largest component and the member of another
+    component that agrees with it most; and the pairs of blocks in which any two members of different components agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for cluster, no_a, rest_b, no_b, x, y in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                p, q = _sketches(x), _sketches(y)
+                cx, cy = np.array([m["component"] for m in x]), np.array([m["component"] for m in y])
+                near = np.stack([(q == row).mean(1) for row in p])
+                near[cx[:, None] == cy] = 0
+                if near.max() < min_agreement:
+                    continue
+                out.append((cluster, no_a, rest_b, no_b, None, None, None))
+                for side, other, table in ((x, y, near), (y, x, near.T))[: 2 if rest_b else 1]:
+                    best = table.argmax(1)
+                    out += [(None, None, None, None, side[i]["id"], other[best[i]]["id"], float(table[i, best[i]])) for i in np.flatnonzero(table.max(1) >= min_agreement)]
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["cluster", "no_a", "rest_b", "no_b", "a", "b", "near"])
+
+    blocks = materialise(_blocks(members, sketches, ("sketch",), block), "sketches")
+    found = materialise(_met(blocks).mapInArrow(run, "cluster long, no_a int, rest_b boolean, no_b int, a long, b long, near double"), "nearest")
+    best = found.where("a IS NOT NULL").groupBy("a").agg(F.max(F.struct("near", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    return best, found.where("a IS NULL").select("cluster", "no_a", "rest_b", "no_b")
+
+
+def crossing_links(members: DataFrame, rows: DataFrame, texts: DataFrame, min_agreement: float, width: int, percent: int, block: int = 128, rounds: int = 3) -> DataFrame:
+    """Links between different components of one cluster.
+
+    members: id, cluster (component over unconfirmed stars), component (over confirmed ones); rows: id, sketch; texts:
+    doc_id, packed.  In each round every member outside its cluster's largest component is compared by sketches with all
+    others and its best partner is confirmed by id; components that are linked become one.  What still agrees across
+    components after these rounds is confirmed in full, in pairs of blocks with their texts: a block pair gives at most
+    one link for each member and component.
+    """
+    links = None
+    packed = rows.select("id", "sketch").join(texts.select(F.col("doc_id").alias("id"), "packed"), "id")
+    for _ in range(rounds):
+        best, left = nearest_outside(members, rows, min_agreement, block)
+        new = materialise(confirm(best, texts, width, percent), "confirmed")
+        if not new.limit(1).count():
+            break
+        links = new if links is None else links.unionByName(new)
+        named = lambda c: members.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))  # noqa: E731, B023
+        merged = components(new.join(named("a"), "a").join(named("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        moved = members.join(merged.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left")
+        members = materialise(moved.select("id", "cluster", F.coalesce("whole", "component").alias("component")), "members")
+    else:
+        _, left = nearest_outside(members, rows, min_agreement, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = FullSets(width, 2 * block)
         for b in batches:
             for r in range(b.num_rows):
-                x, y = b.column(0)[r].as_py(), b.column(1)[r].as_py()
-                p, q = (np.frombuffer(b"".join(m["sketch"] for m in side), np.uint8).reshape(len(side), -1) for side in (x, y))
+                x, y = b.column(4)[r].as_py(), b.column(5)[r].as_py()
+                p, q = _sketches(x), _sketches(y)
                 out: list[tuple[int, int]] = []
                 for i, m in enumerate(x):
                     near = (q == p[i]).mean(1)
@@ -224,15 +286,17 @@ def crossing_links(members: DataFrame, rows: DataFrame, min_agreement: float, wi
                             out.append((m["id"], y[j]["id"]))
                 yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    last = _met(_blocks(members, packed, ("sketch", "packed"), block), left).mapInArrow(run, "a long, b long")
+    return last if links is None else last.unionByName(links)
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, min_agreement: float = 0.55) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable) and kept, one row per row of docs."""
     found = materialise(profile(docs, width), "profiles")
     usable = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    stood = usable.select("doc_id", "set_key").join(reps, "set_key").select("doc_id", "rep").distinct()
+    # partial least ids first, and a table of its own for the join, so that one set's many copies can be split
+    reps = materialise(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "reps")
+    stood = usable.select("doc_id", "set_key").join(reps.where("n > 1").select("set_key", "rep"), "set_key").where("doc_id != rep").select("doc_id", "rep")
     heads = usable.join(reps.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
     rows = heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -241,12 +305,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, min_agre
     texts = materialise(packed_texts(docs, clusters.select(F.col("id").alias("doc_id"))), "texts")
     first = components(confirm(stars, texts, width, percent))
     members = materialise(clusters.join(first, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("component")), "members")
-    full = heads.select(F.col("doc_id").alias("id"), "sketch").join(texts.select(F.col("doc_id").alias("id"), "packed"), "id")
-    second = crossing_links(members, full, min_agreement, width, percent)
+    second = crossing_links(members, heads.select(F.col("doc_id").alias("id"), "sketch"), texts, min_agreement, width, percent)
     joined = first.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a != b").union(second)
     # rows of one id are one document
-    same = stood.where("doc_id != rep")
-    whole = components(joined.union(same.select("doc_id", "rep")))
+    whole = components(joined.union(stood))
     out = found.select("doc_id", "n_shingles").join(whole.select(F.col("id").alias("doc_id"), "component").dropDuplicates(["doc_id"]), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
