@@ -7,10 +7,9 @@
 3.  Signatures are cut into bands.  In each band bucket every member is paired with the least one (a star, not all pairs)
     and confirmed on the full sets of the whole texts.
 4.  Components of the confirmed links; then, for every cluster (component of the unconfirmed stars) that still holds
-    several of them, members outside its largest component meet all others in blocks of sketches, and their best partners
-    are confirmed.  After a few rounds, block pairs in which signatures of different components still agree enough meet
-    with their texts, and all such pairs are confirmed on full sets.  Pairs in one component need no check, so no link
-    between different texts is lost by the star.
+    several of them, members outside its largest component meet all others in blocks of sketches.  Block pairs in which
+    signatures of different components agree enough meet with their texts, and all such pairs are confirmed on full sets.
+    Pairs in one component need no check, so no link between different texts is lost by the star.
 
 With 32 bands of 4 rows a pair at similarity 0.8 fails to meet with probability 5e-8.  min_agreement (of 128 signature
 slots, 0.55 by default for a limit of 0.8) lies seven standard deviations under the limit.
@@ -186,15 +185,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return left.join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def _blocks(members: DataFrame, rows: DataFrame, columns: tuple[str, ...], block: int) -> DataFrame:
-    """cluster, rest, no, rows: the members of clusters of several components, in blocks.
-
-    members: id, cluster (component over unconfirmed stars), component (over confirmed links); rows: id and the columns.
-    rest holds for members outside the cluster's largest component.  Clusters of one component have no rows here.
-    """
-    parts = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
-    size = parts.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    size = size.select("cluster", F.col("top.component").alias("main"), F.ceil(F.col("top.n") / block).cast("int").alias("b_main"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("b_rest"))
+def _blocks(members: DataFrame, size: DataFrame, rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """cluster, rest, no, rows: the members of the clusters in size, in blocks; rest: outside the largest component."""
     cut = members.join(size, "cluster").withColumn("rest", F.col("component") != F.col("main"))
     cut = cut.withColumn("no", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("b_rest")).otherwise(F.col("b_main"))).cast("int"))
     keys = ["cluster", "rest", "no"]
@@ -216,57 +208,36 @@ def _sketches(side: list[dict]) -> np.ndarray:
     return np.frombuffer(b"".join(m["sketch"] for m in side), np.uint8).reshape(len(side), -1)
 
 
-def nearest_outside(members: DataFrame, sketches: DataFrame, min_agreement: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """By sketches alone: (a, b) of every member outside its cluster's largest component and the member of another
-    component that agrees with it most; and the pairs of blocks in which any two members of different components agree."""
+def agreeing(blocks: DataFrame, min_agreement: float) -> DataFrame:
+    """The pairs of blocks (rows with id, component, sketch) in which any two members of different components agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for cluster, no_a, rest_b, no_b, x, y in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                p, q = _sketches(x), _sketches(y)
-                cx, cy = np.array([m["component"] for m in x]), np.array([m["component"] for m in y])
-                near = np.stack([(q == row).mean(1) for row in p])
-                near[cx[:, None] == cy] = 0
-                if near.max() < min_agreement:
-                    continue
-                out.append((cluster, no_a, rest_b, no_b, None, None, None))
-                for side, other, table in ((x, y, near), (y, x, near.T))[: 2 if rest_b else 1]:
-                    best = table.argmax(1)
-                    out += [(None, None, None, None, side[i]["id"], other[best[i]]["id"], float(table[i, best[i]])) for i in np.flatnonzero(table.max(1) >= min_agreement)]
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["cluster", "no_a", "rest_b", "no_b", "a", "b", "near"])
-
-    blocks = materialise(_blocks(members, sketches, ("sketch",), block), "sketches")
-    found = materialise(_met(blocks).mapInArrow(run, "cluster long, no_a int, rest_b boolean, no_b int, a long, b long, near double"), "nearest")
-    best = found.where("a IS NOT NULL").groupBy("a").agg(F.max(F.struct("near", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    return best, found.where("a IS NULL").select("cluster", "no_a", "rest_b", "no_b")
-
-
-def crossing_links(members: DataFrame, rows: DataFrame, texts: DataFrame, min_agreement: float, width: int, percent: int, block: int = 128, rounds: int = 3) -> DataFrame:
+            keep = []
+            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                q, cy = _sketches(y), np.array([m["component"] for m in y])
+                keep.append(any(((q == row).mean(1) >= min_agreement)[cy != m["component"]].any() for row, m in zip(_sketches(x), x, strict=True)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["cluster", "no_a", "rest_b", "no_b"]).filter(pa.array(keep, pa.bool_()))
+
+    return _met(blocks).mapInArrow(run, "cluster long, no_a int, rest_b boolean, no_b int")
+
+
+def crossing_links(members: DataFrame, rows: DataFrame, texts: DataFrame, min_agreement: float, width: int, percent: int, block: int = 128) -> DataFrame:
     """Links between different components of one cluster.
 
     members: id, cluster (component over unconfirmed stars), component (over confirmed ones); rows: id, sketch; texts:
-    doc_id, packed.  In each round every member outside its cluster's largest component is compared by sketches with all
-    others and its best partner is confirmed by id; components that are linked become one.  What still agrees across
-    components after these rounds is confirmed in full, in pairs of blocks with their texts: a block pair gives at most
-    one link for each member and component.
+    doc_id, packed.  Members outside a cluster's largest component meet all others in blocks of sketches.  Only block
+    pairs with members that agree enough meet again with their texts, and give at most one link for each member and
+    component.
     """
-    links = None
-    packed = rows.select("id", "sketch").join(texts.select(F.col("doc_id").alias("id"), "packed"), "id")
-    for _ in range(rounds):
-        best, left = nearest_outside(members, rows, min_agreement, block)
-        new = materialise(confirm(best, texts, width, percent), "confirmed")
-        if not new.limit(1).count():
-            break
-        links = new if links is None else links.unionByName(new)
-        named = lambda c: members.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))  # noqa: E731, B023
-        merged = components(new.join(named("a"), "a").join(named("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        moved = members.join(merged.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left")
-        members = materialise(moved.select("id", "cluster", F.coalesce("whole", "component").alias("component")), "members")
-    else:
-        _, left = nearest_outside(members, rows, min_agreement, block)
+    parts = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    size = parts.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    size = materialise(size.select("cluster", F.col("top.component").alias("main"), F.ceil(F.col("top.n") / block).cast("int").alias("b_main"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("b_rest")), "clusters")
+    blocks = materialise(_blocks(members, size, rows, ("sketch",)), "blocks")
+    left = materialise(agreeing(blocks, min_agreement), "agreeing")
+    sides = left.select("cluster", F.lit(True).alias("rest"), F.col("no_a").alias("no")).union(left.select("cluster", F.col("rest_b").alias("rest"), F.col("no_b").alias("no"))).distinct()
+    packed = blocks.join(sides, ["cluster", "rest", "no"], "left_semi").select("cluster", "rest", "no", F.explode("rows").alias("m")).select("cluster", "rest", "no", "m.*")
+    packed = packed.join(texts.select(F.col("doc_id").alias("id"), "packed"), "id").groupBy("cluster", "rest", "no").agg(F.collect_list(F.struct("id", "component", "sketch", "packed")).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = FullSets(width, 2 * block)
@@ -286,8 +257,7 @@ def crossing_links(members: DataFrame, rows: DataFrame, texts: DataFrame, min_ag
                             out.append((m["id"], y[j]["id"]))
                 yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["a", "b"])
 
-    last = _met(_blocks(members, packed, ("sketch", "packed"), block), left).mapInArrow(run, "a long, b long")
-    return last if links is None else last.unionByName(links)
+    return _met(materialise(packed, "packed"), left).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, min_agreement: float = 0.55) -> DataFrame:
