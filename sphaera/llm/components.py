@@ -19,7 +19,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     for _ in range(max_rounds):
         # large star: neighbours above u go to the least of u and its neighbours
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # a table of its own, so that the join's rows of one node can be split
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi != lo").distinct()
         # small star: u and its lower neighbours go to the least of them
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
