@@ -12,17 +12,17 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def pair_distances(rows: DataFrame, key: str = "prd", id_col: str = "img_id", px: str = "px") -> DataFrame:
-    """key, i, j, d2 for i < j: an equi-join on the group, so a group of n gives n (n-1) / 2 rows (groups are capped)."""
+    """key, i, j, d2 for i < j: an equi-join on the group, so a group of n gives n (n-1) / 2 rows; callers cap the groups."""
     a = rows.select(key, F.col(id_col).alias("i"), F.col(px).alias("a"))
     b = rows.select(key, F.col(id_col).alias("j"), F.col(px).alias("b"))
     return a.join(b, key).where("i < j").select(key, "i", "j", squared_distance(F.col("a"), F.col("b")).alias("d2"))
 
 
-def full_matrix(pairs: DataFrame, key: str = "prd") -> DataFrame:
-    """Both triangles and the zero diagonal."""
-    flip = pairs.select(key, F.col("j").alias("i"), F.col("i").alias("j"), "d2")
-    ends = pairs.select(key, "i").union(pairs.select(key, "j")).distinct()
-    return pairs.unionByName(flip).unionByName(ends.select(key, "i", F.col("i").alias("j"), F.lit(0.0).alias("d2")))
+def full_matrix(pairs: DataFrame, rows: DataFrame, key: str = "prd", id_col: str = "img_id") -> DataFrame:
+    """Both triangles, turned in one pass over the pairs, and the zero diagonal of the rows."""
+    both = F.explode(F.array(F.struct(F.col("i").alias("i"), F.col("j").alias("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    sides = pairs.select(key, both.alias("e"), "d2").select(key, "e.i", "e.j", "d2")
+    return sides.unionByName(rows.select(key, F.col(id_col).alias("i"), F.col(id_col).alias("j"), F.lit(0.0).alias("d2")))
 
 
 def nearest(matrix: DataFrame, k: int, key: str = "prd") -> DataFrame:

@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 def checkpoint_dir(spark: SparkSession) -> None:
     """Make sure that checkpoint() has a folder: the one the cluster names, or one of our own where none is set."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sphaera-checkpoint-")
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            at = tempfile.mkdtemp(prefix="sphaera-checkpoint-")
         if "://" not in at:
             os.makedirs(at, exist_ok=True)
         spark.sparkContext.setCheckpointDir(at)
@@ -38,13 +42,30 @@ def epsilon_rule(least: Column, groups: Column, active: Column) -> Column:
 
 
 def directed(edges: DataFrame) -> DataFrame:
-    """Numbered edges in lexicographic order and their reverses, whose number is larger by the count of edges."""
-    from pyspark.sql import Window
+    """Numbered edges in lexicographic order and their reverses, whose number is larger by the count of edges.
 
-    n = edges.agg(F.count(F.lit(1)).alias("n_edges"))
-    e = edges.select("src", "dst", F.row_number().over(Window.orderBy("src", "dst")).cast("long").alias("edge"))
+    Edges are sorted over range partitions and checkpointed; a number is the partition's offset and the place in it.
+    """
+    checkpoint_dir(edges.sparkSession)
+    e = numbered(edges.select("src", "dst").orderBy("src", "dst").checkpoint(), "edge").withColumn("edge", F.col("edge") + 1)
+    n = e.agg(F.count(F.lit(1)).alias("n_edges"))
     back = e.crossJoin(F.broadcast(n)).select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("edge") + F.col("n_edges")).alias("edge"))  # one row
-    return e.unionByName(back)
+    return e.select("src", "dst", "edge").unionByName(back)
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with a number from 0 in their order: counts per partition, then offsets; only the counts reach the driver."""
+    m = rows.withColumn("_m", F.monotonically_increasing_id())
+    part = F.shiftright("_m", 33).cast("long")
+    counts = m.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # a row per partition
+    at, starts = 0, {}
+    for r in counts:
+        starts[r["p"]] = at
+        at += r["n"]
+    if not starts:
+        return m.select(F.lit(0).cast("long").alias(name), *rows.columns)
+    offset = F.element_at(F.create_map(*(F.lit(x) for kv in starts.items() for x in kv)), part)
+    return m.select((offset + F.col("_m") % F.lit(1 << 33)).alias(name), *rows.columns)
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -78,9 +99,9 @@ def search_levels(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_roun
     for level in range(1, max_rounds):
         front = both.join(front.select(F.col("id").alias("u")), "u").select("id").distinct().join(seen, "id", "left_anti").select("id", F.lit(level).alias("level")).checkpoint()
         if not front.limit(1).count():
-            break
+            return nodes.select("id").join(seen, "id", "left")
         seen = seen.unionByName(front).checkpoint()
-    return nodes.select("id").join(seen, "id", "left")
+    raise RuntimeError(f"the search did not end in {max_rounds} levels")
 
 
 def prune(edges: DataFrame, bad: DataFrame) -> DataFrame:

@@ -6,13 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def unit_range(value: Column, key: list[str]) -> Column:
-    """Min-max to [0, 1] within the key; 0 where all values agree."""
-    w = Window.partitionBy(*key)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return F.when(high > low, (value - low) / (high - low)).otherwise(F.when(value.isNotNull(), 0.0))
-
-
 def equal_bin(tau: Column, n: int) -> Column:
     """Bin of a value in [0, 1]; the last bin is closed."""
     return F.least(F.floor(tau * n), F.lit(n - 1)).cast("int")

@@ -88,7 +88,9 @@ def threshold_bins(counts: DataFrame, k: int, low: int) -> DataFrame:
 def cap_members(members: DataFrame, high: int, key: str = "bin", id_col: str = "img_id") -> DataFrame:
     """The first `high` members of each group by id, with their rank from 0."""
     w = Window.partitionBy(key).orderBy(id_col)
-    return members.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).where(F.col("rank") < high)
+    # the filter on the plain row number lets every task drop what is beyond it before the exchange
+    first = members.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= high)
+    return first.withColumn("rank", (F.col("rank") - 1).cast("int"))
 
 
 def member_lists(members: DataFrame, key: str = "bin", id_col: str = "img_id") -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sphaera.kernels import mixtures
-from sphaera.operators import distances as dist
 from sphaera.operators import sequences as seq
 from sphaera.plans.base import CENTRES, SNAP, r6, snapshots, table
 from sphaera.plans.landscape import TAU, tau_events
+from sphaera.plans.manifold import FULL, _matrix
 from sphaera.plans.orientation import _members
 from sphaera.sources.stages import pending
 
@@ -108,10 +108,10 @@ def closest_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), best["v"].alias("closest"))
 
 
-@query(f"WITH {CENTRES}, b AS (SELECT img_id, bin, img_id // 100 AS block FROM member WHERE img_id < 400), p AS (SELECT a.block AS block_a, c.block AS block_b, count(*) AS pairs FROM b a JOIN b c ON a.bin = c.bin AND a.img_id < c.img_id GROUP BY ALL) SELECT block_a, block_b, pairs FROM p")
+@query(f"WITH {CENTRES}, b AS (SELECT img_id, bin, img_id // 100 AS block FROM member), p AS (SELECT a.block AS block_a, c.block AS block_b, count(*) AS pairs FROM b a JOIN b c ON a.bin = c.bin AND a.img_id < c.img_id GROUP BY ALL) SELECT block_a, block_b, pairs FROM p")
 def blocked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs within bins, counted by block: the unit of a blocked pairwise computation."""
-    m = _members(spark, sf_dir).where("img_id < 400")
+    m = _members(spark, sf_dir)
     size = m.groupBy("bin", F.floor(F.col("img_id") / 100).alias("block")).agg(F.count(F.lit(1)).alias("n"))
     a, b = size.select("bin", F.col("block").alias("block_a"), F.col("n").alias("na")), size.select("bin", F.col("block").alias("block_b"), F.col("n").alias("nb"))
     same = F.col("block_a") == F.col("block_b")
@@ -170,18 +170,16 @@ for _name, _kernel in (("threshold_mixture", "gaussian_threshold"), ("threshold_
 
 @query()
 def reembed_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A new embedding of a chosen subset of a group."""
+    """A new embedding of a chosen subset of every group."""
     from sphaera.config import Config
     from sphaera.plans.stages import embed
 
     s = snapshots(spark, sf_dir)
-    chosen = s.where("prd = 3 AND img_id % 5 <> 0").select("img_id")
+    chosen = s.where("img_id % 5 <> 0").select("img_id")
     return embed(s.join(chosen, "img_id", "left_semi"), Config()).select("prd", "img_id", "kept", F.round("mu", 6).alias("mu"))
 
 
-@query()
+@query(f"WITH {FULL} SELECT prd, i, j, round(d2, 6) + 0.0 AS d2 FROM mat")
 def reduced_distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full distance matrix of one group, for display."""
-    return dist.full_matrix(dist.pair_distances(snapshots(spark, sf_dir).where("prd = 0"))).select("i", "j", F.round("d2", 6).alias("d2"))
-
-
+    """Full distance matrix of every group, for display."""
+    return _matrix(spark, sf_dir).select("prd", "i", "j", r6(F.col("d2")).alias("d2"))

@@ -63,22 +63,23 @@ def graph_incident(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.array_join(F.sort_array(F.collect_list("dst")), ",").alias("neighbours"))
 
 
-_REACH = "RECURSIVE {0}, sym AS (SELECT src, dst FROM {1} UNION SELECT dst, src FROM {1}), nodes AS (SELECT DISTINCT src AS id FROM sym), reach(id, lab) AS (SELECT id, id FROM nodes UNION SELECT s.dst, r.lab FROM reach r JOIN sym s ON s.src = r.id WHERE r.lab < s.dst)"
-_CC_BASE = "e AS (SELECT DISTINCT l_suppkey*0 + o_custkey AS src, 1000000 + l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 50 = 1)"
+#: Least labels spread along edges; a node's row is replaced when a lesser label reaches it.
+_REACH = "RECURSIVE {0}, sym AS (SELECT src, dst FROM {1} UNION SELECT dst, src FROM {1}), nodes AS (SELECT DISTINCT src AS id FROM sym), reach(id, component) USING KEY (id) AS (SELECT id, id FROM nodes UNION SELECT s.dst, min(w.component) FROM reach w JOIN sym s ON s.src = w.id JOIN recurring.reach r ON r.id = s.dst WHERE w.component < r.component GROUP BY s.dst)"
+_CC_BASE = "e AS (SELECT DISTINCT o_custkey AS src, 1000000 + l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
 def _bipartite(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    li, o = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf_dir, "orders").where("o_orderkey % 50 = 1").select("o_orderkey", "o_custkey")
+    li, o = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     e = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst")).distinct()
     return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e
 
 
-@query(f"WITH {_REACH.format(_CC_BASE, 'e')} SELECT id, min(lab) AS component FROM reach GROUP BY id")
+@query(f"WITH {_REACH.format(_CC_BASE, 'e')} SELECT id, component FROM reach")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.components(*_bipartite(spark, sf_dir))
 
 
-@query(f"WITH {_REACH.format(_CC_BASE, 'e')}, c AS (SELECT id, min(lab) AS component FROM reach GROUP BY id), anchored AS (SELECT DISTINCT component FROM c WHERE id % 97 = 3), s AS (SELECT component, count(*) AS n FROM c GROUP BY 1) SELECT s.component, n, a.component IS NOT NULL AS anchored FROM s LEFT JOIN anchored a USING (component)")
+@query(f"WITH {_REACH.format(_CC_BASE, 'e')}, c AS (SELECT id, component FROM reach), anchored AS (SELECT DISTINCT component FROM c WHERE id % 97 = 3), s AS (SELECT component, count(*) AS n FROM c GROUP BY 1) SELECT s.component, n, a.component IS NOT NULL AS anchored FROM s LEFT JOIN anchored a USING (component)")
 def graph_anchored_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components with their size, and whether one of their nodes is an anchor."""
     c = gr.components(*_bipartite(spark, sf_dir))
@@ -118,12 +119,12 @@ def semi_join_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(s.where("img_id % 4 = 1").select("img_id"), "img_id", "left_semi").select("img_id", "prd")
 
 
-@query("SELECT a.prd AS done_prd, b.psi::INT AS psi FROM (SELECT DISTINCT label AS prd FROM embeddings) a CROSS JOIN range(8) b(psi) WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.label = a.prd AND e.vec_id % 8 = b.psi AND e.vec_id < 100)")
+@query("SELECT a.prd AS done_prd, b.psi::INT AS psi FROM (SELECT DISTINCT label AS prd FROM embeddings) a CROSS JOIN range(8) b(psi) WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.label = a.prd AND e.vec_id % 8 = b.psi AND e.embedding[1] > 0.15)")
 def job_missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task keys without output: the grid of keys less the finished ones."""
     s = snapshots(spark, sf_dir)
     grid = s.select("prd").distinct().crossJoin(F.broadcast(spark.range(8).select(F.col("id").cast("int").alias("psi"))))
-    done = s.where("img_id < 100").select("prd", (F.col("img_id") % 8).cast("int").alias("psi"))
+    done = s.where(F.element_at("px", 1) > F.lit(0.15).cast("float")).select("prd", (F.col("img_id") % 8).cast("int").alias("psi"))
     return grid.join(done, ["prd", "psi"], "left_anti").select(F.col("prd").alias("done_prd"), "psi")
 
 

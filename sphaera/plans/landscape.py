@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from sphaera.functions.geometry import thermal_energy
 from sphaera.operators import sequences as seq
+from sphaera.operators import tessellation as tess
 from sphaera.operators import thresholds as thr
-from sphaera.plans.base import r6, table
+from sphaera.plans.base import CENTRES, K, r6, table
+from sphaera.plans.orientation import _members
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -223,14 +225,15 @@ def lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tau_events(spark, sf_dir).select("event_id", (crossings % 2 == 1).alias("inside"))
 
 
-@query(f"WITH {TAU}, p AS (SELECT event_id, tau AS x, value/100 AS y, user_id/150.0::DOUBLE AS z FROM ev WHERE event_id < 400), k AS (SELECT a.event_id, sum(exp(-0.5*(pow((a.x-b.x)/0.2,2)+pow((a.y-b.y)/0.2,2)+pow((a.z-b.z)/0.2,2)))) AS d FROM p a, p b GROUP BY 1) SELECT event_id, round(d/max(d) OVER (), 6) AS density FROM k")
+@query(f"WITH {CENTRES}, o AS (SELECT c.bin, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z, count(m.img_id) AS n FROM centres c LEFT JOIN member m USING (bin) GROUP BY c.bin), k AS (SELECT a.bin, sum(b.n*exp(-0.5*((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))/(0.5*0.5))) AS d FROM o a, o b GROUP BY 1) SELECT bin, round(d/max(d) OVER (), 6) AS density FROM k")
 def point_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relative Gaussian density of a displayed set of points."""
-    p = tau_events(spark, sf_dir).where("event_id < 400").select("event_id", F.col("tau").alias("x"), (F.col("value") / 100).alias("y"), (F.col("user_id") / 150.0).alias("z"))
-    q = p.select(*(F.col(c).alias(f"{c}2") for c in "xyz"))
-    sq = lambda c: F.pow((F.col(c) - F.col(f"{c}2")) / 0.2, F.lit(2))
-    k = p.crossJoin(F.broadcast(q)).groupBy("event_id").agg(F.sum(F.exp(-0.5 * (sq("x") + sq("y") + sq("z")))).alias("d"))  # the 400 points on display
-    return k.crossJoin(F.broadcast(k.agg(F.max("d").alias("m")))).select("event_id", F.round(F.col("d") / F.col("m"), 6).alias("density"))
+    """Relative Gaussian density, at every bin's direction, of all snapshots at theirs: pairs of bins, weighted by members."""
+    bins = tess.centres(spark, K)
+    o = tess.occupancy(_members(spark, sf_dir), bins).join(bins, "bin")
+    q = o.select(F.col("n").alias("n2"), *(F.col(c).alias(f"{c}2") for c in "xyz"))
+    d2 = sum(((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "xyz"), F.lit(0.0))
+    k = o.crossJoin(F.broadcast(q)).groupBy("bin").agg(F.sum(F.col("n2") * F.exp(-0.5 * d2 / (0.5 * 0.5))).alias("d"))  # K rows
+    return k.crossJoin(F.broadcast(k.agg(F.max("d").alias("m")))).select("bin", F.round(F.col("d") / F.col("m"), 6).alias("density"))
 
 
 _LINE = "s AS (SELECT s_suppkey AS id, s_suppkey*7 % 20 AS x0, s_suppkey*11 % 20 AS y0, s_suppkey*13 % 20 AS x1, s_suppkey*17 % 20 AS y1 FROM supplier), n AS (SELECT *, greatest(abs(x1-x0), abs(y1-y0)) AS n FROM s), ln AS (SELECT id, n, unnest(generate_series(0, n)) AS k, x0, y0, x1, y1 FROM n), pts AS (SELECT id, k, n, CASE WHEN n = 0 THEN x0 ELSE x0 + CASE WHEN x1 >= x0 THEN 1 ELSE -1 END * ((2*abs(x1-x0)*k + n) // (2*n)) END AS x, CASE WHEN n = 0 THEN y0 ELSE y0 + CASE WHEN y1 >= y0 THEN 1 ELSE -1 END * ((2*abs(y1-y0)*k + n) // (2*n)) END AS y FROM ln)"

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sphaera.config import Config
 from sphaera.operators import distances as dist
 from sphaera.operators import sequences as seq
+from sphaera.operators.tessellation import cap_members
 from sphaera.plans.base import SNAP, r6, snapshots
 
 QUERIES: dict = {}
@@ -30,11 +32,17 @@ KNN = FULL + ", knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dist.pair_distances(snapshots(spark, sf_dir))
+    return dist.pair_distances(_capped(spark, sf_dir))
+
+
+def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of groups cut to the configured size, so a group of n gives at most high^2 / 2 pairs."""
+    return cap_members(snapshots(spark, sf_dir), Config().high, "prd").drop("rank")
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dist.full_matrix(_pairs(spark, sf_dir))
+    rows = _capped(spark, sf_dir)
+    return dist.full_matrix(dist.pair_distances(rows), rows)
 
 
 @query(f"WITH {PAIRS} SELECT prd, i, j, round(d2, 6) + 0.0 AS d2 FROM pairs")
@@ -88,18 +96,23 @@ def prune_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIRS}, sub AS (SELECT img_id FROM snap WHERE img_id % 3 <> 0) SELECT prd, i, j, round(d2, 6) + 0.0 AS d2 FROM pairs WHERE i IN (FROM sub) AND j IN (FROM sub)")
 def sub_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sub = snapshots(spark, sf_dir).where("img_id % 3 <> 0").select("img_id")
-    p = _pairs(spark, sf_dir).join(sub.withColumnRenamed("img_id", "i"), "i", "left_semi").join(sub.withColumnRenamed("img_id", "j"), "j", "left_semi")
+    p = dist.pair_distances(_capped(spark, sf_dir).where("img_id % 3 <> 0"))
     return p.select("prd", "i", "j", r6(F.col("d2")).alias("d2"))
 
 
-@query(f"WITH {SNAP}, a AS (SELECT * FROM snap WHERE img_id < 50), b AS (SELECT * FROM snap WHERE img_id >= 50 AND img_id < 90) SELECT a.img_id AS i, b.img_id AS j, round(sqrt({D2.format(a='a.px', b='b.px')}), 6) AS d FROM a, b")
+@query(f"WITH {SNAP}, m AS (SELECT prd AS j, list(v ORDER BY p) AS c FROM (SELECT prd, p, avg(v) AS v FROM (SELECT prd, unnest(px) AS v, generate_subscripts(px, 1) AS p FROM snap) GROUP BY ALL) GROUP BY prd) SELECT s.img_id AS i, j, round(sqrt({D2.format(a='s.px', b='m.c')}), 6) + 0.0 AS d FROM snap s, m")
 def rect_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances of two given point sets, in the shape of the sets."""
+    """Distances of every snapshot to the mean image of every group, in the shape of the two sets.
+
+    The means are one row, an array with an entry per group, so snapshots are neither shuffled nor joined by anything.
+    """
     s = snapshots(spark, sf_dir)
-    a, b = s.where("img_id < 50").select(F.col("img_id").alias("i"), F.col("px").alias("a")), s.where("img_id >= 50 AND img_id < 90").select(F.col("img_id").alias("j"), F.col("px").alias("b"))
-    d = F.sqrt(dist.squared_distance(F.col("a"), F.col("b")))
-    return a.crossJoin(F.broadcast(b)).select("i", "j", F.round(F.when(d < 1e-8, 0.0).otherwise(d), 6).alias("d"))  # 40 rows
+    pixel = s.select("prd", F.posexplode("px").alias("p", "v")).groupBy("prd", "p").agg(F.avg("v").alias("v"))
+    mean = pixel.groupBy("prd").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda x: x["v"]).alias("c"))
+    packed = mean.agg(F.collect_list(F.struct("prd", "c")).alias("m"))
+    d = F.sqrt(dist.squared_distance(F.col("px"), F.col("o.c")))
+    rows = s.select("img_id", "px").crossJoin(packed).select("img_id", "px", F.explode("m").alias("o"))  # one row
+    return rows.select(F.col("img_id").alias("i"), F.col("o.prd").alias("j"), r6(F.when(d < 1e-8, 0.0).otherwise(d)).alias("d"))
 
 
 ORDER = FULL + ", ord AS (SELECT img_id, prd, row_number() OVER (PARTITION BY prd ORDER BY px[1], img_id) AS rn FROM snap), om AS (SELECT m.prd, a.rn AS i, b.rn AS j, m.d2 FROM mat m JOIN ord a ON a.img_id=m.i JOIN ord b ON b.img_id=m.j)"

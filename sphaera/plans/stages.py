@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from sphaera.config import Config
 from sphaera.kernels import diffusion, images, mrf, sequence
 from sphaera.operators import graphs as gr
-from sphaera.operators.tessellation import cap_members, centres
+from sphaera.operators.tessellation import cap_members, centres, mean_directions
+from sphaera.operators.thresholds import tau_quality
 from sphaera.plans.base import K, snapshots
 
 QUERIES: dict = {}
@@ -85,22 +86,27 @@ def stage_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filtered(rows: DataFrame, cfg: Config, psis: int = 2) -> DataFrame:
-    """prd, psi, frame, tau, px: filtered sequences along each of the first coordinates of a group."""
+    """prd, psi, frame, tau, px: filtered sequences along each of the first coordinates of a group.
+
+    Images are dealt out once per group, and distances and embedding are worked out once for all its coordinates.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        psi = int(g["psi"].iloc[0])
         g = g.sort_values("img_id")
         x = np.stack(g["px"].to_numpy())
         d2 = _gram_distances(x)
         e = diffusion.diffusion_map(d2, len(x), cfg.tune, cfg.num_eigs)
-        order = np.argsort(e.psi[:, psi], kind="stable")
         window = cfg.con_order(len(x))
-        f = sequence.filter_sequence(d2[np.ix_(order, order)], x[order], window, cfg.tune, cfg.psi_trunc)
-        tau = (f.tau - f.tau.min()) / max(np.ptp(f.tau), 1e-300)
-        return pd.DataFrame({"prd": g["prd"].iloc[0], "psi": psi, "frame": np.arange(len(tau)), "tau": tau, "px": list(f.frames.T)})
+        out = []
+        for psi in range(psis):
+            order = np.argsort(e.psi[:, psi], kind="stable")
+            f = sequence.filter_sequence(d2[np.ix_(order, order)], x[order], window, cfg.tune, cfg.psi_trunc)
+            tau = (f.tau - f.tau.min()) / max(np.ptp(f.tau), 1e-300)
+            out.append(pd.DataFrame({"prd": g["prd"].iloc[0], "psi": psi, "frame": np.arange(len(tau)), "tau": tau, "px": list(f.frames.T)}))
+        return pd.concat(out)
 
-    tasks = _capped(rows, cfg).select("prd", "img_id", "px", F.explode(F.sequence(F.lit(0), F.lit(psis - 1))).alias("psi"))
-    return tasks.groupBy("prd", "psi").applyInPandas(run, "prd int, psi int, frame int, tau double, px array<double>")
+    rows = _capped(rows, cfg).select("prd", "img_id", "px")
+    return rows.groupBy("prd").applyInPandas(run, "prd int, psi int, frame int, tau double, px array<double>")
 
 
 SMALL = Config(con_order_range=12, psi_trunc=8)
@@ -135,7 +141,12 @@ def flows(movies: DataFrame) -> DataFrame:
 
 
 def edge_measures(edges: DataFrame, field: DataFrame, norm: str = "l2") -> DataFrame:
-    """edge, src, dst, psi_a, psi_b, sense, dist: all pairs of coordinates of the two ends, in both senses."""
+    """edge, src, dst, psi_a, psi_b, sense, dist: all pairs of coordinates of the two ends, in both senses.
+
+    The flow fields are checkpointed, for both ends of an edge read them.
+    """
+    gr.checkpoint_dir(field.sparkSession)
+    field = field.checkpoint()
     a = field.select(F.col("prd").alias("src"), F.col("psi").alias("psi_a"), F.col("vx").alias("ax"), F.col("vy").alias("ay"))
     b = field.select(F.col("prd").alias("dst"), F.col("psi").alias("psi_b"), F.col("vx").alias("bx"), F.col("vy").alias("by_"))
     met = edges.join(a, "src").join(b, "dst").select("edge", "src", "dst", "psi_a", "psi_b", F.explode(F.array(F.lit(1), F.lit(-1))).alias("sense"), "ax", "ay", "bx", "by_")
@@ -151,35 +162,39 @@ def edge_measures(edges: DataFrame, field: DataFrame, norm: str = "l2") -> DataF
     return met.mapInPandas(run, "edge int, src int, dst int, psi_a int, psi_b int, sense int, dist double")
 
 
-def label_nodes(measures: DataFrame, nodes: int, anchors: dict[int, int], psis: int, cfg: Config, bad: set[tuple[int, int]] = frozenset()) -> DataFrame:
+def label_nodes(measures: DataFrame, nodes: int, anchors: dict[int, int], psis: int, cfg: Config, bad: set[tuple[int, int]] = frozenset(), trash: set[int] = frozenset()) -> DataFrame:
     """prd, psi, sense, belief by belief propagation.
 
     The graph has one node per group of snapshots (thousands at most, whatever the number of snapshots), so its measures
-    are collected and propagated on the driver in breadth-first order from the anchors.
+    are collected and propagated on the driver in breadth-first order from the anchors.  Trashed nodes get no label and
+    pass nothing on.  If every node is an anchor or trashed, the anchors are the labels.
     """
     spark = measures.sparkSession
-    rows = measures.orderBy("edge", "psi_a", "psi_b", "sense").collect()
-    ends: dict[int, tuple[int, int]] = {}
-    tables: dict[int, np.ndarray] = {}
-    top = max((r["dist"] for r in rows), default=1.0) or 1.0
-    for r in rows:
-        ends[r["edge"]] = (r["src"], r["dst"])
-        m = tables.setdefault(r["edge"], np.full((psis, 2 * psis), 45.0))
-        m[r["psi_a"], r["psi_b"] + (0 if r["sense"] > 0 else psis)] = 5 + 40 * r["dist"] / top
-    names = sorted(ends)
-    edges = np.array([ends[e] for e in names]).reshape(-1, 2)
-    node, pot = mrf.potentials(nodes, anchors, {k: tables[e] for k, e in enumerate(names)}, len(names), psis, bad=bad)
+    schema = "prd int, psi int, sense int, belief double"
+    if len(set(anchors) | trash) >= nodes:  # labelled by hand throughout: nothing to propagate
+        return spark.createDataFrame([(u, p % psis, 1 if p < psis else -1, 1.0) for u, p in sorted(anchors.items()) if u not in trash], schema)
+    rows = measures.where(~F.col("src").isin(*trash) & ~F.col("dst").isin(*trash)) if trash else measures
+    t = rows.select("edge", "src", "dst", "psi_a", "psi_b", "sense", "dist").toArrow()
+    edge, src, dst, psi_a, psi_b, sense, dist = (t.column(k).to_numpy() for k in range(7))
+    names, first, at = np.unique(edge, return_index=True, return_inverse=True)
+    edges = np.stack([src[first], dst[first]], axis=1).astype(int) if len(names) else np.zeros((0, 2), int)
+    tables = np.full((len(names), psis, 2 * psis), 45.0)
+    tables[at, psi_a, psi_b + np.where(sense > 0, 0, psis)] = 5 + 40 * dist / ((dist.max() if len(dist) else 0) or 1.0)
+    node, pot = mrf.potentials(nodes, anchors, dict(enumerate(tables)), len(names), psis, bad=set(bad))
+    near: dict[int, list[int]] = {}
+    for a, b in edges.tolist():
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
     order, seen = list(anchors), set(anchors)
     for u in order:
-        for a, b in edges.tolist():
-            for v in ((b,) if a == u else (a,) if b == u else ()):
-                if v not in seen:
-                    seen.add(v)
-                    order.append(v)
+        for v in near.get(u, ()):
+            if v not in seen:
+                seen.add(v)
+                order.append(v)
     order += [u for u in range(nodes) if u not in seen]
     belief, _, _ = mrf.propagate(node, edges, pot, np.array(order), cfg.bp_tolerance, cfg.bp_rounds, cfg.bp_damping, cfg.bp_max_product)
     psi, sense = mrf.decode(belief, psis)
-    return spark.createDataFrame([(u, int(psi[u]), int(sense[u]), float(belief[u].max())) for u in range(nodes)], "prd int, psi int, sense int, belief double")
+    return spark.createDataFrame([(u, int(psi[u]), int(sense[u]), float(belief[u].max())) for u in range(nodes) if u not in trash], schema)
 
 
 @query
@@ -194,16 +209,27 @@ def stage_edge_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measured(spark, sf_dir).withColumn("dist", F.round("dist", 6))
 
 
+def group_graph(spark: SparkSession, sf_dir: str, eps: float) -> DataFrame:
+    """edge, src, dst: groups whose mean directions lie at most eps apart, numbered in order."""
+    q0, q1, q2, q3 = (F.col(f"q{k}") for k in range(4))
+    s = snapshots(spark, sf_dir).select("prd", (2 * (q1 * q3 - q0 * q2)).alias("sx"), (2 * (q0 * q1 + q2 * q3)).alias("sy"), (2 * (q0 * q0 + q3 * q3 - 0.5)).alias("sz"))
+    m = mean_directions(s, "prd").select("prd", F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mz").alias("z"))
+    gr.checkpoint_dir(spark)
+    edges = gr.neighbourhood(m, eps, "prd").select("src", "dst").orderBy("src", "dst").checkpoint()
+    return gr.numbered(edges, "edge").select(F.col("edge").cast("int").alias("edge"), "src", "dst")
+
+
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups on a ring, neighbours joined."""
-    n = 10
-    ring = spark.range(n).select(F.col("id").cast("int").alias("edge"), F.least(F.col("id"), (F.col("id") + 1) % n).cast("int").alias("src"), F.greatest(F.col("id"), (F.col("id") + 1) % n).cast("int").alias("dst"))
-    return edge_measures(ring, flows(filtered(snapshots(spark, sf_dir), SMALL)))
+    return edge_measures(group_graph(spark, sf_dir, 1.2), flows(filtered(snapshots(spark, sf_dir), SMALL)))
 
 
 @query
 def stage_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_nodes(_measured(spark, sf_dir), 10, {0: 0}, 2, SMALL).withColumn("belief", F.round("belief", 6))
+    """Labels of all groups from the first one's anchor; coordinates of poor quality are shut out."""
+    groups = [r["prd"] for r in snapshots(spark, sf_dir).select("prd").distinct().orderBy("prd").collect()]  # a row per bin
+    poor = tau_quality(filtered(snapshots(spark, sf_dir), SMALL), "tau", ["prd", "psi"]).where("bad").select("prd", "psi").collect()
+    bad = {(r["prd"], r["psi"]) for r in poor}
+    return label_nodes(_measured(spark, sf_dir), max(groups, default=-1) + 1, dict.fromkeys(groups[:1], 0), 2, SMALL, bad).withColumn("belief", F.round("belief", 6))
 
 
 @query

@@ -29,10 +29,21 @@ def file_size(path: str) -> int:
     return fs.get_file_info(inner).size
 
 
+def files_of(path: str) -> list[str]:
+    """The file itself, or the files of a folder by name; names that begin with a dot or an underscore are hidden."""
+    fs, inner = locate(path)
+    if fs.get_file_info(inner).type != pafs.FileType.Directory:
+        return [path]
+    names = sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(inner)) if f.type == pafs.FileType.File and f.base_name[0] not in "._" and f.size)
+    return [f"{path.rstrip('/')}/{n}" for n in names]
+
+
 @dataclass
 class ByteRange(InputPartition):
+    path: str
     start: int
     stop: int
+    first: int
 
 
 def lines_between(path: str, start: int, stop: int, first: int) -> Iterator[str]:
@@ -72,31 +83,47 @@ class StarBlock:
     end: int  # byte after the last row, or -1 for the end of the file
 
 
-def star_blocks(path: str, head: int = 1 << 20) -> list[StarBlock]:
-    """The loop tables of a file, by its first bytes.  A table ends at a blank line or at the next data_ line."""
-    fs, inner = locate(path)
-    with fs.open_input_file(inner) as f:
-        raw = f.read(head)
+def star_blocks(path: str) -> list[StarBlock]:
+    """The loop tables of a file.  A table ends at a blank line or at the next data_ line, wherever in the file that is.
+
+    One pass over the file, line by line; only headers are kept.
+    """
     out: list[StarBlock] = []
     name, columns, at, body = "", [], 0, None
-    for line in raw.split(b"\n"):
-        text = line.decode("utf-8", "replace").strip()
-        if text.startswith("data_") or (not text and body is not None):
-            if body is not None:
-                out.append(StarBlock(name, tuple(columns), body, at))
-                columns, body = [], None
-            if text:
-                name = text[5:]
-        elif text.startswith("_"):
-            columns.append(text.split()[0][1:])
-        elif text and not text.startswith(("loop_", "#")) and columns and body is None:
-            body = at
-        at += len(line) + 1
+    fs, inner = locate(path)
+    with fs.open_input_stream(inner, buffer_size=1 << 20) as f:
+        for line in _lines(f):
+            first = line[:1]
+            plain = body is not None and first not in b"d \t\r\n#_"
+            text = "" if plain else line.decode("utf-8", "replace").strip()
+            if plain:
+                pass
+            elif text.startswith("data_") or (not text and body is not None):
+                if body is not None:
+                    out.append(StarBlock(name, tuple(columns), body, at))
+                    columns, body = [], None
+                if text:
+                    name = text[5:]
+            elif text.startswith("_") and body is None:
+                columns.append(text.split()[0][1:])
+            elif text and not text.startswith(("loop_", "#")) and columns and body is None:
+                body = at
+            at += len(line)
     if body is not None:
         out.append(StarBlock(name, tuple(columns), body, -1))
     return out
 
 
+def _lines(f: pa.NativeFile) -> Iterator[bytes]:
+    """Lines of a stream with their ends."""
+    rest = b""
+    while block := f.read(1 << 20):
+        *done, rest = (rest + block).split(b"\n")
+        yield from (x + b"\n" for x in done)
+    if rest:
+        yield rest
+
+
 def _star_block(path: str, block: str | None) -> StarBlock:
     blocks = star_blocks(path)
     if not blocks:
@@ -111,15 +138,20 @@ def _star_block(path: str, block: str | None) -> StarBlock:
 
 
 class StarSource(DataSource):
-    """format("star").option("block", name).load(path): one row per line of a loop table, columns by its header."""
+    """format("star").option("block", name).load(path): one row per line of a loop table, columns by its header.
+
+    path: a file, or a folder of files with the same columns.  A column is numeric if its first value is; a later value
+    that is not a number, or a row of another width, is an error.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "star"
 
     def schema(self) -> StructType:
-        b = _star_block(self.options["path"], self.options.get("block"))
-        first = next(lines_between(self.options["path"], b.body, b.body + 1, b.body)).split()
+        path = files_of(self.options["path"])[0]
+        b = _star_block(path, self.options.get("block"))
+        first = next(lines_between(path, b.body, b.body + 1, b.body)).split()
         return StructType([StructField(c, DoubleType() if _number(v) else StringType()) for c, v in zip(b.columns, first, strict=False)])
 
     def reader(self, schema: StructType) -> DataSourceReader:
@@ -136,21 +168,33 @@ def _number(v: str) -> bool:
 
 class StarReader(DataSourceReader):
     def __init__(self, path: str, block: str | None, schema: StructType):
-        self.path, self.block, self.kinds = path, _star_block(path, block), [isinstance(f.dataType, DoubleType) for f in schema.fields]
+        self.path, self.block, self.names, self.kinds = path, block, tuple(schema.fieldNames()), [isinstance(f.dataType, DoubleType) for f in schema.fields]
 
     def partitions(self) -> Sequence[InputPartition]:
-        stop = self.block.end if self.block.end >= 0 else file_size(self.path)
-        return [ByteRange(a, min(a + RANGE_BYTES, stop)) for a in range(self.block.body, stop, RANGE_BYTES)]
+        out = []
+        for path in files_of(self.path):
+            b = _star_block(path, self.block)
+            if b.columns != self.names:
+                raise ValueError(f"{path}: other columns than the folder's first file")
+            stop = b.end if b.end >= 0 else file_size(path)
+            out += [ByteRange(path, a, min(a + RANGE_BYTES, stop), b.body) for a in range(b.body, stop, RANGE_BYTES)]
+        return out
 
     def read(self, partition: ByteRange) -> Iterator[tuple]:
-        for line in lines_between(self.path, partition.start, partition.stop, self.block.body):
+        for line in lines_between(partition.path, partition.start, partition.stop, partition.first):
             v = line.split()
-            if len(v) == len(self.kinds) and not v[0].startswith("#"):
-                yield tuple(float(x) if k else x for x, k in zip(v, self.kinds, strict=True))
+            if not v or v[0].startswith("#"):
+                continue
+            if len(v) != len(self.kinds):
+                raise ValueError(f"{partition.path}: a row of {len(v)} values in a table of {len(self.kinds)} columns: {line[:80]!r}")
+            yield tuple(float(x) if k else x for x, k in zip(v, self.kinds, strict=True))
 
 
 class SpiderSource(DataSource):
-    """format("spider").load(path): rows of numbers as key and values; comment lines and the column count are dropped."""
+    """format("spider").load(path): rows of numbers as key and values; comment lines and the column count are dropped.
+
+    path: a file, or a folder of files.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -168,11 +212,10 @@ class SpiderReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> Sequence[InputPartition]:
-        n = file_size(self.path)
-        return [ByteRange(a, min(a + RANGE_BYTES, n)) for a in range(0, n, RANGE_BYTES)]
+        return [ByteRange(p, a, min(a + RANGE_BYTES, n), 0) for p in files_of(self.path) for n in [file_size(p)] for a in range(0, n, RANGE_BYTES)]
 
     def read(self, partition: ByteRange) -> Iterator[tuple]:
-        for line in lines_between(self.path, partition.start, partition.stop, 0):
+        for line in lines_between(partition.path, partition.start, partition.stop, 0):
             v = line.split()
             if v and ";" not in v[0]:
                 yield ([float(x) for k, x in enumerate(v) if k != 1],)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from sphaera.config import Config, Transfer
-from sphaera.sources import files, tables
+from sphaera.sources import files, stages, tables
 
 ROWS = [(10000 + 100 * k, 10100 + 100 * k, 10.0 * k, 5.0 * k, 3.0 * k) for k in range(5)]
 COLUMNS = ("DefocusU", "DefocusV", "AngleRot", "AngleTilt", "AnglePsi")
@@ -80,3 +80,28 @@ def test_config_round_trip(tmp_path):
     c = Config(filter_kind=Transfer.GAUSS, low=20)
     c.save(tmp_path / "c.json")
     assert Config.load(tmp_path / "c.json") == c and c.con_order(44) == 1
+
+
+def test_tables_beyond_the_first_megabyte(spark, tmp_path):
+    """A long first table, a late second one, and rows of another width."""
+    body = ["300 2.7 0.1"] * 120_000
+    (tmp_path / "long.star").write_text("data_optics\n" + head("Voltage", "SphericalAberration", "AmplitudeContrast") + "\n".join(body) + "\n\n\ndata_particles\n" + head("AngleRot", "ImageName") + "1.5 1@a\n2.5 2@a\n")
+    blocks = files.star_blocks(str(tmp_path / "long.star"))
+    assert [(b.name, len(b.columns)) for b in blocks] == [("optics", 3), ("particles", 2)] and (tmp_path / "long.star").stat().st_size > 1 << 20
+    files.register(spark)
+    read = lambda **o: spark.read.format("star").options(**o).load(str(tmp_path / "long.star"))
+    assert read(block="optics").count() == 120_000 and [r["rlnAngleRot"] for r in read().collect()] == [1.5, 2.5]
+    (tmp_path / "short.star").write_text("data_\n" + head("AngleRot", "ImageName") + "1.5 1@a\n2.5\n")
+    with pytest.raises(Exception, match="a row of 1 values"):
+        spark.read.format("star").load(str(tmp_path / "short.star")).collect()
+
+
+def test_folders_and_vectors(spark, tmp_path):
+    for k in (0, 1):
+        (tmp_path / f"d{k}.spi").write_text(f" ;ext\n{k} 1 {k}.5\n")
+    (tmp_path / ".hidden").write_text("9 1 9\n")
+    files.register(spark)
+    assert [r["cols"] for r in spark.read.format("spider").load(str(tmp_path)).collect()] == [[0.0, 0.5], [1.0, 1.5]]
+    np.arange(10, dtype="<i4").tofile(tmp_path / "v.raw")
+    out = stages.read_vector(spark, str(tmp_path / "v.raw"), "int32", per_task=3).orderBy("pos").collect()
+    assert [tuple(r) for r in out] == [(k, float(k)) for k in range(10)]

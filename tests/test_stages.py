@@ -41,11 +41,19 @@ def test_labels_follow_the_anchor(spark):
     assert {(r["prd"], r["psi"], r["sense"]) for r in out} == {(0, 1, 1), (1, 1, 1), (2, 1, 1)}
 
 
+def test_labels_by_hand_and_trash(spark):
+    rows = [(0, 0, 1, 0, 0, 1, 0.0), (1, 1, 2, 0, 0, 1, 0.0)]
+    m = spark.createDataFrame(rows, "edge int, src int, dst int, psi_a int, psi_b int, sense int, dist double")
+    out = stages.label_nodes(m, 3, {0: 3, 1: 0}, 2, Config(), trash={2}).collect()
+    assert {(r["prd"], r["psi"], r["sense"]) for r in out} == {(0, 1, -1), (1, 0, 1)}
+    assert {r["prd"] for r in stages.label_nodes(m, 3, {0: 0}, 2, Config(), trash={1}).collect()} == {0, 2}
+
+
 def test_laplacian_is_symmetric_with_unit_top_value(spark):
     rng = np.random.default_rng(1)
     df = spark.createDataFrame([(0, i, rng.random(3).tolist()) for i in range(12)], "prd int, img_id long, px array<double>")
     w = np.zeros((12, 12))
-    for r in distances.laplacian(distances.full_matrix(distances.pair_distances(df)), 0.5).collect():
+    for r in distances.laplacian(distances.full_matrix(distances.pair_distances(df), df), 0.5).collect():
         w[r["i"], r["j"]] = r["w"]
     assert np.allclose(w, w.T) and abs(np.linalg.eigvalsh(w).max() - 1) < 1e-9
 
