@@ -14,20 +14,21 @@ WINDOW, K = 100, 24
 _SPAN = WINDOW - K + 1
 #: Longest piece handled at once: positions take the low 24 bits beside the hash.
 PIECE = 1 << 23
-_BASE = np.uint64(0xD1342543DE82EF95)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Odd numbers whose powers weigh a context's bytes, one for each half of its 128-bit hash.
+_BASES = (np.uint64(0xD1342543DE82EF95), np.uint64(0x9FB21C651E98DF25))
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in _BASES]
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
+def _power(half: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse."""
+    if len(_powers[half][0]) < n:
         with np.errstate(over="ignore"):
-            for i, b in enumerate((_BASE, _INVERSE)):
+            for i, b in enumerate((_BASES[half], np.uint64(pow(int(_BASES[half]), -1, 1 << 64)))):
                 x = np.full(n, b)
                 x[0] = 1
-                _powers[i] = np.cumprod(x)
-    return _powers[0][:n], _powers[1][:n]
+                _powers[half][i] = np.cumprod(x)
+    return _powers[half][0][:n], _powers[half][1][:n]
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -51,8 +52,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
-def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, context hash, first window, last window) of every anchor of the bytes b, in order."""
+def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, both halves of the context hash, first window, last window) of every anchor of the bytes b, in order."""
     parts = []
     starts = len(b) - WINDOW + 1
     for lo in range(0, max(starts, 0), PIECE):
@@ -64,12 +65,13 @@ def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         first = np.flatnonzero(np.diff(at, prepend=-1))
         last = np.append(first[1:], len(at)) - 1
         anchor = at[first]
-        up, down = _power(len(piece) + 1)
-        with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[piece] * up[:-1])])
-            ctx = (total[last + WINDOW] - total[first]) * down[first]
-            ctx = mix(ctx + mix((anchor - first).astype(np.uint64) * np.uint64(1024) + (last - first).astype(np.uint64)))
-        parts.append((h[anchor], ctx, first + lo, last + lo))
+        value, shape, halves = _BYTE[piece], mix((anchor - first).astype(np.uint64) * np.uint64(1024) + (last - first).astype(np.uint64)), []
+        for half in range(2):
+            up, down = _power(half, len(piece) + 1)
+            with np.errstate(over="ignore"):
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * up[:-1])])
+                halves.append(mix((total[last + WINDOW] - total[first]) * down[first] + shape))
+        parts.append((h[anchor], *halves, first + lo, last + lo))
     if not parts:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))

@@ -3,8 +3,8 @@
 1.  Anchors (see anchors.py) bring equal windows together: they have equal grams at equal offsets.  Rows of the exchange
     are anchors, a fortieth of the bytes; an anchor whose whole context was met before in the same partition is not sent
     at all, so copies and common passages are aggregated before the shuffle.
-2.  Sorted by gram and context, an anchor with the same context as an earlier one is a repeat with all its windows.  The
-    first ones of grams with several contexts are open: their contexts agree in part.
+2.  Sorted by gram and context (a 128-bit hash), an anchor with the same context as an earlier one is a repeat with all
+    its windows.  The first ones of grams with several contexts are open: their contexts agree in part.
 3.  Open contexts form shards by gram.  Every shard builds a suffix array by Larsson-Sadakane refinement, Kasai's common
     prefixes cut it into groups of equal windows, and all but the earliest of a group are repeats.
 4.  A gram with more contexts than a shard takes is dealt to several shards.  These give out the earliest window of each
@@ -32,7 +32,7 @@ from sphaera.llm.anchors import WINDOW, anchors
 from sphaera.llm.common import doc_texts, materialise, spread
 from sphaera.llm.suffix import Pieces, least_of_equal
 
-SHARD_CONTEXTS = 16_384
+SHARD_CONTEXTS = 2_048
 #: Contexts of small grams share a shard up to about so many bytes.
 SHARD_BYTES = 2_000_000
 #: Anchors that a task remembers at once; what it forgets is sent to the exchange like new ones.
@@ -47,8 +47,8 @@ def _batch(schema: list[tuple[str, pa.DataType]], **cols: np.ndarray | list | pa
     return pa.RecordBatch.from_arrays([c if isinstance(c := cols[n], pa.Array) else pa.array(c, t) for n, t in schema], names=[n for n, _ in schema])
 
 
-_ANCHOR = [("gram", pa.int64()), ("known", pa.bool_()), ("ctx", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())]
-_ANCHOR_SQL = "gram long, known boolean, ctx long, doc_id long, th long, lo long, hi long"
+_ANCHOR = [("gram", pa.int64()), ("known", pa.bool_()), ("ctx", pa.int64()), ("ctx2", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())]
+_ANCHOR_SQL = "gram long, known boolean, ctx long, ctx2 long, doc_id long, th long, lo long, hi long"
 
 
 def _runs(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,25 +61,25 @@ def find_anchors(keyed: DataFrame) -> DataFrame:
     """Anchors in document order; those whose gram and context the partition has seen come as runs marked known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         last = None
         for b in batches:
             ids, ths, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()
             out: dict[str, list] = {n: [] for n, _ in _ANCHOR}
 
-            def put(gram, known, ctx, doc, th, lo, hi, out=out):
+            def put(gram, known, ctx, ctx2, doc, th, lo, hi, out=out):
                 n = len(lo)
-                for name, x in zip(out, (gram, np.full(n, known), ctx, np.full(n, doc), np.full(n, th), lo, hi), strict=True):
+                for name, x in zip(out, (gram, np.full(n, known), ctx, ctx2, np.full(n, doc), np.full(n, th), lo, hi), strict=True):
                     out[name].append(x)
 
             for doc, th, raw in zip(ids, ths, texts, strict=True):
                 if (doc, th) == last or len(raw) < WINDOW:
                     continue
                 last = (doc, th)
-                gram, ctx, lo, hi = anchors(np.frombuffer(raw, np.uint8))
+                gram, ctx, ctx2, lo, hi = anchors(np.frombuffer(raw, np.uint8))
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                name = (gram ^ (ctx * np.uint64(0x9E3779B97F4A7C15))).tolist()
+                name = np.stack([gram ^ (ctx * np.uint64(0x9E3779B97F4A7C15)), ctx2], axis=1).view("V16").ravel().tolist()
                 old = np.zeros(len(name), bool)
                 for i, k in enumerate(name):
                     if k in seen:
@@ -88,10 +88,10 @@ def find_anchors(keyed: DataFrame) -> DataFrame:
                         seen.add(k)
                 first = np.iinfo(np.int64).min if doc is None else doc
                 if not old.all():
-                    put(gram[~old].view(np.int64), False, ctx[~old].view(np.int64), first, th, lo[~old], hi[~old])
+                    put(gram[~old].view(np.int64), False, ctx[~old].view(np.int64), ctx2[~old].view(np.int64), first, th, lo[~old], hi[~old])
                 if old.any():
                     a, z = _runs(lo[old], hi[old])
-                    put(np.full(len(a), xxhash.xxh3_64_intdigest(raw[:64] + str(doc).encode()) >> 1, np.int64), True, np.zeros(len(a), np.int64), first, th, a, z)
+                    put(np.full(len(a), xxhash.xxh3_64_intdigest(raw[:64] + str(doc).encode()) >> 1, np.int64), True, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), first, th, a, z)
             if out["lo"]:
                 yield _batch(_ANCHOR, **{n: np.concatenate(x) for n, x in out.items()})
 
@@ -121,21 +121,21 @@ def judge_anchors(found: DataFrame, n: int) -> DataFrame:
             passed += n
 
         for b in batches:
-            g, known, ctx, doc, th, lo, hi = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            g, known, ctx, ctx2, doc, th, lo, hi = (b.column(i).to_numpy(zero_copy_only=False) for i in range(8))
             if known.any():
                 yield _batch(_MARK, doc_id=doc[known], th=th[known], lo=lo[known], hi=hi[known], gram=pa.nulls(int(known.sum()), pa.int64()), shard=pa.nulls(int(known.sum()), pa.int32()))
-                g, ctx, doc, th, lo, hi = (x[~known] for x in (g, ctx, doc, th, lo, hi))
+                g, ctx, ctx2, doc, th, lo, hi = (x[~known] for x in (g, ctx, ctx2, doc, th, lo, hi))
             if not len(g):
                 continue
-            before = tail if tail is not None else (g[0] ^ 1, 0, 0, 0, 0)
+            before = tail if tail is not None else (g[0] ^ 1, 0, 0, 0, 0, 0)
             new_gram = np.append(g[0] != before[0], g[1:] != g[:-1])
-            new_ctx = new_gram | np.append(ctx[0] != before[1], ctx[1:] != ctx[:-1])
+            new_ctx = new_gram | np.append(ctx[0] != before[1], ctx[1:] != ctx[:-1]) | np.append(ctx2[0] != before[5], ctx2[1:] != ctx2[:-1])
             head = np.maximum.accumulate(np.where(new_ctx, np.arange(len(g)), -1))
             fd, ft, fl = ((np.where(head >= 0, x[np.maximum(head, 0)], before[k])) for x, k in ((doc, 2), (th, 3), (lo, 4)))
             again = ~new_ctx & ~((doc == fd) & (th == ft) & (lo == fl))
             if again.any():
                 yield _batch(_MARK, doc_id=doc[again], th=th[again], lo=lo[again], hi=hi[again], gram=pa.nulls(int(again.sum()), pa.int64()), shard=pa.nulls(int(again.sum()), pa.int32()))
-            tail = (g[-1], ctx[-1], fd[-1], ft[-1], fl[-1])
+            tail = (g[-1], ctx[-1], fd[-1], ft[-1], fl[-1], ctx2[-1])
             at = np.flatnonzero(new_ctx)
             rows = np.stack([doc[at], th[at], lo[at], hi[at]])
             bounds = np.flatnonzero(np.append(True, g[at][1:] != g[at][:-1])) if len(at) else np.zeros(0, np.int64)
@@ -164,7 +164,7 @@ def judge_anchors(found: DataFrame, n: int) -> DataFrame:
                         yield from flush(False)
         yield from flush(True)
 
-    return found.repartition(n, "gram").sortWithinPartitions("gram", "known", "ctx", "doc_id", "th", "lo").mapInArrow(run, _MARK_SQL)
+    return found.repartition(n, "gram").sortWithinPartitions("gram", "known", "ctx", "ctx2", "doc_id", "th", "lo").mapInArrow(run, _MARK_SQL)
 
 
 def _packed(keyed: DataFrame) -> DataFrame:
