@@ -9,7 +9,9 @@ the item's number of words; 1.0 is a full copy.
 
 The test set goes to the workers in blocks of at most block_bytes of text, one scan of the documents per block, so its
 size is no limit.  Null texts and items are empty and match nothing; rows with a null id are matched like others.
-Repeated documents are judged one by one; of repeated (document, item) rows the best score is kept.
+Repeated documents are judged one by one; of repeated (document, item) rows the best score is kept, and equal scores of
+several items all stay.  Texts of any length are searched whole; a window is about as long as its item, of any length.
+Columns other than the ids and texts are not read; clean() keeps them.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sphaera.llm.common import doc_texts
+from sphaera.llm.neardup import mix
 
 SEED_WORDS = 3
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 _WORD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -50,28 +54,32 @@ class Matcher:
     def __init__(self, items: list[tuple[int | None, bytes]]):
         self.number: dict[bytes, int] = {}
         self.items: list[tuple[int | None, np.ndarray]] = []
-        seeds: list[tuple[int, int, int]] = []
         for item_id, raw in items:
             ws = words(raw)
             ids = np.array([self.number.setdefault(w, len(self.number)) for w in ws], np.int64)
             self.items.append((item_id, ids))
-        self.base = len(self.number) + 1
+        cols: list[list[np.ndarray]] = [[], [], []]
         for k, (_, ids) in enumerate(self.items):
-            n = min(SEED_WORDS, len(ids))
-            seeds += [(self._key(ids[q : q + n]), k, q) for q in range(len(ids) - n + 1 if n else 0)]
-        seeds.sort()
-        table = np.array(seeds, np.int64).reshape(-1, 3)
-        self.keys, first = np.unique(table[:, 0], return_index=True)
-        self.bounds = np.append(first, len(table))
-        self.of, self.at = table[:, 1], table[:, 2]
+            if n := min(SEED_WORDS, len(ids)):
+                key = self._keys([ids[j : len(ids) - n + 1 + j] for j in range(n)])
+                for c, x in zip(cols, (key, np.full(len(key), k), np.arange(len(key))), strict=True):
+                    c.append(x)
+        key, of, at = (np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(cols, (np.uint64, np.int64, np.int64), strict=True))
+        order = np.lexsort((at, of, key))
+        self.of, self.at = of[order], at[order]
+        self.keys, first = np.unique(key[order], return_index=True)
+        self.bounds = np.append(first, len(key))
         self.margin = np.array([max(4, len(ids) // 4) for _, ids in self.items], np.int64)
         self.short = sorted({min(SEED_WORDS, len(ids)) for _, ids in self.items if len(ids)})
 
-    def _key(self, ids: np.ndarray) -> int:
-        """Seeds of different lengths never share a key: the missing words count as number base - 1."""
-        key = 0
-        for k in range(SEED_WORDS):
-            key = key * self.base + (int(ids[k]) if k < len(ids) else self.base - 1)
+    @staticmethod
+    def _keys(parts: list[np.ndarray]) -> np.ndarray:
+        """Hashes of the seeds whose first, second, ... words are in parts.  Two seeds that share one only cost an
+        alignment more."""
+        key = np.full(len(parts[0]), len(parts), np.uint64)
+        with np.errstate(over="ignore"):
+            for p in parts:
+                key = mix(key * _GOLD + p.astype(np.uint64))
         return key
 
     def places(self, ids: np.ndarray) -> list[tuple[int, int]]:
@@ -81,17 +89,12 @@ class Matcher:
             if len(ids) < n:
                 continue
             parts = [ids[k : len(ids) - n + 1 + k] for k in range(n)]
-            key = np.zeros(len(parts[0]), np.int64)
-            known = np.ones(len(parts[0]), bool)
-            for k in range(SEED_WORDS):
-                p = parts[k] if k < n else np.full(len(key), self.base - 1)
-                known &= p >= 0
-                key = key * self.base + p
-            pos = np.flatnonzero(known)
+            pos = np.flatnonzero(np.min(parts, axis=0) >= 0)
             if not len(pos) or not len(self.keys):
                 continue
-            slot = np.minimum(np.searchsorted(self.keys, key[pos]), len(self.keys) - 1)
-            hit = self.keys[slot] == key[pos]
+            key = self._keys([p[pos] for p in parts])
+            slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[slot] == key
             pos, slot = pos[hit], slot[hit]
             each = self.bounds[slot + 1] - self.bounds[slot]
             row = np.arange(int(each.sum())) + np.repeat(self.bounds[slot] - (np.cumsum(each) - each), each)

@@ -413,6 +413,30 @@ def test_alignment_equals_table():
         assert decontaminate.align(a, b[None])[0] == h.max()
 
 
+def test_leaks_against_exhaustive_alignment(spark, docs):
+    """Every item against every place of every document, with the shipped parameters."""
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    number = {}
+    ids = lambda t: np.array([number.setdefault(w, len(number)) for w in decontaminate.words((t or "").encode())], np.int64)
+    items = [(r["item_id"], ids(r["text"])) for r in bench.collect()]
+    texts = [(r["doc_id"], ids(r["text"])) for r in docs.collect()]
+    wanted = set()
+    for item_id, item in items:
+        reach, width = max(len(item), 1), 2 * max(len(item), 1)
+        owner, rows = [], []
+        for d, t in texts:
+            if np.isin(t, item).sum() >= 0.4 * len(item):  # a score is at most the equal words
+                for lo in range(0, max(len(t) - reach, 0) + 1, reach):
+                    row = np.full(width, -2)
+                    row[: len(t[lo : lo + width])] = t[lo : lo + width]
+                    owner.append(d)
+                    rows.append(row)
+        if rows and len(item):
+            wanted |= {(d, item_id) for d, s in zip(owner, decontaminate.align(item, np.array(rows)), strict=True) if s / len(item) >= 0.4}
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert wanted and len(found & wanted) >= 0.9 * len(wanted)
+
+
 def test_leaks_are_found_in_blocks_too(spark, docs, odd, empty):
     items = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, None), (3, ""), (4, "nothing of this ever occurs anywhere in these texts at all")]
     bench = spark.createDataFrame(items, "item_id long, text string")
