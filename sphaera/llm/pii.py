@@ -266,7 +266,7 @@ def mask(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     masked = cut_out(F.col("text"), F.col("spans"), lambda s: F.concat(F.lit("["), s["kind"], F.lit("]")))
     clean = F.when(F.col("_row.text").isNull(), None).when(F.size("spans") == 0, F.col("_row.text")).otherwise(masked)
-    return found.select(*((clean.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c)) for c in docs.columns))
+    return found.select(*((clean.alias(c) if c.lower() == "text" else F.col(f"_row.`{c}`").alias(c)) for c in docs.columns))
 
 
 def listed(spans: Column) -> Column:

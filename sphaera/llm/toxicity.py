@@ -12,6 +12,10 @@ Features of a document are summed over its distinct lower-cased words: the word
 marked borders.  Selection keeps the features that are significantly more frequent in the positives.  The training sample is bounded
 (max_positive, max_unlabelled, chosen by a hash of the id); scoring covers every document and whole texts.
 
+max_unlabelled is the size of the unlabelled sample of the estimator; labels are used as far as max_positive goes, and
+those of sampled documents.  A feature counts at most MOST_HITS words of a document; a word of more than 30 bytes has no
+feature of its own, but all its n-grams.
+
 Null texts are empty; texts without a word get the score of an empty margin.  Without any usable label the score is the
 prior 0.0 for all.  Repeated rows get equal scores.  Label rows with a null id, a null label or no document are ignored;
 of contradicting labels the toxic one counts.
@@ -246,7 +250,7 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bounds:
     """The rows of docs whose score is below threshold, all columns kept.  Rows are scored in place, without a join."""
     model = fit(docs, labels, **bounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -32,6 +32,20 @@ def test_stages_take_effect(spark, odd):
     assert toxicity.reject(odd, read_table(spark, SF, "labels")).columns == odd.columns
 
 
+def test_whole_run_of_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    """Null ids and texts, repeated rows, extra columns with names the stages use, and no rows at all."""
+    for name, table in (("odd", odd), ("empty", empty)):
+        at = str(tmp_path / name)
+        table.withColumnsRenamed({"uid": "_row", "word": "component_id"}).write.parquet(f"{at}/documents.parquet")
+        for other in ("benchmark", "labels"):
+            read_table(spark, SF, other).write.parquet(f"{at}/{other}.parquet")
+        out = corpus_pipeline.run(spark, at).collect()
+        texts = {r["text"] for r in table.collect()}
+        assert len(out) == (table.count() - 1 if texts else 0)  # one of two ids with the same text goes
+    kept = [r["doc_id"] for r in out]
+    assert kept == []
+
+
 @pytest.mark.parametrize("module", ["sphaera", "sphaera.registry"])
 def test_library_does_not_import_this_package(module):
     import subprocess
