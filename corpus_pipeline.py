@@ -2,6 +2,10 @@
 
 Toxic documents go, one document of each group of near copies stays, documents that hold benchmark passages go, personal
 data is masked, and what is left is encoded (and decoded again as a check on itself).
+
+Null texts count as empty: they are clean, stand alone and stay.  Rows with a null id stay too; rows of one id stand or go
+together, once each.  An empty table gives an empty result.  Columns other than doc_id and text go through every stage
+unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sphaera.llm import bpe, decontaminate, neardup, pii, toxicity
-from sphaera.llm.common import materialise, read_table
+from sphaera.llm.common import drop_written, materialise, read_table, written
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), set(written())
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        # what the stage and the ones before it wrote on the way is needed no more
+        drop_written(spark, keep=before | set(written()[-1:]))
     return docs
