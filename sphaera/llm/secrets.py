@@ -38,12 +38,16 @@ DICTIONARY = (
     " data file user test value index model server client string table query node code date path info main core config default version build release"
 ).split()
 SYLLABLES = "ver schaft ung tion ment keit heit lich gesell arbeit unter nehm wirt inter nat isa comp able ist mente dad eur pro gram krank haus ent wick lung respon sab ili contra dict trans form micro elec tro ander über auf gab zeit raum kraft werk".replace("ü", "ue").split()
-BIGRAMS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch be ll ma si om ur".split()
+BIGRAMS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch be ll ma si om ur ch ei ie ge un au qu ai ui os as do ad sc be ue eu ou em us il tr is ns".split()
+#: Parts of built words, of which the training texts make many that no list holds.
+ONSETS = "b c ch d f g h k l m n p pf qu r s sch st t th tr v w z".split()
+NUCLEI = "a e e i o u ai au ei ie ou eau".split()
+CODAS = ["", "", "n", "r", "s", "t", "nd", "nt", "ng", "ch", "x", "cht"]
 CUE = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|login)[^\n]{0,12}$"
 COUNTER = r"(?i)(?:sha-?(?:1|256|512)?|md5|crc|checksum|digest|commit|revision|hash|uuid|guid|etag|isbn|doi|order|invoice|card|visa|account|phone|tel|example|sample|dummy|test|integrity|image|file|path|href|src)[^\n]{0,12}$"
 AFTER_COUNTER = r"(?i)^[\"']?[\x20]?(?:example|sample|dummy|checksum|\.(?:png|jpe?g|gif|pdf|zip|gz|html?|js|css|txt)\b)"
 
-FEATURES = ("length", "digits", "upper", "lower", "marks", "switches", "bigrams", "distinct", "coverage", "hex", "numeric", "uuid", "known_prefix", "in_path", "quoted", "assigned", "cue", "counter", "after_counter", "words_around")
+FEATURES = ("length", "digits", "upper", "lower", "marks", "switches", "bigrams", "vowels", "distinct", "coverage", "hex", "numeric", "uuid", "known_prefix", "in_path", "quoted", "assigned", "cue", "counter", "after_counter", "words_around")
 
 
 def _share(hit: Column, pattern: str) -> Column:
@@ -61,7 +65,7 @@ def features(s: Column, kind: str) -> dict[str, Column]:
     return {
         "length": F.least(n, F.lit(256)).cast("double"), "digits": _share(hit, "[0-9]"), "upper": _share(hit, "[A-Z]"), "lower": _share(hit, "[a-z]"), "marks": _share(hit, "[^A-Za-z0-9]"),
         "switches": switches / n, "bigrams": _share(low, "(?:" + "|".join(BIGRAMS) + ")"), "distinct": F.size(F.array_distinct(F.split(F.substring(low, 1, 256), ""))) / F.least(n, F.lit(36)),
-        "coverage": _share(low, "(?:" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")"), "hex": yes(hit.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), "numeric": yes(hit.rlike("^[0-9-]+$")),
+        "vowels": _share(low, "[aeiouy]"), "coverage": _share(low, "(?:" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")"), "hex": yes(hit.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), "numeric": yes(hit.rlike("^[0-9-]+$")),
         "uuid": yes(low.rlike("^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")), "known_prefix": yes(hit.rlike("^" + PREFIX)),
         "in_path": yes(hit.rlike("[^/]/[^/]") | before.rlike(r"(?:https?:|www\.|[./\\]|~)[^\s]{0,30}$") | after.rlike(r"^[./\\][A-Za-z]")), "quoted": yes(before.rlike("[\"']$") & after.rlike("^[\"']")), "assigned": yes(before.rlike(r"[=:]\x20?[\"']?$")) if kind != "assigned" else F.lit(1.0),
         "cue": yes(before.rlike(CUE)), "counter": yes(before.rlike(COUNTER)), "after_counter": yes(after.rlike(AFTER_COUNTER)), "words_around": yes(before.rlike(r"[a-z]{2,}[.,]?\x20$")) + yes(after.rlike(r"^\x20[A-Za-z]{2,}")),
@@ -105,6 +109,8 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     digits = F.regexp_replace(F.conv(F.substring(h("d"), 1, 15), 16, 10), "^0+", "1")
     letters = F.translate(b64, "0123456789", "qKzWxJvHpY")
     syllable = lambda salt: pick(SYLLABLES, salt)
+    built = F.concat(*(pick(parts, f"{parts[-1]}{k}") for k in range(9) for parts in (ONSETS, NUCLEI, CODAS)))
+    long = F.substring(F.col("built"), F.lit(1), size + 16)
     secret = [
         F.concat(name, gap, quote, F.substring(h("x"), F.lit(1), size + 16), quote), F.concat(name, gap, quote, F.substring(b64, F.lit(1), size + 16), quote), F.concat(F.lit("AKIA"), F.upper(F.substring(F.translate(b64, "0189", "2345"), 1, 16))),
         F.concat(pick(["ghp_", "sk_live_", "xoxb-", "AIza", "glpat-"], "prefix"), F.substring(b64, 1, 36)), F.concat(F.lit("Bearer "), b64), F.concat(name, gap, F.substring(b64, F.lit(1), F.lit(8) + size % 6)),
@@ -117,12 +123,13 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         F.concat(*(syllable(f"y{k}") for k in range(5)), F.lit("schaft")), F.initcap(F.concat(*(syllable(f"z{k}") for k in range(6)), F.lit("ation"))), F.concat(*(F.initcap(syllable(f"c{k}")) for k in range(5)), F.initcap(word("c5"))),
         F.replace(F.concat_ws("-", word("k1"), syllable("k2"), word("k3"), F.concat(syllable("k4"), syllable("k5")), word("k6")), F.lit("-"), pick(["-", "_", "/"], "mark")), F.upper(F.concat_ws("_", word("u1"), syllable("u2"), word("u3"), F.concat(syllable("u4"), syllable("u5")))),
         F.upper(F.concat(*(syllable(f"v{k}") for k in range(4)), word("v4"), F.lit("ation"))), F.upper(F.concat_ws("_", word("u6"), F.concat(syllable("u7"), syllable("u8"), F.lit("ion")), F.concat(syllable("u9"), F.lit("ies")))),
+        F.upper(long), F.upper(F.reverse(long)), F.initcap(long), long, F.concat(name, gap, F.substring(F.col("built"), 1, 9)),
         F.repeat(pick(["-", "_", "a", "/", "+-", "x", "ha"], "rule"), size * 3 + 16),
     ]
     one = lambda options, salt: F.element_at(F.array(*options), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
     yes = i % 2 == 0
     text = F.concat_ws(" ", word("a"), word("b"), F.when(yes, one(secret, "s")).otherwise(one(plain, "t")), word("c"), word("e"))
-    return spark.range(0, n, 1, 2).select(i.alias("doc_id"), text.alias("text"), yes.cast("double").alias("secret"))
+    return spark.range(0, n, 1, 2).withColumn("built", built).select(i.alias("doc_id"), text.alias("text"), yes.cast("double").alias("secret"))
 
 
 def train(findings: DataFrame, trees: int = 24, depth: int = 7) -> RandomForestClassificationModel:
