@@ -27,6 +27,8 @@ from sphaera.llm.common import doc_texts
 from sphaera.llm.neardup import mix
 
 SEED_WORDS = 3
+#: Documents that are searched together; bounds the working memory of a task.
+RUN_DOCS = 1000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _WORD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -113,7 +115,7 @@ class Matcher:
             item, m = self.items[k][1], int(self.margin[k])
             width = len(item) + 3 * m
             best: dict[int, int] = {}
-            step = max(1, 2_000_000 // width)
+            step = max(1, 500_000 // width)
             for lo in range(0, len(found), step):
                 part = found[lo : lo + step]
                 win = np.full((len(part), width), -2, np.int64)
@@ -144,8 +146,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.4,
         def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
             m = matcher.value
             get = m.number.get
-            for b in batches:
-                numbered = [np.array([get(w, -1) for w in words(raw)], np.int64) for raw in b.column(1).cast(pa.binary()).to_pylist()]
+            for b in (batch.slice(lo, RUN_DOCS) for batch in batches for lo in range(0, batch.num_rows, RUN_DOCS)):
+                numbered = [np.array([get(w, -1) for w in words(raw)], np.int32) for raw in b.column(1).cast(pa.binary()).to_pylist()]
                 found = [(d, m.items[k][0], s) for d, k, s in m.scores(numbered, min_score) if s >= min_score]
                 ids = b.column(0).take(pa.array([d for d, _, _ in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([i for _, i, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.float64())], names=["doc_id", "item_id", "score"])

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from sphaera.llm.common import doc_texts, remainder
 
 NGRAMS = (4, 5, 6)
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: Words of a document that count for one feature.
 MOST_HITS = 3
 
