@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sphaera.operators.graphs import checkpoint_dir
 from sphaera.operators.sequences import equal_bin
 
 
@@ -51,9 +52,30 @@ def winsorise(value: Column, q1: Column, q3: Column) -> Column:
     return F.least(value, q3 + 1.5 * (q3 - q1))
 
 
+def quartiles(rows: DataFrame, value: str) -> DataFrame:
+    """One row q1, q3 of a whole column, linear between ranks; nulls are left out, no values give nulls.
+
+    Distinct values are counted, sorted over range partitions and checkpointed.  Running counts are taken only in the
+    partitions that hold a wanted rank, four at most, so no task holds more than one partition.
+    """
+    checkpoint_dir(rows.sparkSession)
+    v = F.col(value).cast("double")
+    counts = rows.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v").checkpoint()
+    d = counts.withColumn("p", F.spark_partition_id())
+    # a row per partition
+    ends = d.groupBy("p").agg(F.sum("n").alias("m")).select("p", "m", F.sum("m").over(Window.orderBy("p")).alias("upto"), F.sum("m").over(Window.partitionBy()).alias("total"))
+    places = [F.lit(share) * (F.col("total") - 1) for share in (0.25, 0.75)]
+    wanted = F.array(*(f(x) for x in places for f in (F.floor, F.ceil)))
+    held = ends.where(F.exists(wanted, lambda r: (r >= F.col("upto") - F.col("m")) & (r < F.col("upto"))))
+    run = F.sum("n").over(Window.partitionBy("p").orderBy("v"))
+    near = d.join(F.broadcast(held), "p").select("v", "total", (F.col("upto") - F.col("m") + run).alias("end"))  # four rows
+    at = lambda rank: F.min(F.when(F.col("end") > rank, F.col("v")))
+    return near.agg(*((at(F.floor(x)) + (at(F.ceil(x)) - at(F.floor(x))) * F.max(x - F.floor(x))).alias(name) for name, x in zip(("q1", "q3"), places, strict=True)))
+
+
 def rescale(rows: DataFrame, value: str, low: float, high: float) -> DataFrame:
     """Capped as above and mapped linearly onto [low, high], over all rows; the statistics are one row."""
-    q = rows.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    q = quartiles(rows, value)
     capped = rows.crossJoin(F.broadcast(q)).withColumn("_c", winsorise(F.col(value), F.col("q1"), F.col("q3"))).drop("q1", "q3")
     ends = capped.agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi"))
     return capped.crossJoin(F.broadcast(ends)).withColumn("scaled", F.when(F.col("_hi") > F.col("_lo"), low + (high - low) * (F.col("_c") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(low)).drop("_c", "_lo", "_hi")

@@ -77,3 +77,18 @@ def test_matching_is_monotone_and_clamped(spark):
     v, c = np.unique(np.round(a, 2), return_counts=True)
     w, d = np.unique(np.round(b, 2), return_counts=True)
     assert np.allclose(m, np.interp(np.cumsum(c) / 200, np.cumsum(d) / 100, w)) and len(v) == len(m)
+
+
+def test_quartiles_equal_sorted_ranks(spark):
+    import numpy as np
+
+    from sphaera.operators.thresholds import quartiles
+
+    rng = np.random.default_rng(3)
+    for values in ([2.5], [1.0, 4.0], [7.0] * 40 + [1.0, 9.0], rng.normal(size=997).round(2).tolist()):
+        df = spark.createDataFrame([(x,) for x in [*values, None]], "x double").repartition(5)
+        got = quartiles(df, "x").collect()
+        assert len(got) == 1
+        assert np.allclose([got[0]["q1"], got[0]["q3"]], np.quantile(values, [0.25, 0.75]), rtol=0, atol=1e-12)
+    empty = quartiles(spark.createDataFrame([(None,)], "x double"), "x").collect()
+    assert [tuple(r) for r in empty] == [(None, None)]
