@@ -27,4 +27,18 @@ reach(id, lab) AS (SELECT x, x FROM sym UNION SELECT s.y, r.lab FROM reach r JOI
 c AS (SELECT id, min(lab) AS component FROM reach GROUP BY id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id, coalesce(c.component, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id"""
 
-ORACLE_SQL = {"op7_suffix_array_dedup": REPEATS, "op10_minhash_near_dedup": NEAR_DUPLICATES}
+#: Every phrase by its words, its parts by the same table, sums in 128 bits.
+PHRASES = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i+k-1], ' '))) AS phrase FROM w, range(1, 4) t(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS c FROM g GROUP BY 1, 2, 3),
+n AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND c >= 10),
+cut AS (SELECT c.lang, c.k, c.phrase, c.a, c.ws, j, array_to_string(c.ws[1:j], ' ') AS one, array_to_string(c.ws[j+1:], ' ') AS two FROM c, range(1, 3) t(j) WHERE j < c.k),
+s AS (SELECT cut.*, x.c AS l, y.c AS r, ((1000000::HUGEINT * cut.a * cut.a) // (x.c::HUGEINT * y.c))::BIGINT AS score FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.one AND x.k = j JOIN f y ON y.lang = cut.lang AND y.phrase = cut.two AND y.k = cut.k - j),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (SELECT lang, array_to_string(ws[i:i+1], ' ') AS phrase, max(a) AS longer FROM c, range(1, 3) t(i) WHERE k = 3 GROUP BY 1, 2),
+kept AS (SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE b.k = 3 OR o.longer IS NULL OR 100 * o.longer < 50 * b.a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n.n, score FROM kept JOIN n ON n.lang = kept.lang QUALIFY row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) <= 2000"""
+
+ORACLE_SQL = {"op11_phrase_mining": PHRASES, "op7_suffix_array_dedup": REPEATS, "op10_minhash_near_dedup": NEAR_DUPLICATES}
