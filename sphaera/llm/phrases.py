@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sphaera.llm.common import materialise
+from sphaera.llm.common import bucketed, drop_table, materialise, spread
 
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 12 << 20
+#: Texts of so many bytes are split into words at once.
+CHUNK_BYTES = 1 << 21
 #: Marks that end a piece become line feeds, A-Z lower case, tabs spaces.
 _MAP = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A language's candidates are ranked in so many parts first.
@@ -52,10 +54,22 @@ def shard_lists(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(words, length of each word's list, all lists one after another): positions skip one between pieces."""
     numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
     numbers[b""], numbers[b"\n"]  # 0 and 1
-    big = " \n ".join(texts).encode().translate(_MAP).replace(b"\n", b" \n ")
-    tokens = big.split(b" ")
-    ids = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
-    ids = ids[ids > 0]
+    parts, held, size = [], [], 0
+
+    def flush() -> None:
+        tokens = " \n ".join([*held, ""]).encode().translate(_MAP).replace(b"\n", b" \n ").split(b" ")
+        ids = np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens))
+        parts.append(ids[ids > 0])
+        held.clear()
+
+    for t in texts:
+        held.append(t)
+        size += len(t) + 1
+        if size >= CHUNK_BYTES:
+            flush()
+            size = 0
+    flush()
+    ids = np.concatenate(parts)
     at = np.flatnonzero(ids > 1)
     word = ids[at] - 2
     order = np.argsort(word, kind="stable")
@@ -92,7 +106,7 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
     src = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = src.mapInArrow(run, SHARD).where(F.size("words") > 0)
-    return materialise(found.withColumn("shard", F.monotonically_increasing_id()), "phrase-lists")
+    return bucketed(found.withColumn("shard", F.monotonically_increasing_id()), "phrase_lists", "shard", spread(docs))
 
 
 def _starts(sizes: np.ndarray) -> np.ndarray:
@@ -110,23 +124,14 @@ def _counted(a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, np.n
     return np.unique(a * np.int64(width) + b, return_inverse=True, return_counts=True)
 
 
-def _frequent_postings(sizes: np.ndarray, lists: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lists of the words `local` merged: (position, place in local), by position."""
-    n = sizes[local]
-    at = np.repeat(_starts(sizes)[local] - _starts(n), n) + np.arange(n.sum())
-    position, name = lists[at], np.repeat(np.arange(len(local)), n)
-    order = np.argsort(position, kind="stable")
-    return position[order], name[order]
-
-
 def _word_rows(shard: DataFrame) -> DataFrame:
     word = F.explode(F.arrays_zip("words", "sizes", F.sequence(F.lit(0), F.size("words") - 1).alias("k"))).alias("w")
     return shard.select("shard", "lang", word).select("shard", "lang", F.col("w.words").alias("word"), F.col("w.sizes").cast("long").alias("c"), F.col("w.k").alias("k"))
 
 
-def _known(parts: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """shard and its rows (k, columns) in order of k: a shard's own words or pairs, bounded by its size."""
-    return parts.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("k", *columns))).alias("known"))
+def _known(parts: DataFrame, buckets: int, name: str, *columns: str) -> DataFrame:
+    """shard and its rows in order: a shard's own words or pairs, bounded by its size."""
+    return parts.repartition(buckets, "shard").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
 
 
 def _column(known: pa.Array, name: str) -> np.ndarray:
@@ -134,66 +139,84 @@ def _column(known: pa.Array, name: str) -> np.ndarray:
 
 
 def pair_counts(shard: DataFrame) -> DataFrame:
-    """shard, k (the pair's number in the shard), one, two (ids of its words), c: pairs of frequent words in each shard."""
-    schema = pa.schema([("shard", pa.int64()), ("k", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("c", pa.int64())])
+    """shard, one, two (ids of the words), c: pairs of frequent words in each shard."""
+    schema = pa.schema([("shard", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("c", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
-                position, name, ids, _ = _opened(row)
+                position, name, ids = _opened(row)
                 a, c, _ = _pairs(position, name)
                 key, _, n = _counted(a, c, len(ids))
                 for lo in range(0, len(key), 50_000):
                     part = key[lo : lo + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row.column(0)[0].as_py())), pa.array(np.arange(lo, lo + len(part)), pa.int32()), pa.array(ids[part // len(ids)]), pa.array(ids[part % len(ids)]), pa.array(n[lo : lo + 50_000])], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row.column(0)[0].as_py())), pa.array(ids[part // len(ids)]), pa.array(ids[part % len(ids)]), pa.array(n[lo : lo + 50_000])], schema=schema)
+
+    return shard.select("shard", "sizes", "lists", "ids").mapInArrow(run, "shard long, one long, two long, c long")
+
+
+def frequent_lists(shard: DataFrame) -> DataFrame:
+    """shard, lang, words, sizes, lists, ids, f: the shards cut to the words they are known to share with `known`."""
+    schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("lists", pa.binary()), ("ids", pa.list_(pa.int64())), ("f", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1)
+                known = row.column(5)
+                local = _column(known, "k").astype(np.int64)
+                sizes, lists = row.column(3).flatten().to_numpy().astype(np.int64), _unpack(row.column(4)[0].as_py())
+                n = sizes[local]
+                lists = lists[np.repeat(_starts(sizes)[local] - _starts(n), n) + np.arange(n.sum())]
+                one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+                words = row.column(2).flatten().take(pa.array(local))
+                yield pa.RecordBatch.from_arrays([row.column(0), row.column(1), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), one(n.astype(np.int32), pa.int32()), pa.array([_pack(lists)], pa.binary()), one(_column(known, "id"), pa.int64()), one(_column(known, "f"), pa.int64())], schema=schema)
 
-    return shard.select("shard", "sizes", "lists", "known").mapInArrow(run, "shard long, k int, one long, two long, c long")
+    rows = shard.select("shard", "lang", "words", "sizes", "lists", "known")
+    return rows.mapInArrow(run, "shard long, lang string, words array<binary>, sizes array<int>, lists binary, ids array<long>, f array<long>")
 
 
-def _opened(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(positions and places of the frequent words of a shard, their ids, the column of what is known of them)."""
-    known = row.column(row.schema.get_field_index("known"))
-    sizes = row.column(row.schema.get_field_index("sizes")).flatten().to_numpy().astype(np.int64)
-    lists = _unpack(row.column(row.schema.get_field_index("lists"))[0].as_py())
-    position, name = _frequent_postings(sizes, lists, _column(known, "k").astype(np.int64))
-    return position, name, _column(known, "id"), known
+def _opened(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions and words of a shard's lists merged, by position; ids of its words)."""
+    sizes = row.column(row.schema.get_field_index("sizes")).flatten().to_numpy()
+    position = _unpack(row.column(row.schema.get_field_index("lists"))[0].as_py())
+    order = np.argsort(position)
+    name = np.repeat(np.arange(len(sizes)), sizes)[order]
+    return position[order], name, row.column(row.schema.get_field_index("ids")).flatten().to_numpy()
 
 
-FOUND = "lang string, phrase string, words int, c long, l1 long, r1 long, l2 long, r2 long"
+FOUND = "lang string, phrase string, words int, c long, l long, r long"
 
 
 def phrase_counts(shard: DataFrame) -> DataFrame:
-    """lang, phrase, words, c, l1, r1, l2, r2: frequent pairs spelled once (c: the whole count), triples of each shard (c: the
-    shard's count), each with the frequencies of its parts: l1 and r1 after the first word, l2 and r2 after the second."""
+    """lang, phrase, words, c, l, r: frequent pairs spelled once, with their whole count and those of both words, and the
+    triples of each shard with its own count."""
     kinds = [x.split() for x in FOUND.split(", ")]
     schema = pa.schema([(c, {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[t]) for c, t in kinds])
 
-    def made(lang, words, phrase, c, l1, r1, l2, r2):
+    def made(lang, words, phrase, c, left, right):
         n = len(phrase)
-        longs = [pa.array(np.asarray(x, np.int64)) for x in (c, l1, r1, l2, r2)]
-        return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(np.full(n, words), pa.int32()), *longs], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(np.full(n, words), pa.int32()), *(pa.array(np.asarray(x, np.int64)) for x in (c, left, right))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
-                position, name, ids, known = _opened(row)
-                words, f = row.column(row.schema.get_field_index("words")).flatten(), _column(known, "f")
-                spelled = words.take(pa.array(_column(known, "k"))).to_pylist()
-                lang = row.column(row.schema.get_field_index("lang"))[0].as_py()
+                lang, pairs = row.column(1)[0].as_py(), row.column(6)
+                position, name, ids = _opened(row)
+                f, spelled = row.column(7).flatten().to_numpy(), row.column(2).flatten().to_pylist()
                 a, c, at = _pairs(position, name)
                 key, of, _ = _counted(a, c, len(ids))
-                pairs = row.column(row.schema.get_field_index("pairs"))
-                k, total, first = _column(pairs, "k").astype(np.int64), _column(pairs, "a"), _column(pairs, "first").astype(bool)
-                if not len(k):
-                    continue
-                left, right = key[k] // len(ids), key[k] % len(ids)
+                total, first = _column(pairs, "a"), _column(pairs, "first").astype(bool)
+                order = np.argsort(ids)
+                left, right = (order[np.searchsorted(ids, _column(pairs, x), sorter=order)] for x in ("one", "two"))
+                k = np.searchsorted(key, left * len(ids) + right)
                 mine = np.flatnonzero(first)
                 for lo in range(0, len(mine), 20_000):
                     m = mine[lo : lo + 20_000]
                     text = [spelled[x] + b" " + spelled[y] for x, y in zip(left[m].tolist(), right[m].tolist(), strict=True)]
-                    yield made(lang, 2, text, total[m], f[left[m]], f[right[m]], np.zeros(len(m)), np.zeros(len(m)))
+                    yield made(lang, 2, text, total[m], f[left[m]], f[right[m]])
                 # the lists of the frequent pairs, merged with themselves one position on
                 place = np.full(len(key), -1)
                 place[k] = np.arange(len(k))
@@ -204,9 +227,9 @@ def phrase_counts(shard: DataFrame) -> DataFrame:
                 for lo in range(0, len(triple), 20_000):
                     p, q = triple[lo : lo + 20_000] // len(k), triple[lo : lo + 20_000] % len(k)
                     text = [spelled[x] + b" " + spelled[y] + b" " + spelled[z] for x, y, z in zip(left[p].tolist(), right[p].tolist(), right[q].tolist(), strict=True)]
-                    yield made(lang, 3, text, n[lo : lo + 20_000], f[left[p]], total[q], total[p], f[right[q]])
+                    yield made(lang, 3, text, n[lo : lo + 20_000], np.zeros(len(p)), np.zeros(len(p)))
 
-    return shard.select("shard", "lang", "words", "sizes", "lists", "known", "pairs").mapInArrow(run, FOUND)
+    return shard.select("shard", "lang", "words", "sizes", "lists", "ids", "pairs", "f").mapInArrow(run, FOUND)
 
 
 def _score(l: str, r: str) -> Column:
@@ -221,25 +244,29 @@ def mine(docs: DataFrame, least: int = 10, cover: int = 50, top: int = 2000, sha
     least: occurrences that make a phrase a candidate.  A candidate is dropped where a longer one that holds it has at least
     `cover` in a hundred of its occurrences.
     """
-    lists = shards(docs, shard_bytes)
+    lists, buckets = shards(docs, shard_bytes), spread(docs)
     rows = _word_rows(lists)
     words = materialise(rows.groupBy("lang", "word").agg(F.sum("c").alias("f")).withColumn("id", F.monotonically_increasing_id()), "phrase-words")
     sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
     own = rows.select("shard", "lang", "word", "k").join(words.where(F.col("f") >= least), ["lang", "word"])
-    opened = materialise(lists.join(_known(own, ("id", "f")), "shard"), "phrase-frequent-lists")
+    opened = bucketed(frequent_lists(lists.join(_known(own, buckets, "known", "k", "id", "f"), "shard")), "phrase_frequent_lists", "shard", buckets)
+    drop_table(lists)
     whole = Window.partitionBy("one", "two")
     counted = pair_counts(opened).withColumn("a", F.sum("c").over(whole)).withColumn("first", F.min("shard").over(whole) == F.col("shard"))
-    pairs = _known(counted.where(F.col("a") >= least), ("a", "first")).withColumnRenamed("known", "pairs")
-    found = phrase_counts(opened.join(pairs, "shard"))
-    found = found.groupBy("lang", "phrase", "words").agg(F.sum("c").alias("a"), *(F.first(c).alias(c) for c in ("l1", "r1", "l2", "r2"))).where(F.col("a") >= least)
+    pairs = _known(counted.where(F.col("a") >= least), buckets, "pairs", "one", "two", "a", "first")
+    found = phrase_counts(opened.join(pairs, "shard")).groupBy("lang", "phrase", "words").agg(F.sum("c").alias("a"), F.max("l").alias("l"), F.max("r").alias("r")).where(F.col("a") >= least)
     found = materialise(found, "phrase-candidates")
-    parts = F.split("phrase", " ")
-    inner = F.explode(F.array(*(F.concat_ws(" ", parts[k], parts[k + 1]) for k in (0, 1)))).alias("phrase")
-    longer = found.where("words = 3").select("lang", inner, "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    kept = found.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("words") == 3) | (100 * F.col("longer") < cover * F.col("a")))
-    second = (F.col("words") == 3) & (F.col("s2") < F.col("s1"))
-    scored = kept.withColumn("s1", _score("l1", "r1")).withColumn("s2", F.when(F.col("words") == 3, _score("l2", "r2")))
-    scored = scored.select("lang", "phrase", "a", F.when(second, F.col("l2")).otherwise(F.col("l1")).alias("l"), F.when(second, F.col("r2")).otherwise(F.col("r1")).alias("r"), F.when(second, F.col("s2")).otherwise(F.col("s1")).alias("score"))
+    drop_table(opened)
+    two, parts = found.where("words = 2").drop("words"), F.split("phrase", " ")
+    three = found.where("words = 3").select("lang", "phrase", "a", F.concat_ws(" ", parts[0], parts[1]).alias("one"), F.concat_ws(" ", parts[1], parts[2]).alias("two"))
+    longer = three.select("lang", F.explode(F.array("one", "two")).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
+    short = two.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < cover * F.col("a")))
+    short = short.select("lang", "phrase", "a", "l", "r", _score("l", "r").alias("score"))
+    one = two.select("lang", F.col("phrase").alias("one"), F.col("l").alias("l1"), F.col("a").alias("l2"))
+    last = two.select("lang", F.col("phrase").alias("two"), F.col("a").alias("r1"), F.col("r").alias("r2"))
+    long = three.join(one, ["lang", "one"]).join(last, ["lang", "two"]).withColumn("s1", _score("l1", "r1")).withColumn("s2", _score("l2", "r2"))
+    second = F.col("s2") < F.col("s1")
+    scored = short.unionByName(long.select("lang", "phrase", "a", *(F.when(second, F.col(y)).otherwise(F.col(x)).alias(n) for x, y, n in (("l1", "l2", "l"), ("r1", "r2", "r"), ("s1", "s2", "score")))))
     order = (F.desc("score"), F.desc("a"), "phrase")
     some = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
     some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top).drop("rank", "part")
