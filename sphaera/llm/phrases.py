@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from sphaera.llm.common import bucketed, drop_table, materialise, spread
 
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 10 << 20
 #: Texts of so many bytes are split into words at once.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 #: Marks that end a piece become line feeds, A-Z lower case, tabs spaces.
 _MAP = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A language's candidates are ranked in so many parts first.
@@ -47,7 +47,7 @@ def _pack(values: np.ndarray) -> bytes:
 
 def _unpack(raw: bytes) -> np.ndarray:
     planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32).astype(np.int64)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32).view(np.int32)
 
 
 def shard_lists(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -70,8 +70,10 @@ def shard_lists(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
             size = 0
     flush()
     ids = np.concatenate(parts)
-    at = np.flatnonzero(ids > 1)
+    del parts
+    at = np.flatnonzero(ids > 1).astype(np.int32)
     word = ids[at] - 2
+    del ids
     order = np.argsort(word, kind="stable")
     return list(numbers)[2:], np.bincount(word, minlength=len(numbers) - 2), at[order]
 
@@ -119,9 +121,9 @@ def _pairs(position: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return name[near], name[near + 1], position[near]
 
 
-def _counted(a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct a * width + b, number of each in the input, count)."""
-    return np.unique(a * np.int64(width) + b, return_inverse=True, return_counts=True)
+def _counted(a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct a * width + b, length of the list of each)."""
+    return np.unique(a * np.int64(width) + b, return_counts=True)
 
 
 def _word_rows(shard: DataFrame) -> DataFrame:
@@ -148,7 +150,8 @@ def pair_counts(shard: DataFrame) -> DataFrame:
                 row = b.slice(i, 1)
                 position, name, ids = _opened(row)
                 a, c, _ = _pairs(position, name)
-                key, _, n = _counted(a, c, len(ids))
+                del position, name
+                key, n = _counted(a, c, len(ids))
                 for lo in range(0, len(key), 50_000):
                     part = key[lo : lo + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row.column(0)[0].as_py())), pa.array(ids[part // len(ids)]), pa.array(ids[part % len(ids)]), pa.array(n[lo : lo + 50_000])], schema=schema)
@@ -182,7 +185,7 @@ def _opened(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = row.column(row.schema.get_field_index("sizes")).flatten().to_numpy()
     position = _unpack(row.column(row.schema.get_field_index("lists"))[0].as_py())
     order = np.argsort(position)
-    name = np.repeat(np.arange(len(sizes)), sizes)[order]
+    name = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
     return position[order], name, row.column(row.schema.get_field_index("ids")).flatten().to_numpy()
 
 
@@ -206,26 +209,28 @@ def phrase_counts(shard: DataFrame) -> DataFrame:
                 lang, pairs = row.column(1)[0].as_py(), row.column(6)
                 position, name, ids = _opened(row)
                 f, spelled = row.column(7).flatten().to_numpy(), row.column(2).flatten().to_pylist()
-                a, c, at = _pairs(position, name)
-                key, of, _ = _counted(a, c, len(ids))
-                total, first = _column(pairs, "a"), _column(pairs, "first").astype(bool)
                 order = np.argsort(ids)
                 left, right = (order[np.searchsorted(ids, _column(pairs, x), sorter=order)] for x in ("one", "two"))
-                k = np.searchsorted(key, left * len(ids) + right)
+                key = left * len(ids) + right
+                by = np.argsort(key)
+                key, left, right = key[by], left[by], right[by]
+                total, first = _column(pairs, "a")[by], _column(pairs, "first")[by].astype(bool)
                 mine = np.flatnonzero(first)
                 for lo in range(0, len(mine), 20_000):
                     m = mine[lo : lo + 20_000]
                     text = [spelled[x] + b" " + spelled[y] for x, y in zip(left[m].tolist(), right[m].tolist(), strict=True)]
                     yield made(lang, 2, text, total[m], f[left[m]], f[right[m]])
                 # the lists of the frequent pairs, merged with themselves one position on
-                place = np.full(len(key), -1)
-                place[k] = np.arange(len(k))
-                pair = place[of]
-                keep = pair >= 0
+                a, c, at = _pairs(position, name)
+                del position, name
+                a = a * np.int64(len(ids)) + c
+                pair = np.searchsorted(key, a)
+                keep = key[np.minimum(pair, len(key) - 1)] == a
                 p, q, _ = _pairs(at[keep], pair[keep])
-                triple, _, n = _counted(p, q, len(k))
+                del a, c, at, pair, keep
+                triple, n = _counted(p, q, len(key))
                 for lo in range(0, len(triple), 20_000):
-                    p, q = triple[lo : lo + 20_000] // len(k), triple[lo : lo + 20_000] % len(k)
+                    p, q = triple[lo : lo + 20_000] // len(key), triple[lo : lo + 20_000] % len(key)
                     text = [spelled[x] + b" " + spelled[y] + b" " + spelled[z] for x, y, z in zip(left[p].tolist(), right[p].tolist(), right[q].tolist(), strict=True)]
                     yield made(lang, 3, text, n[lo : lo + 20_000], np.zeros(len(p)), np.zeros(len(p)))
 
