@@ -65,12 +65,14 @@ def flow_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(cut, "img_id").select("img_id", "p", r6(F.when(keep, F.col("mag")).otherwise(0.0)).alias("mag"), F.when(keep, r6(F.col("ang"), 5)).alias("ang"))
 
 
-@query("SELECT y, x, CASE WHEN (x-5)*(x-5)+(y-4)*(y-4) >= 1 AND (x-5)*(x-5)+(y-4)*(y-4) < 9 THEN 1 ELSE 0 END AS inside FROM range(8) a(y), range(8) b(x)")
+@query(f"WITH {SNAP}, c AS (SELECT img_id, j//8 AS y, j%8 AS x, px[j+1] AS v FROM snap, range(64) t(j)), m AS (SELECT *, (x-5)*(x-5)+(y-4)*(y-4) >= 1 AND (x-5)*(x-5)+(y-4)*(y-4) < 9 AS inside FROM c) SELECT img_id, count(*) FILTER (WHERE inside) AS n, round(avg(v) FILTER (WHERE inside), 6) + 0.0 AS inner_mean, round(avg(v) FILTER (WHERE NOT inside), 6) + 0.0 AS outer_mean FROM m GROUP BY img_id")
 def annular_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axis = spark.range(8)
-    g = axis.select(F.col("id").alias("y")).crossJoin(F.broadcast(axis.select(F.col("id").alias("x"))))  # 8 x 8 cells
-    r2 = (F.col("x") - 5) * (F.col("x") - 5) + (F.col("y") - 4) * (F.col("y") - 4)
-    return g.select("y", "x", F.when((r2 >= 1) & (r2 < 9), 1).otherwise(0).alias("inside"))
+    """Means of every image within and without a ring; its centre is one pixel to the right."""
+    y, x = F.floor(F.col("j") / 8), F.col("j") % 8
+    r2 = (x - 5) * (x - 5) + (y - 4) * (y - 4)
+    c = snapshots(spark, sf_dir).select("img_id", F.posexplode("px").alias("j", "v")).withColumn("inside", (r2 >= 1) & (r2 < 9))
+    mean = lambda here: F.avg(F.when(here, F.col("v")))
+    return c.groupBy("img_id").agg(F.count_if("inside").alias("n"), r6(mean(F.col("inside"))).alias("inner_mean"), r6(mean(~F.col("inside"))).alias("outer_mean"))
 
 
 @query(f"WITH {TAU}, h AS (SELECT prd, least(floor(tau*20),19)::INT AS bin, count(*) AS n FROM ev GROUP BY 1, 2), c AS (SELECT prd, bin, floor(20*sum(n) OVER (PARTITION BY prd ORDER BY bin)/sum(n) OVER (PARTITION BY prd))::BIGINT AS level FROM h) SELECT prd, bin, level FROM c")

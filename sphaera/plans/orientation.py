@@ -137,13 +137,17 @@ def geo_ctf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.crossJoin(F.broadcast(k)).select("df", "k", r6(g.contrast_transfer(F.col("s"), F.col("df"), 2.7, 300.0, 0.5, 0.1), 5).alias("ctf"))
 
 
-@query(f"""WITH g AS (SELECT y, x, (2.0/8)*sqrt((x*x+y*y)::DOUBLE) AS q FROM range(-4, 4) a(y), range(-4, 4) b(x))
-SELECT y, x, {R.format('q')} AS q, {R.format('exp(-(ln(2.0)/2)*pow(q/0.5, 2))')} AS gauss, {R.format('sqrt(1/(1+pow(q/0.5, 16)))')} AS butter FROM g""")
+@query(f"""WITH {SNAP}, c AS (SELECT prd, j//8-4 AS y, j%8-4 AS x, avg(px[j+1]) AS mean FROM snap, range(64) t(j) GROUP BY ALL), g AS (SELECT *, (2.0/8)*sqrt((x*x+y*y)::DOUBLE) AS q FROM c),
+w AS (SELECT *, exp(-(ln(2.0)/2)*pow(q/0.5, 2)) AS ga, sqrt(1/(1+pow(q/0.5, 16))) AS bu FROM g)
+SELECT prd, y, x, {R.format('q')} AS q, {R.format('ga')} AS gauss, {R.format('bu')} AS butter, {R.format('ga*mean')} AS by_gauss, {R.format('bu*mean')} AS by_butter FROM w""")
 def geo_frequency_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axis = spark.range(-4, 4)
-    grid = axis.select(F.col("id").alias("y")).crossJoin(F.broadcast(axis.select(F.col("id").alias("x"))))  # 8 x 8 cells
+    """Low-pass weights of every cell of the groups' images, and their mean weighted so; the grid has the images' size."""
+    j = F.col("j")
+    cells = snapshots(spark, sf_dir).select("prd", F.posexplode("px").alias("j", "v")).groupBy("prd", "j").agg(F.avg("v").alias("mean"))
+    c = cells.select("prd", (F.floor(j / 8) - 4).alias("y"), (j % 8 - 4).cast("long").alias("x"), "mean")
     q = g.frequency(F.col("x"), F.col("y"), 8)
-    return grid.select("y", "x", r6(q).alias("q"), r6(g.transfer(q, "Gauss", 0.5)).alias("gauss"), r6(g.transfer(q, "Butter", 0.5)).alias("butter"))
+    ga, bu = g.transfer(q, "Gauss", 0.5), g.transfer(q, "Butter", 0.5)
+    return c.select("prd", "y", "x", r6(q).alias("q"), r6(ga).alias("gauss"), r6(bu).alias("butter"), r6(ga * F.col("mean")).alias("by_gauss"), r6(bu * F.col("mean")).alias("by_butter"))
 
 
 @query("""WITH w AS (SELECT s_suppkey AS id, 1+(s_suppkey % 5) AS aperture, 3.0+(s_suppkey % 7) AS res, 100.0+(s_suppkey % 150) AS diam FROM supplier), a AS (SELECT id, res/diam AS shannon, least(aperture*res/diam, sqrt(4*pi())) AS width FROM w)

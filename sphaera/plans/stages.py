@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sphaera.config import Config
-from sphaera.kernels import diffusion, images, mrf, sequence
+from sphaera.kernels import diffusion, images, sequence
 from sphaera.operators import graphs as gr
-from sphaera.operators.tessellation import cap_members, centres, mean_directions
+from sphaera.operators import messages as bp
+from sphaera.operators.tessellation import cap_members, mean_directions
 from sphaera.operators.thresholds import tau_quality
-from sphaera.plans.base import K, snapshots
+from sphaera.plans.base import snapshots
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -109,7 +110,7 @@ def filtered(rows: DataFrame, cfg: Config, psis: int = 2) -> DataFrame:
     return rows.groupBy("prd").applyInPandas(run, "prd int, psi int, frame int, tau double, px array<double>")
 
 
-SMALL = Config(con_order_range=12, psi_trunc=8)
+SMALL = Config(con_order_range=12, psi_trunc=8, bp_damping=0.5)
 
 
 @query
@@ -162,39 +163,27 @@ def edge_measures(edges: DataFrame, field: DataFrame, norm: str = "l2") -> DataF
     return met.mapInPandas(run, "edge int, src int, dst int, psi_a int, psi_b int, sense int, dist double")
 
 
-def label_nodes(measures: DataFrame, nodes: int, anchors: dict[int, int], psis: int, cfg: Config, bad: set[tuple[int, int]] = frozenset(), trash: set[int] = frozenset()) -> DataFrame:
-    """prd, psi, sense, belief by belief propagation.
+def label_nodes(measures: DataFrame, nodes: DataFrame, anchors: DataFrame, psis: int, cfg: Config, bad: DataFrame | None = None, trash: DataFrame | None = None) -> DataFrame:
+    """prd, psi, sense, belief by belief propagation on the cluster.
 
-    The graph has one node per group of snapshots (thousands at most, whatever the number of snapshots), so its measures
-    are collected and propagated on the driver in breadth-first order from the anchors.  Trashed nodes get no label and
-    pass nothing on.  If every node is an anchor or trashed, the anchors are the labels.
+    measures: edge, src, dst, psi_a, psi_b, sense, dist; nodes: prd; anchors: prd, state; bad: prd, psi that are shut out;
+    trash: prd.  Trashed nodes get no label and pass nothing on.  If every node is an anchor or trashed, the anchors are the
+    labels.  Distances are mapped to 5 to 45 by the largest one.
     """
-    spark = measures.sparkSession
-    schema = "prd int, psi int, sense int, belief double"
-    if len(set(anchors) | trash) >= nodes:  # labelled by hand throughout: nothing to propagate
-        return spark.createDataFrame([(u, p % psis, 1 if p < psis else -1, 1.0) for u, p in sorted(anchors.items()) if u not in trash], schema)
-    rows = measures.where(~F.col("src").isin(*trash) & ~F.col("dst").isin(*trash)) if trash else measures
-    t = rows.select("edge", "src", "dst", "psi_a", "psi_b", "sense", "dist").toArrow()
-    edge, src, dst, psi_a, psi_b, sense, dist = (t.column(k).to_numpy() for k in range(7))
-    names, first, at = np.unique(edge, return_index=True, return_inverse=True)
-    edges = np.stack([src[first], dst[first]], axis=1).astype(int) if len(names) else np.zeros((0, 2), int)
-    tables = np.full((len(names), psis, 2 * psis), 45.0)
-    tables[at, psi_a, psi_b + np.where(sense > 0, 0, psis)] = 5 + 40 * dist / ((dist.max() if len(dist) else 0) or 1.0)
-    node, pot = mrf.potentials(nodes, anchors, dict(enumerate(tables)), len(names), psis, bad=set(bad))
-    near: dict[int, list[int]] = {}
-    for a, b in edges.tolist():
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    order, seen = list(anchors), set(anchors)
-    for u in order:
-        for v in near.get(u, ()):
-            if v not in seen:
-                seen.add(v)
-                order.append(v)
-    order += [u for u in range(nodes) if u not in seen]
-    belief, _, _ = mrf.propagate(node, edges, pot, np.array(order), cfg.bp_tolerance, cfg.bp_rounds, cfg.bp_damping, cfg.bp_max_product)
-    psi, sense = mrf.decode(belief, psis)
-    return spark.createDataFrame([(u, int(psi[u]), int(sense[u]), float(belief[u].max())) for u in range(nodes) if u not in trash], schema)
+    ids = nodes.select(F.col("prd").cast("long").alias("id")).distinct()
+    at = anchors.select(F.col("prd").cast("long").alias("id"), "state")
+    if trash is not None:
+        out = trash.select(F.col("prd").cast("long").alias("id"))
+        ids, at = ids.join(out, "id", "left_anti"), at.join(out, "id", "left_anti")
+        measures = measures.join(out.withColumnRenamed("id", "src"), "src", "left_anti").join(out.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    if not ids.join(at, "id", "left_anti").limit(1).count():  # labelled by hand throughout: nothing to propagate
+        s = F.col("state")
+        return at.select(F.col("id").cast("int").alias("prd"), (s % psis).cast("int").alias("psi"), F.when(s < psis, 1).otherwise(-1).alias("sense"), F.lit(1.0).alias("belief"))
+    top = measures.agg(F.when(F.max("dist") > 0, F.max("dist")).otherwise(1.0).alias("top"))
+    scaled = measures.crossJoin(F.broadcast(top)).withColumn("v", 5 + 40 * F.col("dist") / F.col("top"))  # one row
+    pots = bp.node_potentials(ids, psis, at, None if bad is None else bad.withColumnRenamed("prd", "id"))
+    held, _ = bp.propagate(pots, bp.edge_potentials(scaled, psis), 2 * psis, cfg.bp_tolerance, cfg.bp_rounds, cfg.bp_damping, cfg.bp_max_product)
+    return bp.decode(bp.beliefs(pots, held, 2 * psis), psis).select(F.col("id").cast("int").alias("prd"), "psi", "sense", "belief")
 
 
 @query
@@ -219,17 +208,25 @@ def group_graph(spark: SparkSession, sf_dir: str, eps: float) -> DataFrame:
     return gr.numbered(edges, "edge").select(F.col("edge").cast("int").alias("edge"), "src", "dst")
 
 
+def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filtered sequences of all groups, checkpointed: several steps read them."""
+    gr.checkpoint_dir(spark)
+    return filtered(snapshots(spark, sf_dir), SMALL).checkpoint()
+
+
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edge_measures(group_graph(spark, sf_dir, 1.2), flows(filtered(snapshots(spark, sf_dir), SMALL)))
+    return edge_measures(group_graph(spark, sf_dir, 1.2), flows(_sequences(spark, sf_dir)))
 
 
 @query
 def stage_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of all groups from the first one's anchor; coordinates of poor quality are shut out."""
-    groups = [r["prd"] for r in snapshots(spark, sf_dir).select("prd").distinct().orderBy("prd").collect()]  # a row per bin
-    poor = tau_quality(filtered(snapshots(spark, sf_dir), SMALL), "tau", ["prd", "psi"]).where("bad").select("prd", "psi").collect()
-    bad = {(r["prd"], r["psi"]) for r in poor}
-    return label_nodes(_measured(spark, sf_dir), max(groups, default=-1) + 1, dict.fromkeys(groups[:1], 0), 2, SMALL, bad).withColumn("belief", F.round("belief", 6))
+    seqs = _sequences(spark, sf_dir)
+    nodes = snapshots(spark, sf_dir).select("prd").distinct()
+    bad = tau_quality(seqs, "tau", ["prd", "psi"]).where("bad").select("prd", "psi")
+    measures = edge_measures(group_graph(spark, sf_dir, 1.2), flows(seqs)).checkpoint()
+    anchor = nodes.agg(F.min("prd").alias("prd")).select("prd", F.lit(0).alias("state"))
+    return label_nodes(measures, nodes, anchor, 2, SMALL, bad).withColumn("belief", F.round("belief", 6))
 
 
 @query
@@ -311,10 +308,3 @@ def stage_gradient_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = snapshots(spark, sf_dir).select("img_id", "px").mapInPandas(run, "img_id long, hog array<double>")
     return rows.select("img_id", F.posexplode("hog").alias("k", "v")).withColumn("v", F.round("v", 6))
-
-
-@query
-def stage_graph_labels_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the graph of centres, at a radius that leaves it whole."""
-    c = centres(spark, K)
-    return gr.components(c.select(F.col("bin").alias("id")), gr.neighbourhood(c, 0.9))

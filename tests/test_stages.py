@@ -2,7 +2,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sphaera.config import Config
-from sphaera.operators import distances, graphs, sequences
+from sphaera.kernels import mrf
+from sphaera.operators import distances, graphs, messages, sequences
 from sphaera.plans import stages
 from sphaera.sources import stages as tables
 
@@ -34,19 +35,75 @@ def test_embedding_orders_a_group(spark):
     assert stages.embed(df, Config(high=10)).where("prd = 0").count() == 10
 
 
+MEASURES = "edge int, src int, dst int, psi_a int, psi_b int, sense int, dist double"
+
+
+def _ids(spark, *ids):
+    return spark.createDataFrame([(i,) for i in ids], "prd int")
+
+
+def _anchors(spark, at):
+    return spark.createDataFrame(list(at.items()), "prd int, state int")
+
+
 def test_labels_follow_the_anchor(spark):
     rows = [(e, a, b, i, j, s, 0.0 if i == j and s == 1 else 1.0) for e, (a, b) in enumerate([(0, 1), (1, 2)]) for i in range(2) for j in range(2) for s in (1, -1)]
-    m = spark.createDataFrame(rows, "edge int, src int, dst int, psi_a int, psi_b int, sense int, dist double")
-    out = stages.label_nodes(m, 3, {0: 1}, 2, Config()).collect()
+    out = stages.label_nodes(spark.createDataFrame(rows, MEASURES), _ids(spark, 0, 1, 2), _anchors(spark, {0: 1}), 2, Config()).collect()
     assert {(r["prd"], r["psi"], r["sense"]) for r in out} == {(0, 1, 1), (1, 1, 1), (2, 1, 1)}
 
 
 def test_labels_by_hand_and_trash(spark):
-    rows = [(0, 0, 1, 0, 0, 1, 0.0), (1, 1, 2, 0, 0, 1, 0.0)]
-    m = spark.createDataFrame(rows, "edge int, src int, dst int, psi_a int, psi_b int, sense int, dist double")
-    out = stages.label_nodes(m, 3, {0: 3, 1: 0}, 2, Config(), trash={2}).collect()
-    assert {(r["prd"], r["psi"], r["sense"]) for r in out} == {(0, 1, -1), (1, 0, 1)}
-    assert {r["prd"] for r in stages.label_nodes(m, 3, {0: 0}, 2, Config(), trash={1}).collect()} == {0, 2}
+    m = spark.createDataFrame([(0, 0, 1, 0, 0, 1, 0.0), (1, 1, 2, 0, 0, 1, 0.0)], MEASURES)
+    out = stages.label_nodes(m, _ids(spark, 0, 1, 2), _anchors(spark, {0: 3, 1: 0, 2: 1}), 2, Config(), trash=_ids(spark, 2)).collect()
+    assert {(r["prd"], r["psi"], r["sense"], r["belief"]) for r in out} == {(0, 1, -1, 1.0), (1, 0, 1, 1.0)}
+    assert {r["prd"] for r in stages.label_nodes(m, _ids(spark, 0, 1, 2), _anchors(spark, {0: 0}), 2, Config(), trash=_ids(spark, 1)).collect()} == {0, 2}
+
+
+def _random_graph(spark, rng, edges, n, psis):
+    s = 2 * psis
+    node = rng.normal(size=(n, s))
+    pot = rng.normal(size=(len(edges), s, s)) * 0.7
+    nodes = spark.createDataFrame([(i, node[i].tolist()) for i in range(n)], "id int, pot array<double>")
+    table = spark.createDataFrame([(k, a, b, pot[k].ravel().tolist()) for k, (a, b) in enumerate(edges)], "edge int, src int, dst int, pot array<double>")
+    return node, pot, nodes, table
+
+
+def test_messages_equal_the_sequential_schedule(spark):
+    rng = np.random.default_rng(5)
+    trees = [[(0, 1), (1, 2), (1, 3), (4, 3)]]
+    loops = [[(i, (i + 1) % 6) for i in range(6)] + [(0, 3), (2, 6)]]
+    for edges, damping in [(t, 1.0) for t in trees] + [(x, 0.5) for x in loops]:
+        n = max(max(e) for e in edges) + 2  # one node stands alone
+        node, pot, nodes, table = _random_graph(spark, rng, edges, n, 2)
+        for largest in (False, True) if damping == 1.0 else (False,):
+            want, pairs, _ = mrf.propagate(node, np.array(edges), pot, tolerance=1e-10, rounds=500, max_product=largest)
+            held, used = messages.propagate(nodes, table, 4, 1e-6, 60, damping, largest)
+            got = {r["id"]: r["belief"] for r in messages.beliefs(nodes, held, 4).collect()}
+            assert used < 60 and np.allclose([got[i] for i in range(n)], want, atol=1e-5)
+            joint = {r["edge"]: r["belief"] for r in messages.edge_beliefs(nodes, held, 4).collect()}
+            assert np.allclose([joint[k] for k in range(len(edges))], pairs.reshape(len(edges), -1), atol=1e-5)
+            state = want.argmax(1)
+            assert {(r["id"], r["psi"], r["sense"]) for r in messages.decode(messages.beliefs(nodes, held, 4), 2).collect()} == {(i, int(k % 2), 1 if k < 2 else -1) for i, k in enumerate(state)}
+
+
+def test_potentials_equal_the_kernel(spark):
+    rng = np.random.default_rng(6)
+    v = rng.random((2, 2, 4)) * 60
+    rows = [(e, e, e + 1, i, j % 2, 1 if j < 2 else -1, float(v[e, i, j])) for e in range(2) for i in range(2) for j in range(4)]
+    node, edge = mrf.potentials(3, {0: 3}, dict(enumerate(v)), 2, 2, bad={(1, 1)})
+    got = messages.edge_potentials(spark.createDataFrame(rows, "edge int, src int, dst int, psi_a int, psi_b int, sense int, v double"), 2)
+    assert all(np.allclose(r["pot"], edge[r["edge"]].ravel()) for r in got.collect()) and got.count() == 2
+    ids = spark.createDataFrame([(0,), (1,), (2,)], "id int")
+    pots = messages.node_potentials(ids, 2, spark.createDataFrame([(0, 3)], "id int, state int"), spark.createDataFrame([(1, 1)], "id int, psi int"))
+    assert all(np.allclose(r["pot"], node[r["id"]]) for r in pots.collect()) and pots.count() == 3
+
+
+def test_messages_of_an_empty_graph(spark):
+    nodes = spark.createDataFrame([(4, [0.0, 1.0])], "id int, pot array<double>")
+    none = spark.createDataFrame([], "edge int, src int, dst int, pot array<double>")
+    held, used = messages.propagate(nodes, none, 2)
+    out = messages.beliefs(nodes, held, 2).collect()
+    assert used == messages.CHECKED and len(out) == 1 and abs(sum(out[0]["belief"]) - 1) < 1e-12
 
 
 def test_laplacian_is_symmetric_with_unit_top_value(spark):
