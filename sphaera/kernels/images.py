@@ -19,6 +19,15 @@ def transfer(q: np.ndarray, kind: str, cutoff: float, order: int = 8) -> np.ndar
     raise ValueError(f"unknown filter {kind!r}")
 
 
+def contrast_transfer(n: int, defocus: float, pixel: float, cs: float, kilovolts: float, envelope: float, amplitude: float) -> np.ndarray:
+    """Transfer function of an n x n image in FFT order; defocus and pixel in A, cs in mm, envelope's half width in 1 / A."""
+    w = 12.3986 / np.sqrt((2 * 511.0 + kilovolts) * kilovolts)
+    k2 = (radial_frequency(n) / (2 * pixel)) ** 2
+    gamma = (0.5 * np.pi * cs * 1e7 * w**3 * k2 - np.pi * w * defocus) * k2
+    sigma = envelope / np.sqrt(2 * np.log(2))
+    return (np.sin(gamma) - amplitude * np.cos(gamma)) * np.exp(-k2 / (2 * sigma**2))
+
+
 def fourier_filter(img: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.fft.ifft2(np.fft.fft2(img) * weight).real
 

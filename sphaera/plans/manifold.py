@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sphaera.config import Config
 from sphaera.operators import distances as dist
 from sphaera.operators import sequences as seq
+from sphaera.operators import tiles
 from sphaera.operators.tessellation import cap_members
 from sphaera.plans.base import SNAP, r6, snapshots
 
@@ -45,6 +46,11 @@ def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dist.full_matrix(dist.pair_distances(rows), rows)
 
 
+def _nearest(spark: SparkSession, sf_dir: str, k: int = 6) -> DataFrame:
+    """The k nearest of every snapshot in its whole group, from tiles."""
+    return tiles.nearest(tiles.tiles(tiles.blocks(snapshots(spark, sf_dir), None)), k)
+
+
 @query(f"WITH {PAIRS} SELECT prd, i, j, round(d2, 6) + 0.0 AS d2 FROM pairs")
 def pair_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).withColumn("d2", r6(F.col("d2")))
@@ -52,12 +58,12 @@ def pair_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {KNN} SELECT prd, i, j, rank::INT AS rank, round(d2, 6) + 0.0 AS d2 FROM knn")
 def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dist.nearest(_matrix(spark, sf_dir), 6).select("prd", "i", "j", "rank", r6(F.col("d2")).alias("d2"))
+    return _nearest(spark, sf_dir).select("prd", "i", "j", "rank", r6(F.col("d2")).alias("d2"))
 
 
 @query(f"WITH {KNN} SELECT prd, i, j, round(max(d2), 6) + 0.0 AS d2 FROM (SELECT prd, i, j, d2 FROM knn UNION ALL SELECT prd, j, i, d2 FROM knn) GROUP BY prd, i, j")
 def knn_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dist.symmetrise(dist.nearest(_matrix(spark, sf_dir), 6)).withColumn("d2", r6(F.col("d2")))
+    return dist.symmetrise(_nearest(spark, sf_dir)).withColumn("d2", r6(F.col("d2")))
 
 
 LAP = FULL + """, w AS (SELECT prd, i, j, exp(-d2/(1.5*1.5)) AS w FROM mat), dg AS (SELECT prd, i, sum(w) AS d FROM w GROUP BY prd, i),

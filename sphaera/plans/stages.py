@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sphaera.config import Config
+from sphaera.functions.geometry import wavelength
 from sphaera.kernels import diffusion, images, sequence
 from sphaera.operators import graphs as gr
 from sphaera.operators import messages as bp
+from sphaera.operators import tiles
 from sphaera.operators.tessellation import cap_members, mean_directions
 from sphaera.operators.thresholds import tau_quality
-from sphaera.plans.base import snapshots
+from sphaera.plans.base import SNAP, r6, snapshots
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,6 +28,14 @@ def query(f: Callable) -> Callable:
     return f
 
 
+def oracle(sql: str) -> Callable:
+    def keep(f: Callable) -> Callable:
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
 def _capped(rows: DataFrame, cfg: Config) -> DataFrame:
     """Groups are cut to the configured size before a grouped kernel, so a task holds at most high^2 distances."""
     return cap_members(rows, cfg.high, "prd")
@@ -229,37 +239,43 @@ def stage_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_nodes(measures, nodes, anchor, 2, SMALL, bad).withColumn("belief", F.round("belief", 6))
 
 
-@query
-def stage_ctf_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances that compare images under each other's transfer function."""
+OPTICS, FRONT = tiles.Optics(), tiles.Front(outer=3.0, kind="Butter", cutoff=0.5, order=8)
+_W = wavelength(300.0)
+#: Images less their background, low-passed (a convolution with the filter's kernel), masked; their spectra by the plain sum
+#: over all pixels, and the transfer function of each defocus.
+_SPECTRA = f"""{SNAP}, g AS (SELECT a.k AS ky, b.k AS kx, (2.0::DOUBLE/8)*sqrt(power(CASE WHEN a.k < 4 THEN a.k ELSE a.k-8 END, 2)+power(CASE WHEN b.k < 4 THEN b.k ELSE b.k-8 END, 2)) AS q FROM range(8) a(k), range(8) b(k)),
+h AS (SELECT a.d AS dy, b.d AS dx, sum(sqrt(1/(1+pow(q/0.5, 16)))*cos(2*pi()*(ky*a.d+kx*b.d)/8.0))/64 AS h FROM g, range(8) a(d), range(8) b(d) GROUP BY 1, 2),
+pix AS (SELECT img_id, prd, df, j//8 AS y, j%8 AS x, px[j+1] AS v, (j%8-5)*(j%8-5)+(j//8-4)*(j//8-4) < 9 AS inside FROM snap, range(64) t(j)),
+bk AS (SELECT img_id, avg(CASE WHEN inside THEN 0 ELSE v END) AS m, stddev_pop(CASE WHEN inside THEN 0 ELSE v END) AS s FROM pix GROUP BY 1),
+nrm AS (SELECT pix.*, (v-m)/s AS z FROM pix JOIN bk USING (img_id)),
+flt AS (SELECT img_id, any_value(prd) AS prd, any_value(df) AS df, (y+dy)%8 AS y, (x+dx)%8 AS x, sum(z*h) AS v FROM nrm, h GROUP BY img_id, (y+dy)%8, (x+dx)%8),
+msk AS (SELECT * FROM flt WHERE (x-5)*(x-5)+(y-4)*(y-4) < 9),
+sp AS (SELECT img_id, any_value(prd) AS prd, any_value(df) AS df, ky, kx, sum(v*cos(2*pi()*(ky*y+kx*x)/8.0)) AS re, -sum(v*sin(2*pi()*(ky*y+kx*x)/8.0)) AS im FROM msk, g GROUP BY img_id, ky, kx),
+gam AS (SELECT df, ky, kx, q*q/4 AS k2, (0.5*pi()*2.7*1e7*{_W!r}*{_W!r}*{_W!r}*q*q/4-pi()*{_W!r}*df)*q*q/4 AS gam FROM (SELECT DISTINCT df FROM snap), g),
+ctf AS (SELECT df, ky, kx, (sin(gam)-0.1*cos(gam))*exp(-k2/(2*pow(0.5/sqrt(2*ln(2.0)), 2))) AS c FROM gam),
+fc AS (SELECT sp.*, c FROM sp JOIN ctf USING (df, ky, kx))"""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("img_id")
-        x = np.stack(g["px"].to_numpy()).reshape(len(g), 8, 8)
-        k = images.radial_frequency(8)
-        ctf = np.sin(0.001 * g["df"].to_numpy()[:, None, None] * k**2) * 0.9 - 0.1
-        d = images.ctf_distances(x, ctf)
-        i, j = np.triu_indices(len(g), 1)
-        ids = g["img_id"].to_numpy()
-        return pd.DataFrame({"prd": g["prd"].iloc[0], "i": ids[i], "j": ids[j], "d2": d[i, j]})
 
-    return _capped(snapshots(spark, sf_dir), Config()).select("prd", "img_id", "px", "df").groupBy("prd").applyInPandas(run, "prd int, i long, j long, d2 double")
+def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.prepare(snapshots(spark, sf_dir), FRONT)
 
 
+@oracle(f"WITH {_SPECTRA} SELECT a.prd, a.img_id AS i, b.img_id AS j, round(sum(power(a.c*b.re-b.c*a.re, 2)+power(a.c*b.im-b.c*a.im, 2))/64, 4) + 0.0 AS d2 FROM fc a JOIN fc b ON a.prd = b.prd AND a.img_id < b.img_id AND a.ky = b.ky AND a.kx = b.kx GROUP BY 1, 2, 3")
+@query
+def stage_ctf_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances that compare prepared images under each other's transfer function, tile by tile, whole groups."""
+    found = tiles.distance_rows(tiles.tiles(tiles.blocks(_prepared(spark, sf_dir), OPTICS)))
+    return tiles.long_distances(found).withColumn("d2", r6(F.col("d2"), 4))
+
+
+@oracle(f"""WITH {_SPECTRA}, t AS (SELECT prd, ky, kx, sum(re*c)/(sum(c*c)+0.2)/count(*) AS wr, sum(im*c)/(sum(c*c)+0.2)/count(*) AS wi, sum(re*sign(c))/count(*) AS fr, sum(im*sign(c))/count(*) AS fi FROM fc GROUP BY 1, 2, 3)
+SELECT prd, (y.k*8+x.k)::INT AS pixel, round(sum(wr*cos(2*pi()*(ky*y.k+kx*x.k)/8.0)-wi*sin(2*pi()*(ky*y.k+kx*x.k)/8.0))/64, 5) + 0.0 AS restored, round(sum(fr*cos(2*pi()*(ky*y.k+kx*x.k)/8.0)-fi*sin(2*pi()*(ky*y.k+kx*x.k)/8.0))/64, 5) + 0.0 AS flipped FROM t, range(8) y(k), range(8) x(k) GROUP BY 1, 2""")
 @query
 def stage_average_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wiener-restored and phase-flipped mean image of each group."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(g.sort_values("img_id")["px"].to_numpy()).reshape(len(g), 8, 8)
-        k = images.radial_frequency(8)
-        ctf = np.sin(0.001 * g.sort_values("img_id")["df"].to_numpy()[:, None, None] * k**2) * 0.9 - 0.1
-        mask = images.annular_mask(0, 4, 8)
-        avg = images.wiener_restore(x, ctf).mean(0) * mask
-        flip = np.mean([images.phase_flip(a, c) for a, c in zip(x, ctf, strict=True)], 0)
-        return pd.DataFrame({"prd": g["prd"].iloc[0], "pixel": np.arange(64), "restored": avg.ravel(), "flipped": flip.ravel()})
-
-    return _capped(snapshots(spark, sf_dir), Config()).select("prd", "img_id", "px", "df").groupBy("prd").applyInPandas(run, "prd int, pixel int, restored double, flipped double")
+    avg = tiles.average_images(_prepared(spark, sf_dir), OPTICS)
+    cells = avg.select("prd", F.posexplode(F.arrays_zip("restored", "flipped")).alias("pixel", "e"))
+    return cells.select("prd", "pixel", r6(F.col("e.restored"), 5).alias("restored"), r6(F.col("e.flipped"), 5).alias("flipped"))
 
 
 @query
