@@ -1,10 +1,16 @@
 """Quality rules by distribution divergence.
 
 Every document gets two histograms, one of character classes and one of common words (all other words share the last
-bin).  References per language are the mean histograms of the corpus itself: every document that passes the base rules
-and is long enough adds its histograms, weighted alike, to its language.  The verdict takes the Jensen-Shannon distance
-(square root of the divergence, base 2) to the nearest language reference, so a wrong language label costs nothing.
-Every language label has a reference; they are a table that the workers visit in blocks of LANGUAGES.
+bin).  References per language are learned from the corpus itself: every document that passes the base rules and is long
+enough adds its histograms, weighted alike, to its language's mean.  The half that lies nearest to it gives a second mean,
+and the reference is the mean of all documents that are not far from that one, so odd documents do not shift it.  A label has a reference only if LEAST_DOCS documents or more are in it and most of its characters are
+letters, so a stray label, a label per document or a label of junk has none.
+
+The verdict takes the Jensen-Shannon distance (square root of the divergence, base 2) to the nearest of a text's own
+language, the text itself left out of it, and of the languages that anyone may be written in: those with a 64th or more of
+all documents and some common words, 64 at most whatever the corpus.  So a wrong label costs a text nothing, and an odd
+label wins it nothing.  Of two equally near references the own language's counts, then the one with more documents; the
+verdict is the same.  Own references are joined by label, as a table.
 
 Words are runs of bytes other than space, tab, \\n, \\v, \\f, \\r.  Null texts are empty: all counts 0, base_failed.
 Documents below min_words get no divergence verdict (the base rules decide).  Repeated rows are judged one by one.
@@ -18,8 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +61,8 @@ def _class_of_byte() -> np.ndarray:
 
 BYTE_CLASS = _class_of_byte()
 LANGUAGES = 64
+LEAST_DOCS, LEAST_LETTERS, LEAST_COMMON = 16, 0.5, 0.05
+_LETTERS = [CHAR_CLASSES.index(x) for x in ("lower", "upper", "wide")]
 N_CLASSES, N_WORDS = len(CHAR_CLASSES), len(COMMON_WORDS) + 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -135,31 +141,74 @@ def _shares(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return c / np.maximum(c.sum(1, keepdims=True), 1), w / np.maximum(w.sum(1, keepdims=True), 1)
 
 
-def references(profiled: DataFrame, min_words: int) -> DataFrame:
-    """lang, n, means (both histograms in a row) of every language, those with most documents first; written to files."""
+SUMS = "lang string, n long, sums array<double>"
+
+
+def _sum_up(rows: DataFrame, parts) -> DataFrame:
+    """lang, n, sums of what `parts` gives for every batch."""
     bins = N_CLASSES + N_WORDS
+    held = rows.mapInArrow(parts, SUMS).groupBy("lang").agg(F.sum("n").alias("n"), *(F.sum(F.element_at("sums", i + 1)).alias(f"s{i}") for i in range(bins)))
+    return held.select("lang", "n", F.array(*(f"s{i}" for i in range(bins))).alias("sums"))
+
+
+def _sums(langs: list[str], c: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    names, at = np.unique(np.array(langs, dtype=str), return_inverse=True)
+    sums = np.zeros((len(names), N_CLASSES + N_WORDS))
+    np.add.at(sums, at, np.hstack([c, w]))
+    return pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.string()), pa.array(np.bincount(at, minlength=len(names))), pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["lang", "n", "sums"])
+
+
+def _near(c: np.ndarray, w: np.ndarray, mean: np.ndarray, n_words: np.ndarray, limits: tuple[float, float, float, float]) -> np.ndarray:
+    """Whether rows lie within the limits of a mean; both may be a row each."""
+    root = np.sqrt(np.maximum(n_words, 1))
+    return (js_distance(c, mean[..., :N_CLASSES]) <= limits[0] + limits[2] / root) & (js_distance(w, mean[..., N_CLASSES:]) <= limits[1] + limits[3] / root)
+
+
+def _fit(min_words: int) -> Column:
+    return ~base_failed() & (F.col("n_words") >= min_words)
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def references(profiled: DataFrame, min_words: int, limits: tuple[float, float, float, float], least_docs: int = LEAST_DOCS) -> DataFrame:
+    """lang, n, sums (of both histograms, over the n documents that are not far from the first mean), first (that mean)."""
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _sums(b.column("lang").to_pylist(), *_shares(b))
+
+    def near_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c, w = _shares(b)
-            names, at = np.unique(np.array(b.column("lang").to_pylist(), dtype=str), return_inverse=True)
-            sums = np.zeros((len(names), bins))
-            np.add.at(sums, at, np.hstack([c, w]))
-            yield pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.string()), pa.array(np.bincount(at, minlength=len(names))), pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["lang", "n", "sums"])
+            if b.num_rows:
+                c, w = _shares(b)
+                keep = _near(c, w, _rows_of(b, "first"), b.column("n_words").to_numpy(), limits)
+                yield _sums([x for x, k in zip(b.column("lang").to_pylist(), keep, strict=True) if k], c[keep], w[keep])
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                (c, w), m = _shares(b), _rows_of(b, "mean")
+                d = js_distance(c, m[:, :N_CLASSES]) + js_distance(w, m[:, N_CLASSES:])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(d)], names=["lang", "histograms", "d"])
+
+    fit = profiled.where(_fit(min_words)).select("lang", "n_words", "histograms")
+    mean = lambda sums, name: sums.select("lang", F.transform("sums", lambda x: x / F.col("n")).alias(name))
+    every = mean(_sum_up(fit, all_of).where(F.col("n") >= least_docs), "mean")
+    apart = fit.join(every, "lang").mapInArrow(distances, "lang string, histograms binary, d double")
+    half = apart.join(apart.groupBy("lang").agg(F.percentile_approx("d", 0.5, 10_000).alias("middle")), "lang").where(F.col("d") <= F.col("middle")).select("lang", "histograms")
+    first = materialise(mean(_sum_up(half, all_of), "first"), "first-references")
+    second = _sum_up(fit.join(first, "lang"), near_ones)
+    letters = sum((F.element_at("sums", i + 1) for i in _LETTERS), F.lit(0.0)) / F.col("n")
+    return materialise(second.where((F.col("n") >= least_docs) & (letters >= LEAST_LETTERS)).join(first, "lang"), "references")
+
 
-    fit = profiled.where(~base_failed() & (F.col("n_words") >= min_words)).select("lang", "histograms")
-    parts = fit.mapInArrow(partial, "lang string, n long, sums array<double>")
-    rows = parts.groupBy("lang").agg(F.sum("n").alias("n"), *(F.sum(F.element_at("sums", i + 1)).alias(f"s{i}") for i in range(bins)))
-    means = rows.select("lang", "n", F.array(*(F.col(f"s{i}") / F.col("n") for i in range(bins))).alias("means"))
-    return materialise(means.orderBy(F.desc("n"), "lang"), "references")
+def _rows_of(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return b.column(name).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, N_CLASSES + N_WORDS)
 
 
-def _reference_blocks(files: list[str]) -> Iterator[np.ndarray]:
-    for path in files:
-        fs, inner = pafs.FileSystem.from_uri(path)
-        with fs.open_input_file(inner) as f:
-            for b in pq.ParquetFile(f).iter_batches(LANGUAGES, columns=["means"]):
-                yield b.column(0).flatten().to_numpy().reshape(b.num_rows, N_CLASSES + N_WORDS)
+def _candidates(refs: DataFrame, all_docs: int) -> list[tuple[str, np.ndarray]]:
+    """Name and mean of the languages that any text may be compared with: LANGUAGES at most, as each has that share of all."""
+    common = 1 - F.element_at("sums", N_CLASSES + N_WORDS) / F.col("n")
+    chosen = refs.where((F.col("n") * LANGUAGES >= all_docs) & (common >= LEAST_COMMON)).orderBy(F.desc("n"), "lang").collect()  # LANGUAGES rows
+    return [(r["lang"], np.array(r["sums"]) / r["n"]) for r in chosen]
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -179,23 +228,33 @@ def score(docs: DataFrame, lang_col: str | None = "lang", min_words: int = 20, m
     A document fails beyond the first, or beyond the second if its characters are odd too (over odd_char_distance):
     a text that mixes languages has few words of any one list, but usual characters.
     """
+    limits = (max_char_distance, max_word_distance, char_slack, word_slack)
     profiled = profiles(docs, lang_col).persist(KEEP)
-    files = sorted(references(profiled, min_words).inputFiles())
+    refs = references(profiled, min_words, limits)
+    candidates = _candidates(refs, profiled.where(_fit(min_words)).count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.num_rows
-            c, w = _shares(b)
+            n, (c, w) = b.num_rows, _shares(b)
             dc, dw = np.full(n, np.inf), np.full(n, np.inf)
-            for block in _reference_blocks(files):
-                for ref in block:
-                    rc, rw = js_distance(c, ref[:N_CLASSES]), js_distance(w, ref[N_CLASSES:])
-                    near = rc + rw < dc + dw
-                    dc, dw = np.where(near, rc, dc), np.where(near, rw, dw)
+            own = np.flatnonzero(~b.column("sums").is_null().to_numpy(zero_copy_only=False))
+            if len(own):
+                part = b.take(pa.array(own))
+                sums, docs_in, both = _rows_of(part, "sums"), part.column("n").to_numpy().astype(float), np.hstack([c[own], w[own]])
+                # a document that is part of its reference is taken out of it
+                inside = part.column("fit").to_numpy(zero_copy_only=False) & _near(c[own], w[own], _rows_of(part, "first"), part.column("n_words").to_numpy(), limits)
+                left = np.where(inside, docs_in - 1, docs_in)[:, None]
+                ref = np.maximum(sums - both * inside[:, None], 0) / left
+                dc[own], dw[own] = js_distance(c[own], ref[:, :N_CLASSES]), js_distance(w[own], ref[:, N_CLASSES:])
+            langs = np.array(b.column("lang").to_pylist(), dtype=str)
+            for lang, ref in candidates:
+                rc, rw = js_distance(c, ref[:N_CLASSES]), js_distance(w, ref[N_CLASSES:])
+                near = (rc + rw < dc + dw) & (langs != lang)
+                dc, dw = np.where(near, rc, dc), np.where(near, rw, dw)
             dc, dw = np.where(np.isinf(dc), 0, dc), np.where(np.isinf(dw), 0, dw)  # no reference at all
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("doc_id", *BASE)), pa.array(dc), pa.array(dw)], names=["doc_id", *BASE, "char_distance", "word_distance"])
 
-    judged = profiled.mapInArrow(run, COUNTS + ", char_distance double, word_distance double")
+    judged = profiled.withColumn("fit", _fit(min_words)).join(refs, "lang", "left").mapInArrow(run, COUNTS + ", char_distance double, word_distance double")
     root = F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     far = (F.col("n_words") >= min_words) & ((F.col("char_distance") > max_char_distance + char_slack / root) | ((F.col("word_distance") > max_word_distance + word_slack / root) & (F.col("char_distance") > odd_char_distance)))
     return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~far)

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import re
 import time
 import zlib
@@ -51,11 +52,39 @@ def test_quality_verdicts_follow_labels(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.1
 
 
-def test_every_language_has_its_reference(spark):
-    prose = [(100 * k + r, " ".join(f"word{chr(97 + (i * 7 + k + r) % 26)}{chr(97 + i)} of" for i in range(24)), f"l{k}") for k in range(66) for r in range(3)]
-    rare = [(90_000 + r, " ".join(f"#{1000 + 37 * i + r}#" for i in range(40)), "zz") for r in range(2)]
-    out = {r["doc_id"]: r for r in quality.score(spark.createDataFrame(prose + rare, "doc_id long, text string, lang string")).collect()}
-    assert len(out) == len(prose) + 2 and all(r["kept"] for r in out.values()) and out[90_000]["char_distance"] < 0.01
+def _prose(lang, start, n, seed):
+    rng = random.Random(seed)
+    return [(start + r, " ".join(rng.choice(["the", "of", "and", "to"]) if rng.random() < 0.4 else "".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(2, 9))) for _ in range(60)) + ".", lang) for r in range(n)]
+
+
+def _junk(start, n, label):
+    return [(start + r, " ".join(f"#{1000 + 37 * i + r}#%" for i in range(40)), label(r)) for r in range(n)]
+
+
+def test_labels_of_junk_change_no_verdict(spark):
+    prose = _prose("en", 0, 60, 1) + _prose(None, 100, 3, 2) + _prose("zz", 200, 3, 3)
+    judge = lambda rows: {r["doc_id"]: r["kept"] for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for junk in (_junk(1000, 5, lambda r: "en"), _junk(1000, 6, lambda r: "zz"), _junk(1000, 1, lambda r: "yy"), _junk(1000, 40, lambda r: f"l{r}"), _junk(1000, 40, lambda r: "xx")):
+        out = judge(prose + junk)
+        assert all(out[i] for i, _, _ in prose) and not any(out[i] for i, _, _ in junk)
+    alone = [(i, t, f"own{i}") for i, t, _ in _prose("en", 0, 8, 4)]
+    assert all(judge(alone).values())  # no reference at all: the base rules decide
+
+
+def test_reference_leaves_the_row_and_the_odd_ones_out(spark):
+    rows = _prose("en", 0, 40, 5) + _junk(1000, 12, lambda r: "en")
+    profiled = quality.profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    refs = quality.references(profiled, 20, (0.2, 0.2, 0.9, 0.7)).collect()
+    assert [(r["lang"], r["n"]) for r in refs] == [("en", 40)]
+    out = {r["doc_id"]: r for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    shares = {}
+    for i, t, _ in rows[:40]:
+        c, w = quality.document_counts(t.encode(), quality._common_bytes())[5:]
+        shares[i] = np.concatenate([c / c.sum(), w / w.sum()])
+    for i, mine in shares.items():
+        mean = np.mean([v for k, v in shares.items() if k != i], 0)
+        n = quality.N_CLASSES
+        assert abs(out[i]["char_distance"] - quality.js_distance(mine[:n], mean[:n])) < 1e-9 and abs(out[i]["word_distance"] - quality.js_distance(mine[n:], mean[n:])) < 1e-9
 
 
 def test_js_distance():
