@@ -61,6 +61,8 @@ def _class_of_byte() -> np.ndarray:
 
 BYTE_CLASS = _class_of_byte()
 LANGUAGES = 64
+#: Documents of one label are dealt to so many places where they meet what is known of it.
+SALTS = 64
 LEAST_DOCS, LEAST_LETTERS, LEAST_COMMON = 16, 0.5, 0.05
 _LETTERS = [CHAR_CLASSES.index(x) for x in ("lower", "upper", "wide")]
 N_CLASSES, N_WORDS = len(CHAR_CLASSES), len(COMMON_WORDS) + 1
@@ -158,6 +160,12 @@ def _sums(langs: list[str], c: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.string()), pa.array(np.bincount(at, minlength=len(names))), pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["lang", "n", "sums"])
 
 
+def _by_label(rows: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (doc_id, lang) with the columns of a row per label; a common label meets its row in SALTS places."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    return salted.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["lang", "_salt"], how).drop("_salt")
+
+
 def _near(c: np.ndarray, w: np.ndarray, mean: np.ndarray, n_words: np.ndarray, limits: tuple[float, float, float, float]) -> np.ndarray:
     """Whether rows lie within the limits of a mean; both may be a row each."""
     root = np.sqrt(np.maximum(n_words, 1))
@@ -187,15 +195,15 @@ def references(profiled: DataFrame, min_words: int, limits: tuple[float, float,
             if b.num_rows:
                 (c, w), m = _shares(b), _rows_of(b, "mean")
                 d = js_distance(c, m[:, :N_CLASSES]) + js_distance(w, m[:, N_CLASSES:])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(d)], names=["lang", "histograms", "d"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("histograms"), pa.array(d)], names=["doc_id", "lang", "histograms", "d"])
 
-    fit = profiled.where(_fit(min_words)).select("lang", "n_words", "histograms")
+    fit = profiled.where(_fit(min_words)).select("doc_id", "lang", "n_words", "histograms")
     mean = lambda sums, name: sums.select("lang", F.transform("sums", lambda x: x / F.col("n")).alias(name))
     every = mean(_sum_up(fit, all_of).where(F.col("n") >= least_docs), "mean")
-    apart = fit.join(every, "lang").mapInArrow(distances, "lang string, histograms binary, d double")
-    half = apart.join(apart.groupBy("lang").agg(F.percentile_approx("d", 0.5, 10_000).alias("middle")), "lang").where(F.col("d") <= F.col("middle")).select("lang", "histograms")
+    apart = _by_label(fit, every).mapInArrow(distances, "doc_id long, lang string, histograms binary, d double")
+    half = _by_label(apart, apart.groupBy("lang").agg(F.percentile_approx("d", 0.5, 10_000).alias("middle"))).where(F.col("d") <= F.col("middle")).select("lang", "histograms")
     first = materialise(mean(_sum_up(half, all_of), "first"), "first-references")
-    second = _sum_up(fit.join(first, "lang"), near_ones)
+    second = _sum_up(_by_label(fit, first), near_ones)
     letters = sum((F.element_at("sums", i + 1) for i in _LETTERS), F.lit(0.0)) / F.col("n")
     return materialise(second.where((F.col("n") >= least_docs) & (letters >= LEAST_LETTERS)).join(first, "lang"), "references")
 
@@ -254,7 +262,7 @@ def score(docs: DataFrame, lang_col: str | None = "lang", min_words: int = 20, m
             dc, dw = np.where(np.isinf(dc), 0, dc), np.where(np.isinf(dw), 0, dw)  # no reference at all
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("doc_id", *BASE)), pa.array(dc), pa.array(dw)], names=["doc_id", *BASE, "char_distance", "word_distance"])
 
-    judged = profiled.withColumn("fit", _fit(min_words)).join(refs, "lang", "left").mapInArrow(run, COUNTS + ", char_distance double, word_distance double")
+    judged = _by_label(profiled.withColumn("fit", _fit(min_words)), refs, "left").mapInArrow(run, COUNTS + ", char_distance double, word_distance double")
     root = F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     far = (F.col("n_words") >= min_words) & ((F.col("char_distance") > max_char_distance + char_slack / root) | ((F.col("word_distance") > max_word_distance + word_slack / root) & (F.col("char_distance") > odd_char_distance)))
     return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~far)
