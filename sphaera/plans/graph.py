@@ -215,9 +215,10 @@ def profile_measures(edges: DataFrame, bands: DataFrame, key: str) -> DataFrame:
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, measures): log potentials over the graph of occupied bins; every sixth bin is an anchor."""
     gr.checkpoint_dir(spark)
-    edges = gr.numbered(_edges(spark, sf_dir).select("src", "dst").orderBy("src", "dst").checkpoint(), "edge")
+    placed = _nodes(spark, sf_dir).checkpoint()
+    edges = gr.numbered(gr.neighbourhood(placed, EPS).select("src", "dst").orderBy("src", "dst").checkpoint(), "edge")
     measures = profile_measures(edges, profiles(_with_images(spark, sf_dir), "bin", PSIS, 16), "bin").checkpoint()
-    ids = _nodes(spark, sf_dir).select(F.col("bin").cast("long").alias("id"))
+    ids = placed.select(F.col("bin").cast("long").alias("id"))
     anchors = ids.where("id % 6 = 0").select("id", F.lit(2).alias("state"))
     return bp.node_potentials(ids, PSIS, anchors, weight=4.0), bp.edge_potentials(measures, PSIS, WIDTH), measures
 
