@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -164,13 +166,16 @@ def horn_schunck(first: np.ndarray, second: np.ndarray, u: np.ndarray | None = N
     return u, v
 
 
-def movie_flow(movie: np.ndarray, block: int = 5, **options: float) -> tuple[np.ndarray, np.ndarray]:
-    """Summed frame-to-frame flow of a movie averaged over blocks of frames; the reverse sense has the opposite sign."""
+def movie_flow(movie: np.ndarray, block: int = 5, start: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None, **options: float) -> tuple[np.ndarray, np.ndarray]:
+    """Summed frame-to-frame flow of a movie averaged over blocks of frames; the reverse sense has the opposite sign.
+
+    start: a flow of two frames from which the iterations begin; they begin from zero without one.
+    """
     k = max(1, len(movie) // block)
     frames = [movie[i * len(movie) // k : (i + 1) * len(movie) // k].mean(0) for i in range(k)]
     u, v = np.zeros_like(frames[0]), np.zeros_like(frames[0])
     for a, b in zip([frames[0], *frames], frames, strict=False):
-        du, dv = horn_schunck(a, b, **options)
+        du, dv = horn_schunck(a, b, *(start(a, b) if start else ()), **options)
         u, v = u + du, v + dv
     return u, v
 

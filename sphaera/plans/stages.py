@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sphaera.config import Config
 from sphaera.functions.geometry import wavelength
-from sphaera.kernels import diffusion, images, sequence
+from sphaera.kernels import diffusion, flow, images, sequence
 from sphaera.operators import graphs as gr
 from sphaera.operators import messages as bp
 from sphaera.operators import tiles
@@ -138,14 +138,14 @@ def stage_sequence_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flows(movies: DataFrame) -> DataFrame:
-    """prd, psi, vx, vy: summed flow of each movie (prd, psi, frame, tau, px)."""
+    """prd, psi, vx, vy: summed flow of each movie (prd, psi, frame, tau, px), polynomial flow refined by Horn and Schunck's."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["tau", "frame"])
         x = np.stack(g["px"].to_numpy())
         side = int(round(x.shape[1] ** 0.5))
         movie = images.smooth_movie(-x[sequence.class_frames(g["tau"].to_numpy(), 20)].reshape(-1, side, side))
-        u, v = images.movie_flow(movie)
+        u, v = images.movie_flow(movie, start=flow.polynomial_flow)
         return pd.DataFrame({"prd": [g["prd"].iloc[0]], "psi": [g["psi"].iloc[0]], "vx": [u.ravel()], "vy": [v.ravel()]})
 
     return movies.groupBy("prd", "psi").applyInPandas(run, "prd int, psi int, vx array<double>, vy array<double>")

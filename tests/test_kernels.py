@@ -2,7 +2,7 @@ import itertools
 
 import numpy as np
 
-from sphaera.kernels import diffusion, images, mrf, sequence
+from sphaera.kernels import diffusion, flow, images, mrf, sequence
 
 
 def test_diffusion_map_orders_a_curve():
@@ -62,8 +62,9 @@ def test_image_kernels():
     assert np.allclose(images.rotate_fill(x, 90), np.rot90(x)) and np.allclose(images.rotate_fill(x, 360), x)
     g = np.exp(-((np.mgrid[0:16, 0:16] - 7.5) ** 2).sum(0) / 8)
     assert np.allclose(images.shift_wrapped(g, 0, 1), np.roll(g, 1, 1))
-    u, v = images.movie_flow(np.array([np.roll(g, k, 1) for k in range(10)]))
-    assert u.sum() > 0 and abs(v.sum()) < abs(u.sum()) / 10
+    for start in (None, flow.polynomial_flow):
+        u, v = images.movie_flow(np.array([np.roll(g, k, 1) for k in range(10)]), start=start)
+        assert u.sum() > 0 and abs(v.sum()) < abs(u.sum()) / 10
     h = images.gradient_histogram(*np.gradient(g)[::-1])
     assert h.shape == (81,) and (h >= 0).all()
     before = u.copy()
@@ -114,3 +115,35 @@ def test_mixture_thresholds():
     w, mu, sd = mx.two_gaussians(x)
     assert np.allclose(w, 0.5, atol=0.05) and np.allclose(mu, [0, 10], atol=0.3) and np.allclose(sd, 1, atol=0.2)
     assert mx.two_class_threshold(np.array([1.0])) == 1.0
+
+
+def _texture(n, seed, sigma=2.5):
+    return images.gaussian_blur(np.random.default_rng(seed).normal(size=(n, n)), sigma) * 100
+
+
+def test_expansion_finds_a_quadratic():
+    y, x = np.mgrid[0:15, 0:15] - 7.0
+    linear, quadratic = flow.expansion(3 + 2 * x - y + 0.5 * x * x - 0.25 * y * y + 0.75 * x * y)
+    assert np.allclose(linear[7, 7], [2, -1]) and np.allclose(quadratic[7, 7], [[0.5, 0.375], [0.375, -0.25]])
+
+
+def test_flow_of_shifts_and_turns():
+    img = _texture(96, 1)
+    y, x = np.mgrid[0:96, 0:96].astype(float)
+    inner = (slice(24, 72), slice(24, 72))
+    for dx, dy in ((0.0, 0.0), (1.3, -0.7), (-3.0, 2.0), (6.0, 5.0)):
+        u, v = flow.polynomial_flow(img, images.shift_wrapped(img, dy, dx))
+        assert np.abs(u[inner] - dx).mean() < 0.1 and np.abs(v[inner] - dy).mean() < 0.1
+    t = np.deg2rad(2.0)
+    # second(p) = first(R p): what lies at p in the first image is found at R^-1 p in the second
+    cy, cx = y - 47.5, x - 47.5
+    second = flow.sample(img, 47.5 + np.cos(t) * cy + np.sin(t) * cx, 47.5 - np.sin(t) * cy + np.cos(t) * cx)
+    u, v = flow.polynomial_flow(img, second)
+    want_y, want_x = np.cos(t) * cy - np.sin(t) * cx - cy, np.sin(t) * cy + np.cos(t) * cx - cx
+    assert np.abs(u - want_x)[inner].mean() < 0.1 and np.abs(v - want_y)[inner].mean() < 0.1
+
+
+def test_flow_of_flat_and_small_images():
+    for img in (np.ones((8, 8)), np.zeros((1, 5))):
+        u, v = flow.polynomial_flow(img, img)
+        assert np.isfinite(u).all() and np.abs(u).max() < 1e-9 and np.abs(v).max() < 1e-9
