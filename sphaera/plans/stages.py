@@ -14,7 +14,7 @@ from sphaera.functions.geometry import wavelength
 from sphaera.kernels import diffusion, flow, images, sequence
 from sphaera.operators import graphs as gr
 from sphaera.operators import messages as bp
-from sphaera.operators import tiles
+from sphaera.operators import spectrum, tiles
 from sphaera.operators.tessellation import cap_members, mean_directions
 from sphaera.operators.thresholds import tau_quality
 from sphaera.plans.base import SNAP, r6, snapshots
@@ -85,6 +85,14 @@ def stage_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _capped(snapshots(spark, sf_dir), Config()).select("prd", "img_id", "px").groupBy("prd").applyInPandas(run, "prd int, ordinal int, value double, leading boolean").where("ordinal > 0 AND value > 0")
 
 
+@query
+def stage_neighbour_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra of whole groups, of any size, over the graph of 64 nearest neighbours: no cap and no dense matrix."""
+    cfg = Config()
+    _, values = spectrum.embed(snapshots(spark, sf_dir), 64, cfg.tune, cfg.num_psi)
+    return values.select("prd", "ordinal", F.round("value", 6).alias("value"), F.round("sigma", 6).alias("sigma"), F.round("r2", 6).alias("r2"))
+
+
 @query
 def stage_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted kernel sums per group: slope, best bandwidth and R2."""
