@@ -11,9 +11,8 @@ from sphaera.operators.sequences import equal_bin
 
 def tau_quality(rows: DataFrame, tau: str, key: list[str], bins: int = 50, low_iqr: float = 0.02, low_occupancy: float = 0.35) -> DataFrame:
     """key, iqr, occ (share of the bins of the group's own range that hold rows) and bad."""
-    lo, hi = F.min(tau).alias("lo"), F.max(tau).alias("hi")
-    q = F.percentile(tau, F.array(F.lit(0.25), F.lit(0.75)))
-    stats = rows.groupBy(*key).agg(lo, hi, (q[1] - q[0]).alias("iqr"))
+    q = group_quantiles(rows, tau, key, {"q1": 0.25, "q3": 0.75})
+    stats = q.select(*key, "lo", "hi", (F.col("q3") - F.col("q1")).alias("iqr"))
     unit = F.when(F.col("hi") > F.col("lo"), (F.col(tau) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.5)
     filled = rows.join(stats, key).groupBy(*key, "iqr").agg((F.count_distinct(equal_bin(unit, bins)) / bins).alias("occ"))
     return filled.withColumn("bad", (F.col("iqr") < low_iqr) | (F.col("occ") <= low_occupancy))
@@ -73,6 +72,33 @@ def quartiles(rows: DataFrame, value: str) -> DataFrame:
     return near.agg(*((at(F.floor(x)) + (at(F.ceil(x)) - at(F.floor(x))) * F.max(x - F.floor(x))).alias(name) for name, x in zip(("q1", "q3"), places, strict=True)))
 
 
+def group_quantiles(rows: DataFrame, value: str, key: list[str], shares: dict[str, float]) -> DataFrame:
+    """key, lo, hi and a column per share: exact quantiles of every group, linear between ranks.
+
+    Nulls are left out, a group of nulls only has nulls; groups of null keys are groups; NaN is larger than all.  Distinct
+    values are counted, sorted by (key, value) over range partitions and checkpointed, so a group of any size is spread; its
+    pieces' counts, a row per partition at most, say which pieces hold a wanted rank, and running counts are taken only there.
+    """
+    checkpoint_dir(rows.sparkSession)
+    v = F.col(value).cast("double")
+    keys = [f"_k{i}" for i in range(len(key))]
+    counts = rows.groupBy(*(F.col(c).alias(k) for c, k in zip(key, keys, strict=True)), v.alias("_v")).agg(F.count(v).alias("_n")).orderBy(*keys, "_v").checkpoint()
+    d = counts.withColumn("_p", F.spark_partition_id())
+    whole = Window.partitionBy(*keys)
+    pieces = d.groupBy(*keys, "_p").agg(F.sum("_n").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    ends = pieces.select(*keys, "_p", "_m", F.sum("_m").over(whole.orderBy("_p")).alias("_upto"), F.sum("_m").over(whole).alias("_total"), F.min("_lo").over(whole).alias("lo"), F.max("_hi").over(whole).alias("hi"))
+    places = {name: F.lit(share) * (F.col("_total") - 1) for name, share in shares.items()}
+    wanted = F.array(*(f(x) for x in places.values() for f in (F.floor, F.ceil)))
+    here = F.exists(wanted, lambda r: (r >= F.col("_upto") - F.col("_m")) & (r < F.col("_upto")))
+    held = ends.where(here | (F.col("_total") == 0)).select("*", *(F.col(k).alias(f"{k}h") for k in keys)).drop(*keys).withColumnRenamed("_p", "_ph")
+    met = d.join(held, [F.col("_p") == F.col("_ph"), *(F.col(k).eqNullSafe(F.col(f"{k}h")) for k in keys)])
+    near = met.withColumn("_end", F.col("_upto") - F.col("_m") + F.sum("_n").over(Window.partitionBy(*keys, "_p").orderBy("_v")))
+    at = lambda rank: F.min(F.when(F.col("_end") > rank, F.col("_v")))
+    between = lambda x: at(F.floor(x)) + F.when(at(F.ceil(x)) > at(F.floor(x)), (at(F.ceil(x)) - at(F.floor(x))) * F.max(x - F.floor(x))).otherwise(0.0)
+    out = near.groupBy(*keys).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), *(between(x).alias(name) for name, x in places.items()))
+    return out.select(*(F.col(k).alias(c) for c, k in zip(key, keys, strict=True)), "lo", "hi", *shares)
+
+
 def rescale(rows: DataFrame, value: str, low: float, high: float) -> DataFrame:
     """Capped as above and mapped linearly onto [low, high], over all rows; the statistics are one row."""
     q = quartiles(rows, value)

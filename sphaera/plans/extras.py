@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sphaera.kernels import mixtures
 from sphaera.operators import sequences as seq
+from sphaera.operators.thresholds import group_quantiles
 from sphaera.plans.base import CENTRES, SNAP, r6, snapshots, table
 from sphaera.plans.landscape import TAU, tau_events
 from sphaera.plans.manifold import FULL, _matrix
@@ -58,7 +59,10 @@ def hog_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {GRAD}, q AS (SELECT img_id, quantile_cont(mag, 0.95) AS cut FROM o GROUP BY 1) SELECT img_id, p::INT AS p, round(CASE WHEN mag > cut THEN mag ELSE 0 END, 6) + 0.0 AS mag, CASE WHEN mag > cut THEN round(ang, 5) + 0.0 END AS ang FROM o JOIN q USING (img_id)")
 def flow_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors above the 95th percentile of magnitude; the others are 0 and have no direction."""
+    """Vectors above the 95th percentile of magnitude; the others are 0 and have no direction.
+
+    A group is one image, so its percentile holds an image's pixels at most.
+    """
     g = _gradients(spark, sf_dir)
     cut = g.groupBy("img_id").agg(F.percentile("mag", F.lit(0.95)).alias("cut"))
     keep = F.col("mag") > F.col("cut")
@@ -159,8 +163,8 @@ def _thresholds(name: str):
         return pd.DataFrame({"prd": [g["prd"].iloc[0]], "threshold": [getattr(mixtures, name)(g["iqr"].to_numpy())]})
 
     def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-        q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-        u = tau_events(spark, sf_dir).groupBy("prd", "user_id").agg((q[1] - q[0]).alias("iqr"))  # one value per node
+        q = group_quantiles(tau_events(spark, sf_dir), "value", ["prd", "user_id"], {"q1": 0.25, "q3": 0.75})
+        u = q.select("prd", (F.col("q3") - F.col("q1")).alias("iqr"))  # one value per node
         return u.select("prd", "iqr").groupBy("prd").applyInPandas(run, "prd string, threshold double")
 
     return plan

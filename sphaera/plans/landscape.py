@@ -149,9 +149,9 @@ def tau_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, n, bad, n = bad AS trash FROM f""")
 def bad_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coordinates below their type's median spread; users with none left are trash."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-    u = tau_events(spark, sf_dir).groupBy("prd", "user_id").agg((q[1] - q[0]).alias("iqr"))
-    c = u.where(~F.isnan("iqr")).groupBy("prd").agg(F.median("iqr").alias("cutoff"))
+    q = thr.group_quantiles(tau_events(spark, sf_dir), "value", ["prd", "user_id"], {"q1": 0.25, "q3": 0.75})
+    u = q.select("prd", "user_id", (F.col("q3") - F.col("q1")).alias("iqr"))
+    c = thr.group_quantiles(u.where(~F.isnan("iqr")), "iqr", ["prd"], {"cutoff": 0.5}).select("prd", "cutoff")
     f = u.join(c, "prd").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("iqr") < F.col("cutoff")).alias("bad"))
     return f.withColumn("trash", F.col("n") == F.col("bad"))
 
