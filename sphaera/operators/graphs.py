@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sphaera.sources.files import locate
+
 
 def checkpoint_dir(spark: SparkSession) -> None:
     """Make sure that checkpoint() has a folder: the one the cluster names, or one of our own where none is set."""
@@ -22,6 +25,24 @@ def checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(at)
 
 
+class Rounds:
+    """Tables of the rounds, written to the shared folder.  A checkpoint would hand on its plan's estimated size, which is
+    the product of what a round joins and so grows with the power of the rounds; a file's size is what it is."""
+
+    def __init__(self, df: DataFrame, name: str) -> None:
+        self.spark = df.sparkSession
+        checkpoint_dir(self.spark)
+        self.root = f"{self.spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, name: str) -> None:
+        fs, at = locate(f"{self.root}/{name}")
+        fs.delete_dir(at)
+
+
 def neighbourhood(points: DataFrame, eps: float, id_col: str = "bin") -> DataFrame:
     """Edges src < dst of points (id, x, y, z) at most eps apart, but not at the same place.
 
@@ -71,18 +92,22 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """id, component (the least id of the component) for every node.
 
-    Every round takes the least label among a node's neighbours and then the label of that label, so paths shrink
-    geometrically; checkpoint() cuts the lineage.  Nodes without edges keep their own id.
+    Every round takes the least label among a node's neighbours, hands it to the root of the node's old label, and then takes
+    the label of that label, so trees of labels join and paths shrink geometrically; every round's labels are a written table.  Nodes without edges keep their own id.
     """
-    spark = nodes.sparkSession
-    checkpoint_dir(spark)
+    written = Rounds(nodes, "components")
     both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select("dst", "src")).distinct().checkpoint()
     label = nodes.select("id", F.col("id").alias("component")).checkpoint()
-    for _ in range(max_rounds):
+    for step_no in range(max_rounds):
         near = both.join(label.select(F.col("id").alias("v"), F.col("component").alias("c")), "v").groupBy(F.col("u").alias("id")).agg(F.min("c").alias("c"))
         step = label.join(near, "id", "left").select("id", F.least("component", F.coalesce("c", "component")).alias("component"), F.col("component").alias("old"))
+        hook = step.groupBy(F.col("old").alias("id")).agg(F.min("component").alias("h"))  # what a component's members saw reaches its root
+        step = step.join(hook, "id", "left").select("id", F.least("component", F.coalesce("h", "component")).alias("component"), "old")
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        new = step.join(jump, "component", "left").select("id", F.coalesce("far", "component").alias("component"), "old").checkpoint()
+        new = step.join(jump, "component", "left").select("id", F.coalesce("far", "component").alias("component"), "old")
+        new = written.keep(new, f"labels-{step_no}")
+        if step_no:
+            written.drop(f"labels-{step_no - 1}")
         label = new.select("id", "component")
         if not new.where("component <> old").limit(1).count():
             return label

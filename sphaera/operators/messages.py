@@ -4,7 +4,7 @@ A graph has nodes (id, pot: log potential of each state) and edges (edge, src, d
 states, row by row of the source's states).  A row of the message table holds both directions of one edge: `ahead` to dst,
 `back` to src, as log values.  In a round every node's incoming messages are added up (a partial sum and a shuffle of as many
 numbers as a node has states), the sums join the edges at both ends, and each edge makes its two new messages by itself.  All
-messages of a round use those of the round before.  Rounds are checkpointed; only their change, one number for every CHECKED
+messages of a round use those of the round before.  Rounds are written tables; only their change, one number for every CHECKED
 rounds, reaches the driver.  Nothing is collected, so the graph may be of any size; a row holds the square of the number of
 states, the edge's potentials, which go along with its messages so that a round joins nothing but the sums.
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sphaera.operators.graphs import checkpoint_dir
+from sphaera.operators.graphs import Rounds
 
 MESSAGES = "edge long, src long, dst long, pot array<double>, ahead array<double>, back array<double>, change double"
 CHECKED = 3
@@ -90,11 +90,13 @@ def step(nodes: DataFrame, messages: DataFrame, states: int, damping: float = 1.
 def propagate(nodes: DataFrame, edges: DataFrame, states: int, tolerance: float = 1e-4, rounds: int = 300, damping: float = 1.0, max_product: bool = False) -> tuple[DataFrame, int]:
     """The messages after they settle (a round changes them by less than `tolerance` in all) or after `rounds`, and the
     number of rounds.  On a tree they settle after as many rounds as its longest path; on loops damping helps."""
-    checkpoint_dir(nodes.sparkSession)
+    written = Rounds(nodes, "messages")
     nodes = nodes.checkpoint()
     messages, used = first_messages(nodes, edges, states).checkpoint(), 0
     for used in range(1, rounds + 1):
-        messages = step(nodes, messages, states, damping, max_product).checkpoint()
+        messages = written.keep(step(nodes, messages, states, damping, max_product), f"round-{used}")
+        if used > 1:
+            written.drop(f"round-{used - 1}")
         if tolerance > 0 and used % CHECKED == 0 and (messages.agg(F.sum("change")).first()[0] or 0.0) < tolerance:
             break
     return messages, used

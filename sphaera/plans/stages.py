@@ -89,7 +89,7 @@ def stage_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_neighbour_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spectra of whole groups, of any size, over the graph of 64 nearest neighbours: no cap and no dense matrix."""
     cfg = Config()
-    _, values = spectrum.embed(snapshots(spark, sf_dir), 64, cfg.tune, cfg.num_psi)
+    _, values = spectrum.embed(snapshots(spark, sf_dir), 64, cfg.tune, cfg.num_psi, tolerance=1e-6)
     return values.select("prd", "ordinal", F.round("value", 6).alias("value"), F.round("sigma", 6).alias("sigma"), F.round("r2", 6).alias("r2"))
 
 
