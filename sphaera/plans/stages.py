@@ -216,16 +216,20 @@ def stage_edge_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measured(spark, sf_dir).withColumn("dist", F.round("dist", 6))
 
 
-def group_graph(spark: SparkSession, sf_dir: str, eps: float) -> DataFrame:
-    """edge, src, dst: groups whose mean directions lie at most eps apart, numbered in order."""
+def direction_graph(members: DataFrame, eps: float) -> DataFrame:
+    """edge, src, dst: groups of members (prd, q0..q3) whose mean directions lie at most eps apart, numbered in order."""
     q0, q1, q2, q3 = (F.col(f"q{k}") for k in range(4))
-    s = snapshots(spark, sf_dir).select("prd", (2 * (q1 * q3 - q0 * q2)).alias("sx"), (2 * (q0 * q1 + q2 * q3)).alias("sy"), (2 * (q0 * q0 + q3 * q3 - 0.5)).alias("sz"))
+    s = members.select("prd", (2 * (q1 * q3 - q0 * q2)).alias("sx"), (2 * (q0 * q1 + q2 * q3)).alias("sy"), (2 * (q0 * q0 + q3 * q3 - 0.5)).alias("sz"))
     m = mean_directions(s, "prd").select("prd", F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mz").alias("z"))
-    gr.checkpoint_dir(spark)
+    gr.checkpoint_dir(members.sparkSession)
     edges = gr.neighbourhood(m, eps, "prd").select("src", "dst").orderBy("src", "dst").checkpoint()
     return gr.numbered(edges, "edge").select(F.col("edge").cast("int").alias("edge"), "src", "dst")
 
 
+def group_graph(spark: SparkSession, sf_dir: str, eps: float) -> DataFrame:
+    return direction_graph(snapshots(spark, sf_dir), eps)
+
+
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filtered sequences of all groups, checkpointed: several steps read them."""
     gr.checkpoint_dir(spark)
