@@ -6,8 +6,8 @@ root restaurant, which has no context; a new table there is a new word (the root
 predictive probability holds a share for "any other word", and every prediction is over the V training tokens and that
 one outcome.  A token after context u has probability (c - d t) / (s + c_u) + (s + d t_u) / (s + c_u) * root(w).
 
-Seating is sampled by Gibbs (see seating.py): tables of a context restaurant are resampled customer by customer, given
-the root's predictive probabilities; then the root takes the tables' averages over the samples as its customers, and so
+Seating is sampled by Gibbs in blocks (see seating.py): the number of tables of each word of a context restaurant is drawn
+at once, given the restaurant's other tables and the root's predictive probabilities; then the root takes the tables' averages over the samples as its customers, and so
 on for `rounds` rounds, each with a burn-in of its own.  Restaurants see the root as it was at the round's beginning.
 Scores use the averages of the last round's samples.  Discounts are estimated from the counts of ones and twos.
 
@@ -50,7 +50,7 @@ from sphaera.llm.seating import sample_tables
 END_OF_TEXT = b"\n"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 STRENGTH, ROOT_STRENGTH = 1.0, 10.0
-BURN_IN, SAMPLES, RESEATS = 2, 3, 2
+BURN_IN, SAMPLES = 2, 3
 
 
 class _Numbers(dict):
@@ -349,7 +349,7 @@ def seat_buckets(answers: DataFrame, n: int, size: tuple[int, int, int, int], sc
             with np.errstate(over="ignore"):
                 seed = mix(mix(u[here].astype(np.uint64) + _GOLD) + w[here].astype(np.uint64) * _GOLD)
             t = np.zeros(len(u), np.int64)
-            t[here] = sample_tables(c[here], at, root[of[here]], elsewhere, seed, STRENGTH, discount, BURN_IN, samples, RESEATS)
+            t[here] = sample_tables(c[here], at, root[of[here]], elsewhere, seed, STRENGTH, discount, BURN_IN, samples)
             warm = squeeze(own[part], np.bincount(at, t[here], len(own))[part].astype(np.int64))
             yield table(out, [(bucket, place, squeeze(t), warm, squeeze(np.bincount(of, t).astype(np.int64)))])
 

@@ -176,10 +176,46 @@ def test_lm_tables_equal_enumeration():
         mean, whole = mean + weight * np.array(t), whole + weight
     many = 20_000
     seed = neardup.mix(np.arange(4 * many, dtype=np.uint64))
-    out = seating.sample_tables(np.tile(c, many), np.repeat(np.arange(many), 4), np.tile(p, many), np.zeros(many, np.int64), seed, strength, d, 4, 3, 3) / 3
+    out = seating.sample_tables(np.tile(c, many), np.repeat(np.arange(many), 4), np.tile(p, many), np.zeros(many, np.int64), seed, strength, d, 4, 3) / 3
     assert np.abs(out.reshape(many, 4).mean(0) - mean / whole).max() < 0.02
 
 
+@pytest.mark.parametrize(("c", "p"), [(10, 0.1), (100, 0.3), (1000, 0.3), (3000, 0.05)])
+def test_lm_tables_of_many_customers(monkeypatch, c, p):
+    strength, d, many = 1.0, 0.7, 3000
+    ways = [0.0]  # in logarithms
+    for n in range(1, c):
+        stay = [w + math.log(n - d * t) for t, w in enumerate(ways, 1)]
+        ways = [stay[0], *np.logaddexp(ways[:-1], stay[1:]).tolist(), ways[-1]]
+    whole = np.array([w + t * math.log(p) + sum(math.log(strength + d * k) for k in range(1, t)) for t, w in enumerate(ways[:400], 1)])
+    weight = np.exp(whole - whole.max())
+    mean = (weight * np.arange(1, len(weight) + 1)).sum() / weight.sum()
+    seed = neardup.mix(np.arange(many, dtype=np.uint64))
+    draw = lambda n: seating.sample_tables(np.full(n, c), np.arange(n), np.full(n, p), np.zeros(n, np.int64), seed[:n], strength, d, 0, 2).mean() / 2
+    assert draw(many) == pytest.approx(mean, rel=0.03)
+    if c == 3000:  # as if it were too large for the recurrence
+        monkeypatch.setattr(seating, "TABLE", 1)
+        assert draw(600) == pytest.approx(mean, rel=0.05)
+
+
+@pytest.mark.parametrize("d", [0.1, 0.5, 0.7, 0.95])
+def test_lm_weights_of_large_rows(d):
+    c = 3000
+    exact = seating.stirling(np.array([c]), d)[c]
+    found = seating.log_stirling(c, np.arange(1, c + 1), d)
+    assert np.abs(found - exact).max() < 0.1 and np.abs(np.diff(found) - np.diff(exact)).mean() < 0.001
+
+
+def test_lm_large_rows_of_a_crowded_restaurant():
+    """A word that is common at the root and rare in a huge restaurant: nearly every customer at a table of its own."""
+    c, p, others = 6000, 0.05, 2_000_000
+    seed = neardup.mix(np.arange(50, dtype=np.uint64))
+    out = seating.sample_tables(np.full(50, c), np.arange(50), np.full(50, p), np.full(50, others), seed, 1.0, 0.7, 1, 2) / 2
+    by_hand = seating.stirling(np.array([c]), 0.7)[c] + np.cumsum(np.log(0.7 * p * (1 / 0.7 + others + np.arange(c))))
+    weight = np.exp(by_hand - by_hand.max())
+    assert out.mean() == pytest.approx((weight * np.arange(1, c + 1)).sum() / weight.sum(), rel=0.002)
+
+
 def test_lm_equals_sequential_sampler(spark):
     rng = np.random.default_rng(4)
     words = [f"w{k}" for k in range(40)]
