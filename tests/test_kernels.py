@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 
@@ -147,3 +148,35 @@ def test_flow_of_flat_and_small_images():
     for img in (np.ones((8, 8)), np.zeros((1, 5))):
         u, v = flow.polynomial_flow(img, img)
         assert np.isfinite(u).all() and np.abs(u).max() < 1e-9 and np.abs(v).max() < 1e-9
+
+
+def test_kernel_sums_equal_plain_sums_and_take_little_time():
+    rng = np.random.default_rng(11)
+    for v in (rng.gamma(2.0, size=3000), np.concatenate([np.zeros(50), rng.random(400) * 1e-20, rng.random(300) * 1e6]), np.zeros(7), np.full(90, 2.5)):
+        limit = max(-np.log(0.01 * np.exp(-v / (2 * np.exp(150))).mean()), 10.0)
+        want = [np.log(x) if (x := np.exp(-v[v < limit * 2 * e] / (2 * e)).sum()) else 0.0 for e in np.exp(diffusion.LOG_EPS)]
+        assert np.allclose(diffusion.kernel_log_sums(v), want, rtol=0, atol=1e-12)
+    began = time.process_time()
+    diffusion.kernel_log_sums(rng.gamma(2.0, size=1_000_000))
+    assert time.process_time() - began < 2.5  # plain sums of all bandwidths take over 8 s
+
+
+def test_curve_parameters_equal_roots_row_by_row():
+    rng = np.random.default_rng(12)
+    x, j = rng.normal(size=(40, 3)), np.arange(1, 4)
+    for a in (np.array([1.0, 0.6, 0.3]), np.array([1.0, 0.6, 0.0])):  # without a3 the degree is lower
+        b = np.array([0.1, 0.0, -0.1])
+        got = sequence._tau_of(x, a, b)
+        for row, t in zip(x, got, strict=True):
+            y = row - b
+            r = np.roots([48 * a[2] ** 2, 0, 8 * a[1] ** 2 - 48 * a[2] ** 2, -12 * a[2] * y[2], a[0] ** 2 - 4 * a[1] ** 2 + 9 * a[2] ** 2 - 4 * a[1] * y[1], -a[0] * y[0] + 3 * a[2] * y[2]])
+            at = np.concatenate([np.arccos(r[(np.abs(r.imag) < 1e-9) & (np.abs(r.real) <= 1)].real) / np.pi, [0.0, 1.0]])
+            assert t == at[np.argmin(((y - a * np.cos(np.outer(at, j) * np.pi)) ** 2).sum(1))]
+
+
+def test_coordinates_of_a_kernel_of_several_parts_are_bounded():
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(size=(60, 3)) * 0.01, 50 + rng.normal(size=(60, 3)) * 0.01, -80 + rng.normal(size=(3, 3)) * 0.01])
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    e = diffusion.diffusion_map(d2, 10, 1e-3)
+    assert np.abs(e.psi).max() < 1e3 and e.mu.min() > 0 and abs(e.mu.sum() - 1) < 1e-9
