@@ -20,3 +20,15 @@ def test_equal_to_numpy_with_a_hot_group_ties_and_nulls(spark):
     assert group_quantiles(df.where("false"), "v", ["k", "u"], shares).count() == 0
     q = {r["k"]: r for r in tau_quality(df.where("u = 1 AND k IS NOT NULL"), "v", ["k", "u"]).collect()}
     assert q["none"]["bad"] and not q["hot"]["bad"]
+
+
+def test_rounded_as_in_sql(spark):
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    rows = [(int(k), float(x)) for k in range(200) for x in rng.random(6) * 100] + [(900, 0.1)] * 6 + [(901, float("inf"))] * 3
+    df = spark.createDataFrame(rows, "k int, v double").repartition(3)
+    got = {r["k"]: (r["q1"], r["q3"]) for r in group_quantiles(df, "v", ["k"], {"q1": 0.25, "q3": 0.75}).collect()}
+    values = ", ".join(f"({k}, '{v!r}'::DOUBLE)" for k, v in rows)
+    want = {k: (a, b) for k, a, b in duckdb.sql(f"SELECT k, quantile_cont(v, 0.25), quantile_cont(v, 0.75) FROM (VALUES {values}) t(k, v) GROUP BY k").fetchall()}
+    assert got == want  # to the last bit: cut-offs are compared with <
