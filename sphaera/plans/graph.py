@@ -83,8 +83,12 @@ _CC_BASE = "e AS (SELECT DISTINCT o_custkey AS src, 1000000 + l_suppkey AS dst F
 
 
 def _bipartite(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and distinct edges, the edges written once; all is dealt out by the number of lines."""
     li, o = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    e = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst")).distinct()
+    n = gr.parts_of(spark, max(li.count(), o.count()))
+    li, o = li.repartition(n, "l_orderkey"), o.repartition(n, "o_orderkey")
+    e = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst")).repartition(n, "src", "dst").distinct()
+    e = gr.Rounds(e, "bipartite").keep(e, "edges")
     return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e
 
 
