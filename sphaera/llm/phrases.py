@@ -6,9 +6,10 @@ on by its length, with the postings of the words there; the length of the new li
 and the sum over shards its exact frequency.  Only words, and then only pairs, that are frequent in their whole language are
 extended: an infrequent part makes no frequent phrase.
 
-What travels between shards is counts: a row per word, pair or triple that a shard holds, however often it holds it.  Shards
-get the totals of their own words and pairs back by a join on the shard.  A word that every shard has is a row per shard.
-The shard that comes first among those of a frequent pair spells it.
+What travels between shards is counts: one per word, pair or triple that a shard holds, however often it holds it.  Pairs and
+triples are dealt into parts by their word ids; those of one shard and part travel as one row, sorted, as packed differences.
+A part adds them up; shards get their own frequent words and pairs back.  A word that every shard has is a row per shard.  The
+shard that comes first among those of a frequent pair reports it; words are spelled when counts are whole.
 
 Null languages are `und`, null texts empty.  Repeated rows count each; ids and other columns are not used.  Words keep all
 characters but A-Z, which are lower-cased.  Ties: the least cut, then a, then the phrase in byte order, so ranks are fixed.
@@ -140,9 +141,47 @@ def _column(known: pa.Array, name: str) -> np.ndarray:
     return known.flatten().field(known.type.value_type.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
-def pair_counts(shard: DataFrame) -> DataFrame:
-    """shard, one, two (ids of the words), c: pairs of frequent words in each shard."""
-    schema = pa.schema([("shard", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("c", pa.int64())])
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers as their differences, sign last, byte by byte plane, compressed."""
+    planes = []
+    for v in columns:
+        step = np.diff(v.astype("<i8"), prepend=np.int64(0))
+        planes.append(np.ascontiguousarray(((step << 1) ^ (step >> 63)).view(np.uint8).reshape(-1, 8).T).tobytes())
+    return zlib.compress(b"".join(planes), 1)
+
+
+def _unpacked(raw: bytes, width: int) -> list[np.ndarray]:
+    out = []
+    for planes in np.frombuffer(zlib.decompress(raw), np.uint8).reshape(width, 8, -1):
+        v = np.ascontiguousarray(planes.T).view("<u8").ravel()
+        out.append(np.cumsum((v >> np.uint64(1)).view(np.int64) ^ -(v & np.uint64(1)).view(np.int64)))
+    return out
+
+
+def _dealt(parts: int, ids: list[np.ndarray], *more: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(part, rows packed in the order of their ids) for every part that has rows; a part is a hash of the ids."""
+    h = np.zeros(len(ids[0]), np.uint64)
+    for v in ids:
+        h = (h ^ v.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    part = (h % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((*ids[::-1], part))
+    edge = np.flatnonzero(np.diff(part[order])) + 1
+    for rows in np.split(order, edge) if len(order) else []:
+        yield int(part[rows[0]]), _packed(*(v[rows] for v in (*ids, *more)))
+
+
+def _summed(ids: list[np.ndarray], c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by ids, where a new one begins in it, sum of c over each): equal ids keep their order."""
+    order = np.lexsort(ids[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([np.diff(v[order]) != 0 for v in ids])
+    return order, new, np.add.reduceat(c[order], np.flatnonzero(new))
+
+
+def pair_counts(shard: DataFrame, parts: int) -> DataFrame:
+    """part, shard, packed (ids of both words, count): pairs of frequent words in each shard."""
+    schema = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,11 +191,35 @@ def pair_counts(shard: DataFrame) -> DataFrame:
                 a, c, _ = _pairs(position, name)
                 del position, name
                 key, n = _counted(a, c, len(ids))
-                for lo in range(0, len(key), 50_000):
-                    part = key[lo : lo + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row.column(0)[0].as_py())), pa.array(ids[part // len(ids)]), pa.array(ids[part % len(ids)]), pa.array(n[lo : lo + 50_000])], schema=schema)
+                del a, c
+                part, packed = zip(*_dealt(parts, [ids[key // len(ids)], ids[key % len(ids)]], n), strict=True) if len(key) else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([row.column(0)[0].as_py()] * len(part), pa.int64()), pa.array(packed, pa.binary())], schema=schema)
+
+    return shard.select("shard", "sizes", "lists", "ids").mapInArrow(run, "part int, shard long, packed binary")
+
 
-    return shard.select("shard", "sizes", "lists", "ids").mapInArrow(run, "shard long, one long, two long, c long")
+def frequent_pairs(counted: DataFrame, least: int) -> DataFrame:
+    """shard, packed (ids of both words, whole count where the shard is the first to have the pair, else 0)."""
+    schema = pa.schema([("shard", pa.int64()), ("packed", pa.binary())])
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("shard")
+        shard, found = part["shard"].to_numpy(), [_unpacked(x, 3) for x in part["packed"].to_pylist()]
+        owner = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+        one, two, c = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
+        order, new, total = _summed([one, two], c)
+        a = total[np.cumsum(new) - 1]
+        keep = np.flatnonzero(a >= least)
+        a = np.where(new, a, 0)[keep]
+        rows = order[keep]
+        by = np.argsort(owner[rows], kind="stable")
+        rows, a = rows[by], a[by]
+        edge = np.flatnonzero(np.diff(owner[rows])) + 1
+        groups = list(zip(np.split(rows, edge), np.split(a, edge), strict=True)) if len(rows) else []
+        return pa.table([pa.array([shard[owner[r[0]]] for r, _ in groups], pa.int64()), pa.array([_packed(one[r], two[r], x) for r, x in groups], pa.binary())], schema=schema)
+
+    return counted.groupBy("part").applyInArrow(run, "shard long, packed binary")
 
 
 def frequent_lists(shard: DataFrame) -> DataFrame:
@@ -189,52 +252,56 @@ def _opened(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return position[order], name, row.column(row.schema.get_field_index("ids")).flatten().to_numpy()
 
 
-FOUND = "lang string, phrase string, words int, c long, l long, r long"
-
-
-def phrase_counts(shard: DataFrame) -> DataFrame:
-    """lang, phrase, words, c, l, r: frequent pairs spelled once, with their whole count and those of both words, and the
-    triples of each shard with its own count."""
-    kinds = [x.split() for x in FOUND.split(", ")]
-    schema = pa.schema([(c, {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[t]) for c, t in kinds])
-
-    def made(lang, words, phrase, c, left, right):
-        n = len(phrase)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(np.full(n, words), pa.int32()), *(pa.array(np.asarray(x, np.int64)) for x in (c, left, right))], schema=schema)
+def phrase_counts(shard: DataFrame, parts: int) -> DataFrame:
+    """part, words, packed: frequent pairs once, with their whole count, and the triples of each shard with its own count."""
+    schema = pa.schema([("part", pa.int32()), ("words", pa.int32()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
-                lang, pairs = row.column(1)[0].as_py(), row.column(6)
+                one, two, total = (np.concatenate(x) for x in zip(*(_unpacked(x, 3) for x in row.column(4)[0].as_py()), strict=True))
                 position, name, ids = _opened(row)
-                f, spelled = row.column(7).flatten().to_numpy(), row.column(2).flatten().to_pylist()
                 order = np.argsort(ids)
-                left, right = (order[np.searchsorted(ids, _column(pairs, x), sorter=order)] for x in ("one", "two"))
-                key = left * len(ids) + right
+                left, right = (order[np.searchsorted(ids, x, sorter=order)] for x in (one, two))
+                key = left * np.int64(len(ids)) + right
                 by = np.argsort(key)
-                key, left, right = key[by], left[by], right[by]
-                total, first = _column(pairs, "a")[by], _column(pairs, "first")[by].astype(bool)
-                mine = np.flatnonzero(first)
-                for lo in range(0, len(mine), 20_000):
-                    m = mine[lo : lo + 20_000]
-                    text = [spelled[x] + b" " + spelled[y] for x, y in zip(left[m].tolist(), right[m].tolist(), strict=True)]
-                    yield made(lang, 2, text, total[m], f[left[m]], f[right[m]])
+                key, one, two, total = key[by], one[by], two[by], total[by]
+                mine = np.flatnonzero(total)
+                out = [(p, 2, x) for p, x in _dealt(parts, [one[mine], two[mine]], total[mine])]
                 # the lists of the frequent pairs, merged with themselves one position on
                 a, c, at = _pairs(position, name)
-                del position, name
+                del position, name, left, right
                 a = a * np.int64(len(ids)) + c
                 pair = np.searchsorted(key, a)
                 keep = key[np.minimum(pair, len(key) - 1)] == a
                 p, q, _ = _pairs(at[keep], pair[keep])
                 del a, c, at, pair, keep
                 triple, n = _counted(p, q, len(key))
-                for lo in range(0, len(triple), 20_000):
-                    p, q = triple[lo : lo + 20_000] // len(key), triple[lo : lo + 20_000] % len(key)
-                    text = [spelled[x] + b" " + spelled[y] + b" " + spelled[z] for x, y, z in zip(left[p].tolist(), right[p].tolist(), right[q].tolist(), strict=True)]
-                    yield made(lang, 3, text, n[lo : lo + 20_000], np.zeros(len(p)), np.zeros(len(p)))
+                p, q = triple // len(key), triple % len(key)
+                out += [(k, 3, x) for k, x in _dealt(parts, [one[p], two[p], two[q]], n)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 3, schema, strict=True)], schema=schema)
+
+    return shard.select("shard", "sizes", "lists", "ids", "pairs").mapInArrow(run, "part int, words int, packed binary")
+
+
+def candidates(counted: DataFrame, least: int) -> DataFrame:
+    """one, two, three (ids of the words, null in pairs), a: phrases that occur `least` times."""
+    schema = pa.schema([(c, pa.int64()) for c in ("one", "two", "three", "a")])
+
+    def run(part: pa.Table) -> pa.Table:
+        out = [schema.empty_table()]
+        for words in (2, 3):
+            found = [_unpacked(x, words + 1) for w, x in zip(part["words"].to_pylist(), part["packed"].to_pylist(), strict=True) if w == words]
+            if found:
+                *ids, c = (np.concatenate(x) for x in zip(*found, strict=True))
+                order, new, total = _summed(ids, c)
+                rows = order[new][total >= least]
+                cells = [pa.array(v[rows]) for v in ids] + [pa.nulls(len(rows), pa.int64())] * (3 - words)
+                out.append(pa.table([*cells, pa.array(total[total >= least])], schema=schema))
+        return pa.concat_tables(out)
 
-    return shard.select("shard", "lang", "words", "sizes", "lists", "ids", "pairs", "f").mapInArrow(run, FOUND)
+    return counted.groupBy("part").applyInArrow(run, "one long, two long, three long, a long")
 
 
 def _score(l: str, r: str) -> Column:
@@ -256,20 +323,19 @@ def mine(docs: DataFrame, least: int = 10, cover: int = 50, top: int = 2000, sha
     own = rows.select("shard", "lang", "word", "k").join(words.where(F.col("f") >= least), ["lang", "word"])
     opened = bucketed(frequent_lists(lists.join(_known(own, buckets, "known", "k", "id", "f"), "shard")), "phrase_frequent_lists", "shard", buckets)
     drop_table(lists)
-    whole = Window.partitionBy("one", "two")
-    counted = pair_counts(opened).withColumn("a", F.sum("c").over(whole)).withColumn("first", F.min("shard").over(whole) == F.col("shard"))
-    pairs = _known(counted.where(F.col("a") >= least), buckets, "pairs", "one", "two", "a", "first")
-    found = phrase_counts(opened.join(pairs, "shard")).groupBy("lang", "phrase", "words").agg(F.sum("c").alias("a"), F.max("l").alias("l"), F.max("r").alias("r")).where(F.col("a") >= least)
-    found = materialise(found, "phrase-candidates")
+    pairs = frequent_pairs(pair_counts(opened, buckets), least).repartition(buckets, "shard").groupBy("shard").agg(F.collect_list("packed").alias("pairs"))
+    found = materialise(candidates(phrase_counts(opened.join(pairs, "shard"), buckets), least), "phrase-candidates")
     drop_table(opened)
-    two, parts = found.where("words = 2").drop("words"), F.split("phrase", " ")
-    three = found.where("words = 3").select("lang", "phrase", "a", F.concat_ws(" ", parts[0], parts[1]).alias("one"), F.concat_ws(" ", parts[1], parts[2]).alias("two"))
-    longer = three.select("lang", F.explode(F.array("one", "two")).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    short = two.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < cover * F.col("a")))
-    short = short.select("lang", "phrase", "a", "l", "r", _score("l", "r").alias("score"))
-    one = two.select("lang", F.col("phrase").alias("one"), F.col("l").alias("l1"), F.col("a").alias("l2"))
-    last = two.select("lang", F.col("phrase").alias("two"), F.col("a").alias("r1"), F.col("r").alias("r2"))
-    long = three.join(one, ["lang", "one"]).join(last, ["lang", "two"]).withColumn("s1", _score("l1", "r1")).withColumn("s2", _score("l2", "r2"))
+    spelled = lambda at, name, f: words.where(F.col("f") >= least).select(F.col("id").alias(at), F.col("word").cast("string").alias(name), F.col("f").alias(f), "lang")
+    two = materialise(found.where("three is null").drop("three").join(spelled("one", "w1", "l"), "one").join(spelled("two", "w2", "r").drop("lang"), "two"), "phrase-pairs")
+    three = found.where("three is not null")
+    held = F.array(F.struct(F.col("one").alias("x"), F.col("two").alias("y")), F.struct(F.col("two").alias("x"), F.col("three").alias("y")))
+    longer = three.select(F.explode(held).alias("p"), "a").groupBy(F.col("p.x").alias("one"), F.col("p.y").alias("two")).agg(F.max("a").alias("longer"))
+    short = two.join(longer, ["one", "two"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < cover * F.col("a")))
+    short = short.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", "l", "r", _score("l", "r").alias("score"))
+    one = two.select("one", "two", "lang", "w1", "w2", F.col("l").alias("l1"), F.col("a").alias("l2"))
+    last = two.select(F.col("one").alias("two"), F.col("two").alias("three"), F.col("w2").alias("w3"), F.col("a").alias("r1"), F.col("r").alias("r2"))
+    long = three.join(one, ["one", "two"]).join(last, ["two", "three"]).withColumn("phrase", F.concat_ws(" ", "w1", "w2", "w3")).withColumn("s1", _score("l1", "r1")).withColumn("s2", _score("l2", "r2"))
     second = F.col("s2") < F.col("s1")
     scored = short.unionByName(long.select("lang", "phrase", "a", *(F.when(second, F.col(y)).otherwise(F.col(x)).alias(n) for x, y, n in (("l1", "l2", "l"), ("r1", "r2", "r"), ("s1", "s2", "score")))))
     order = (F.desc("score"), F.desc("a"), "phrase")

@@ -76,3 +76,21 @@ def test_odd_and_empty(spark, odd, empty):
     assert result(phrases.mine(odd)) == by_hand(rows)
     assert phrases.mine(empty).collect() == []
     assert phrases.mine(odd.where("doc_id = 2")).collect() == []
+
+
+def test_packed_rows():
+    rng = np.random.default_rng(3)
+    columns = [np.sort(rng.integers(0, 1 << 60, 999)), rng.integers(-(1 << 62), 1 << 62, 999), np.ones(999, np.int64)]
+    for n in (999, 1, 0):
+        assert all(np.array_equal(x, c[:n]) for x, c in zip(phrases._unpacked(phrases._packed(*(c[:n] for c in columns)), 3), columns, strict=True))
+
+
+def test_pairs_of_a_shard_travel_packed(spark):
+    """Bytes of the pairs' counts for each pair of a shard: a row with four numbers takes 32 before compression."""
+    rng = np.random.default_rng(5)
+    words = 1 << 33 | np.arange(3000, dtype=np.int64)
+    pairs = np.unique(rng.integers(0, 9_000_000, 300_000))
+    dealt = list(phrases._dealt(20, [words[pairs // 3000], words[pairs % 3000]], rng.integers(1, 4, len(pairs))))
+    assert sorted(p for p, _ in dealt) == list(range(20)) and sum(len(x) for _, x in dealt) < 5 * len(pairs)
+    back = [_ for _, x in dealt for _ in zip(*(c.tolist() for c in phrases._unpacked(x, 3)[:2]), strict=True)]
+    assert len(back) == len(pairs) == len(set(back))
