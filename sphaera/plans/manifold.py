@@ -76,7 +76,7 @@ lap AS (SELECT w2.prd, w2.i, w2.j, w2.w/(a.d*b.d) AS w FROM w2 JOIN dg2 a ON a.p
 
 @query(f"WITH {LAP} SELECT prd, i, j, round(w, 6) + 0.0 AS w FROM lap")
 def diffusion_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dist.laplacian(_matrix(spark, sf_dir), 1.5).withColumn("w", r6(F.col("w")))
+    return tiles.laplacian_rows(tiles.blocks(snapshots(spark, sf_dir), None, missing=True), 1.5, 6)
 
 
 @query(f"WITH {FULL} SELECT prd, i, round(sum(exp(-d2/(1.5*1.5))), 6) AS degree FROM mat GROUP BY prd, i")

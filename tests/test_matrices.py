@@ -11,7 +11,7 @@ import pytest
 from sphaera import registry
 from sphaera.operators import tiles
 
-MATRICES = "delay_distance order_along_psi".split()
+MATRICES = "delay_distance diffusion_laplacian order_along_psi".split()
 SUMS = "".split()
 
 
