@@ -90,8 +90,11 @@ def kernel_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FULL}, g AS (SELECT k*1.0::DOUBLE AS log_eps FROM range(-5, 6) t(k)) SELECT prd, log_eps, round(ln(sum(exp(-d2/(2*exp(log_eps))))), 6) + 0.0 AS log_sum FROM mat, g GROUP BY prd, log_eps")
 def kernel_bandwidth_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(-5, 6).select(F.col("id").cast("double").alias("log_eps"))
-    return dist.kernel_sums(_matrix(spark, sf_dir), grid).withColumn("log_sum", r6(F.col("log_sum")))
+    grid = [float(k) for k in range(-5, 6)]
+    rows = snapshots(spark, sf_dir)
+    sums = tiles.bandwidth_sums(tiles.tiles(tiles.blocks(rows, None, missing=True)), grid)
+    alone = _alone(rows).groupBy("prd").agg(F.count(F.lit(1)).cast("double").alias("total")).select("prd", F.explode(F.array(*map(F.lit, grid))).alias("log_eps"), "total")
+    return sums.unionByName(alone).select("prd", "log_eps", r6(F.log("total")).alias("log_sum"))
 
 
 @query(f"WITH {FULL}, t AS (SELECT prd, greatest(-ln(0.01*avg(exp(-d2/2))), 10) AS thr FROM mat GROUP BY prd) SELECT prd, round(thr, 6) AS thr, count(*) FILTER (WHERE d2/2 < thr) AS kept, count(*) FILTER (WHERE d2 < 1e-6) AS zeros FROM mat JOIN t USING (prd) GROUP BY prd, thr")

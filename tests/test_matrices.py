@@ -12,7 +12,7 @@ from sphaera import registry
 from sphaera.operators import tiles
 
 MATRICES = "delay_distance diffusion_laplacian order_along_psi".split()
-SUMS = "kernel_threshold".split()
+SUMS = "kernel_threshold kernel_bandwidth_sums".split()
 
 
 def written(folder, images, labels):
