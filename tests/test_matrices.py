@@ -11,7 +11,7 @@ import pytest
 from sphaera import registry
 from sphaera.operators import tiles
 
-MATRICES = "delay_distance diffusion_laplacian order_along_psi".split()
+MATRICES = "delay_distance diffusion_laplacian order_along_psi pair_distance sub_matrix".split()
 SUMS = "kernel_threshold kernel_bandwidth_sums".split()
 
 
