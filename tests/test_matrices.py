@@ -11,7 +11,7 @@ import pytest
 from sphaera import registry
 from sphaera.operators import tiles
 
-MATRICES = "delay_distance diffusion_laplacian order_along_psi pair_distance reduced_distance_matrix sub_matrix".split()
+MATRICES = "delay_distance diffusion_laplacian order_along_psi pair_distance reduced_distance_matrix sub_matrix stage_ctf_distances".split()
 SUMS = "kernel_threshold kernel_bandwidth_sums".split()
 
 
