@@ -85,3 +85,59 @@ def test_rounding_is_that_of_plain_sums():
         plain += (x[:, k][:, None] - x[:, k]) ** 2
     assert t.close and (t.rounded(slice(0, 60), 6) == tiles.rounded(plain, 6)).all()
     assert (tiles.rounded(np.array([0.5, 1.5, 2.5, 0.49999999999999994]), 0) == [1, 2, 3, 0]).all()
+
+
+def test_neighbour_tiles_with_ties(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 3, (50, 2)).astype(float)
+    rows = [(g, 100 * g + i, v.tolist()) for g in (1, 2) for i, v in enumerate(x[: 50 if g == 1 else 3])]
+    df = spark.createDataFrame(rows, "prd int, img_id long, px array<double>").repartition(3)
+    for size in (7, 64):
+        held = tiles.blocks(df, None, size)
+        ids = {(r["prd"], r["block"]): r["ids"] for r in held.collect()}
+        got = {}
+        for r in tiles.neighbour_tiles(held, 6).collect():
+            a, b = ids[r["prd"], r["a"]], ids[r["prd"], r["b"]]
+            assert (r["na"], r["nb"]) == (len(a), len(b)) and r["a"] <= r["b"]
+            for at, d in zip(np.frombuffer(r["at"], np.uint32), np.frombuffer(r["d2"]), strict=True):
+                i, j = a[at // len(b)], b[at % len(b)]
+                assert (i, j) not in got
+                got[i, j] = d
+                if r["a"] != r["b"]:  # a block with itself has both
+                    got[j, i] = d
+        want = {}
+        for g in (1, 2):
+            own = [(i, np.array(v)) for h, i, v in rows if h == g]
+            for i, v in own:
+                for _, d, j in sorted((j != i, ((v - w) ** 2).sum(), j) for j, w in own)[:6]:
+                    want[i, j] = want[j, i] = d
+        assert got == want
+
+
+def test_sparse_products_equal_dense_ones(monkeypatch):
+    from sphaera.operators import spectrum
+
+    rng = np.random.default_rng(9)
+    at = np.sort(rng.choice(30 * 20, 90, replace=False)).astype(np.uint32)
+    r = {"a": 1, "b": 2, "na": 30, "nb": 20, "at": at.tobytes(), "w": rng.normal(size=90).tobytes(), "xa": rng.normal(size=(30, 4)).tobytes(), "xb": rng.normal(size=(20, 4)).tobytes()}
+    dense = spectrum._products(r)
+    monkeypatch.setattr(spectrum, "DENSE", 10)
+    for (p, x), (q, y) in zip(dense, spectrum._products(r), strict=True):
+        assert p == q and np.allclose(x, y, atol=1e-12)
+
+
+def test_rounds_leave_no_exchange_behind(spark):
+    import time
+
+    from sphaera.operators.graphs import CLEANUP, Rounds
+
+    blocks = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+    was, kept = blocks(), spark.conf.get(CLEANUP)
+    rounds = Rounds(spark.range(1), "test")
+    for n in range(3):
+        rounds.keep(spark.range(1000).repartition(3, "id").groupBy("id").count(), f"t{n}")
+    for _ in range(50):
+        if blocks() <= was:
+            break
+        time.sleep(0.1)
+    assert blocks() <= was and spark.conf.get(CLEANUP) == kept
